@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -178,13 +179,15 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches of about `limit` bytes of text, with the texts (null: empty)."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.large_binary()).to_pylist()
-        begin = held = 0
-        for i, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= limit or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), [t or b"" for t in texts[begin : i + 1]]
-                begin, held = i + 1, 0
+        column = batch.column(text)
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin, rows = 0, batch.num_rows
+        while begin < rows:
+            before = size[begin - 1] if begin else 0
+            end = min(rows, max(begin + 1, int(np.searchsorted(size, before + limit, "right"))))
+            part = batch.slice(begin, end - begin)
+            yield part, [t or b"" for t in column.slice(begin, end - begin).cast(pa.binary()).to_pylist()]
+            begin = end
 
 
 def over_texts(make: Callable[[pa.RecordBatch, list[bytes]], dict], schema: pa.Schema, text: str = "text") -> Callable:
