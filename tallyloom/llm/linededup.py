@@ -2,7 +2,7 @@
 
 Edits are counted in words: two lines are near copies when one word inserted,
 deleted or replaced makes them equal (edit distance of at most 1 over words,
-after folding A-Z and collapsing blanks).  A line goes if an equal line or a
+after folding case and collapsing blanks).  A line goes if an equal line or a
 near copy stands earlier in the corpus (by doc_id, then by line number).
 
 1. Equal lines are counted as one, at their first place.
@@ -23,34 +23,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise
+from .common import materialise
 
 #: Shorter lines are left alone.
 MIN_WORDS = 5
 #: Lines of more words get their running XORs from a window, not from an array.
 LONG_WORDS = 1024
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LAST = (1 << 63) - 1
 
 
 def _exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, th, line_no, words) of each line; a null doc_id comes last."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("line_no", "line"))
-    return rows.select("id", "th", "line_no", F.regexp_extract_all(F.translate("line", _UPPER, _LOWER), F.lit(BLANKS), F.lit(0)).alias("words"))
+    """(id, th, line_no, line) with lines in lower case and single blanks; a null doc_id comes last."""
+    body = F.lower(F.col(text).cast("string"))
+    odd = F.lit(False)
+    for c in "\t\v\f\r":
+        odd = odd | body.contains(c)
+    body = F.when(odd, F.translate(body, "\t\v\f\r", "    ")).otherwise(body)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
+    return rows.select("id", "th", "line_no", F.trim(F.when(F.col("line").contains("  "), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))).alias("line")).where("line <> ''")
 
 
-def _name(words: str) -> list[Column]:
+#: Words of a line with single blanks.
+_SIZE = "(length(line) - length(replace(line, ' ', '')) + 1)"
+
+
+def _name() -> list[Column]:
     """Two hashes that name a line."""
-    return [F.xxhash64(F.col(words)).alias("k1"), F.xxhash64(F.lit(1), F.col(words)).alias("k2")]
+    return [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")]
 
 
 def _halves() -> Column:
-    n, half, less = "size(words)", "size(words) div 2", "(size(words) - 1) div 2"
-    front = [f"xxhash64('f', slice(words, 1, {p}))" for p in (half, less)]
-    back = [f"xxhash64('b', slice(words, {n} - ({q}) + 1, {q}))" for q in (f"{n} - {half}", f"{n} - 1 - {less}")]
+    """Hashes of the first and of the last half of a line of n words, the halves
+    of its neighbours in size included."""
+    front = [f"xxhash64('f', substring_index(line, ' ', {p}))" for p in ("n div 2", "(n - 1) div 2")]
+    back = [f"xxhash64('b', substring_index(line, ' ', -{q}))" for q in ("(n - n div 2)", "(n - 1 - (n - 1) div 2)")]
     return F.array_distinct(F.array(*map(F.expr, [*front, *back])))
 
 
+#: Bits of the filter of line hashes that is sent to every task: 2 MB.
+_FILTER_BITS = 24
+
+
+def _kept_by_filter(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of lines whose k1 may be among keys' k1: a bitmap of fixed size
+    over the first bits of the hash.  It spares most lines the exact join."""
+    place = F.shiftrightunsigned("k1", 64 - _FILTER_BITS)
+    cells = keys.groupBy(F.shiftright(place, 6).cast("int").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, CAST(shiftrightunsigned(k1, {64 - _FILTER_BITS}) & 63 AS INT)))").alias("bits"))
+    filled = keys.sparkSession.range(1 << (_FILTER_BITS - 6)).select(F.col("id").cast("int").alias("i")).join(cells, "i", "left")
+    bitmap = filled.agg(F.expr("transform(array_sort(collect_list(struct(i, coalesce(bits, 0L) AS bits))), x -> x.bits)").alias("bitmap"))
+    with_map = lines.crossJoin(F.broadcast(materialise(bitmap)))
+    return with_map.where(F.expr(f"(shiftrightunsigned(bitmap[CAST(shiftrightunsigned(k1, {64 - _FILTER_BITS + 6}) AS INT)], CAST(shiftrightunsigned(k1, {64 - _FILTER_BITS}) & 63 AS INT)) & 1) = 1")).drop("bitmap")
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """(k1, k2, key, at): at is the deleted position, 0 for the line as it is."""
     short = lines.where(F.size("words") <= LONG_WORDS)
@@ -77,15 +101,17 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     all others and is returned as null; rows with equal doc_id and text are one
     document.  Other columns are not read.
     """
-    lines = _exploded(docs, doc_id, text).where(F.size("words") >= min_words)
-    placed = materialise(lines.select("id", "th", "line_no", *_name("words"), _halves().alias("halves")))
+    lines = _exploded(docs, doc_id, text).withColumn("n", F.expr(_SIZE)).where(F.col("n") >= min_words)
+    placed = materialise(lines.select("id", "th", "line_no", *_name(), _halves().alias("halves")))
     distinct = materialise(placed.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line_no")).alias("first"), F.count("*").alias("n"), F.min("halves").alias("halves")))
     half = distinct.select("k1", "k2", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
     near = half.join(shared, "half", "left_semi").select("k1", "k2").distinct()
     firsts = distinct.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "first.*")
-    found = lines.select("id", "th", "line_no", *_name("words"), "words")
-    texts = materialise(found.join(firsts, ["k1", "k2", "id", "th", "line_no"], "left_semi").dropDuplicates(["k1", "k2"]))
+    firsts = materialise(firsts)
+    found = _kept_by_filter(lines.select("id", "th", "line_no", *_name(), "line"), firsts.select("k1"))
+    texts = found.join(firsts, ["k1", "k2", "id", "th", "line_no"], "left_semi").dropDuplicates(["k1", "k2"])
+    texts = materialise(texts.select("k1", "k2", F.split("line", " ").alias("words")))
     cut = materialise(_variants(texts.select("k1", "k2", "words")))
     met = cut.groupBy("key").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("key")
     rows = cut.join(met, "key", "left_semi").join(firsts.select("k1", "k2", F.struct("id", "line_no", "k1", "k2").alias("me")), ["k1", "k2"])
