@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 #: Shorter lines are left alone.
 MIN_WORDS = 5
@@ -109,7 +109,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     near = half.join(shared, "half", "left_semi").select("k1", "k2").distinct()
     firsts = distinct.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "first.*")
     firsts = materialise(firsts)
-    found = _kept_by_filter(lines.select("id", "th", "line_no", *_name(), "line"), firsts.select("k1"))
+    # written out, as the optimiser would move the join below the filter
+    found = materialise(_kept_by_filter(lines.select("id", "th", "line_no", *_name(), "line"), firsts.select("k1")))
     texts = found.join(firsts, ["k1", "k2", "id", "th", "line_no"], "left_semi").dropDuplicates(["k1", "k2"])
     texts = materialise(texts.select("k1", "k2", F.split("line", " ").alias("words")))
     cut = materialise(_variants(texts.select("k1", "k2", "words")))
@@ -131,7 +132,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     left = lambda w, at: f"if({at} = 0, {w}, concat(slice({w}, 1, {at} - 1), slice({w}, {at} + 1, size({w}))))"
     sure = both.where(F.expr(f"{left('x_words', 'at')} = {left('y_words', 'mate_at')}")).groupBy("me.k1", "me.k2").agg(F.min(F.struct("mate.id", "mate.line_no")).alias("mate"))
     going = distinct.join(sure, ["k1", "k2"], "left").where("n > 1 OR mate IS NOT NULL").select("k1", "k2", "first", "mate")
-    out = placed.join(going, ["k1", "k2"]).withColumn("exact", F.struct("id", "th", "line_no") != F.col("first")).where("exact OR mate IS NOT NULL")
+    out = join_hot(placed.drop("halves"), materialise(going), ["k1", "k2"]).withColumn("exact", F.struct("id", "th", "line_no") != F.col("first")).where("exact OR mate IS NOT NULL")
     keep = F.when(F.col("exact"), F.struct("first.id", "first.line_no")).otherwise(F.col("mate"))
     shown = lambda c: F.when(c != _LAST, c)
     return out.withColumn("keep", keep).select(shown(F.col("id")).alias("doc_id"), "th", "line_no", shown(F.col("keep.id")).alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), "exact").distinct()
