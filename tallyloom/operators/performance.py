@@ -49,6 +49,10 @@ def scaled(v: Column, scale: float, kind: str) -> Column:
     return {"discrete": F.pow(1 + v, F.lit(float(scale))) - 1, "log": v * scale, "std": v * float(scale) ** 0.5}[kind]
 
 
+def annualized_rf(rf: Number, scale: float) -> Column:
+    return (1 + _c(rf)) ** scale - 1
+
+
 def active_premium(r: Column, b: Column, scale: float, method: str = "geometric") -> Column:
     return annualized(r, scale, method) - annualized(b, scale, method)
 
