@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contextmix, decontaminate, language, licences, linededup, mixing, pii, quality, secrets, simhash
+from .oracles import ORACLE as ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,5 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_linededup": op10_linededup,
 }
-
-ORACLE: dict[str, str] = {}
