@@ -2,8 +2,8 @@
 
 Edges follow the data: dataset to the step that reads it, step to the dataset
 that it writes.  Reachability and layers are frontier joins: each round joins
-only what the round before found, and ends when that is empty.  Rounds are
-materialised by the given function, so lineage stays short on deep graphs.
+only what the round before found, and ends when that is empty.  Every
+round is written out, so the plan of a deep graph doesn't grow with its depth.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.cut import cut
+
 # Node and edge types.
 NODE_TYPES = ("DATASET", "DATA_STEP", "PROC_STEP", "MACRO", "MACRO_VARIABLE", "LIBRARY", "FILE")
 EDGE_TYPES = ("READS_FROM", "WRITES_TO", "USES_VARIABLE", "DEFINES_VARIABLE", "CALLS", "PROC_INPUT", "PROC_OUTPUT", "DEPENDS_ON_FILE")
@@ -30,13 +32,9 @@ def build(spark: SparkSession, nodes: Iterable[tuple[str, str, str]], edges: Ite
     return spark.createDataFrame(nodes, "id string, type string, name string"), spark.createDataFrame([(s, d, t) for (s, d), t in last.items()], "src string, dst string, type string")
 
 
-def _same(df: DataFrame) -> DataFrame:
-    return df
-
-
-def closure(edges: DataFrame, depth: int | None = None, cut: Callable[[DataFrame], DataFrame] = _same) -> DataFrame:
+def closure(edges: DataFrame, depth: int | None = None, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(src, dst, depth): pairs joined by a path, with the shortest path's length."""
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     found = step.withColumn("depth", F.lit(1))
     front, d = found, 1
     while depth is None or d < depth:
@@ -45,7 +43,7 @@ def closure(edges: DataFrame, depth: int | None = None, cut: Callable[[DataFrame
         front = cut(more.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        found = cut(found.unionByName(front))
+        found = found.unionByName(front)
     return found
 
 
@@ -60,18 +58,18 @@ def dependents(edges: DataFrame, node: str, depth: int | None = None) -> DataFra
 
 def _walk(edges: DataFrame, node: str, depth: int | None) -> DataFrame:
     step = edges.select("src", "dst").distinct()
-    found = step.where(F.col("src") == node).select(F.col("dst").alias("id")).withColumn("depth", F.lit(1))
+    found = cut(step.where(F.col("src") == node).select(F.col("dst").alias("id")).withColumn("depth", F.lit(1)))
     front, d = found, 1
     while depth is None or d < depth:
         d += 1
-        front = front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").withColumn("depth", F.lit(d))
+        front = cut(front.join(step, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         found = found.unionByName(front)
     return found
 
 
-def layers(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = _same) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, layer): length of the longest path from a root; a cycle raises ValueError."""
     step = edges.select("src", "dst").distinct()
     out, left, n = None, cut(nodes.select("id").distinct()), 0
@@ -108,7 +106,7 @@ def find_cycles(edges: DataFrame, longest: int = 16) -> DataFrame:
         closed = paths.where(F.col("tip") == F.col("path")[0]).select(F.col("path").alias("cycle"))
         out = closed if out is None else out.unionByName(closed)
         open_ = paths.where(F.col("tip") > F.col("path")[0]).where(~F.array_contains("path", F.col("tip")))
-        paths = open_.join(step, F.col("tip") == F.col("src")).where(F.col("dst") >= F.col("path")[0]).select(F.array_append("path", F.col("tip")).alias("path"), F.col("dst").alias("tip"))
+        paths = cut(open_.join(step, F.col("tip") == F.col("src")).where(F.col("dst") >= F.col("path")[0]).select(F.array_append("path", F.col("tip")).alias("path"), F.col("dst").alias("tip")))
         if paths.isEmpty():
             break
     return out.distinct()

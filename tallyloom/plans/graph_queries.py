@@ -57,7 +57,7 @@ QUERIES: dict[str, Query] = {
 }
 _CLOSURE = "WITH RECURSIVE w AS (SELECT src, dst FROM {e} UNION SELECT w.src, e.dst FROM w JOIN {e} e ON e.src = w.dst) "
 _LAYERS = "WITH RECURSIVE w AS (SELECT id, 0 AS layer FROM " + _N + " n WHERE NOT EXISTS (SELECT 1 FROM " + _E + " e WHERE e.dst = n.id) UNION SELECT e.dst, layer + 1 FROM w JOIN " + _E + " e ON e.src = w.id) SELECT id, CAST(max(layer) AS INT) AS layer FROM w GROUP BY id"
-_bag = lambda t: f"list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), x -> x <> ''))"
+_bag = lambda t: f"list_distinct(list_filter(string_split_regex(lower({t}), '\\s+'), lambda x: x <> ''))"
 ORACLE: dict[str, str] = {
     "g01_edges": f"SELECT src, dst, type FROM {_E}",
     "g02_nodes_by_type": f"SELECT type, count(*) AS n FROM {_N} GROUP BY type",
