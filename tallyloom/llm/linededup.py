@@ -32,15 +32,19 @@ LONG_WORDS = 1024
 _LAST = (1 << 63) - 1
 
 
-def _exploded(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, th, line_no, line) with lines in lower case and single blanks; a null doc_id comes last."""
+def _exploded(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """(id, th, line_no, line) with lines in lower case and single blanks; a null
+    doc_id comes last.  Lines too short for min_words words are left out here
+    by their length, as counting their words would take the longer."""
     body = F.lower(F.col(text).cast("string"))
     odd = F.lit(False)
     for c in "\t\v\f\r":
         odd = odd | body.contains(c)
     body = F.when(odd, F.translate(body, "\t\v\f\r", "    ")).otherwise(body)
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
-    return rows.select("id", "th", "line_no", F.trim(F.when(F.col("line").contains("  "), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))).alias("line")).where("line <> ''")
+    # hashed before the lines are taken apart, else once for each line
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("th"), body.alias("body"))
+    rows = rows.select("id", "th", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line")).where(F.length("line") >= 2 * min_words - 1)
+    return rows.select("id", "th", "line_no", F.trim(F.when(F.col("line").contains("  "), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))).alias("line"))
 
 
 #: Words of a line with single blanks.
@@ -101,8 +105,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     all others and is returned as null; rows with equal doc_id and text are one
     document.  Other columns are not read.
     """
-    lines = _exploded(docs, doc_id, text).withColumn("n", F.expr(_SIZE)).where(F.col("n") >= min_words)
-    placed = materialise(lines.select("id", "th", "line_no", *_name(), _halves().alias("halves")))
+    lines = _exploded(docs, doc_id, text, min_words)
+    placed = lines.withColumn("n", F.expr(_SIZE)).select("id", "th", "line_no", *_name(), "n", _halves().alias("halves"))
+    placed = materialise(placed).where(F.col("n") >= min_words).drop("n")
     distinct = materialise(placed.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line_no")).alias("first"), F.count("*").alias("n"), F.min("halves").alias("halves")))
     half = distinct.select("k1", "k2", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
