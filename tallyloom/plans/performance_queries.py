@@ -47,17 +47,30 @@ def said(sql: str) -> str:
     return f"round(CAST({sql} AS DOUBLE), 6) + 0.0"
 
 
+r: Column
+b: Column
+
+
+def _bind() -> None:
+    """Columns need a running session, so they are made when a query is."""
+    global r, b
+    r, b = F.col("r"), F.col("b")
+
+
 def rows(key: str, build: Callable[[DataFrame], DataFrame], sql: str, source: Query = returns) -> None:
-    QUERIES[key] = lambda spark, sf_dir: build(source(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _bind()
+        return build(source(spark, sf_dir))
+
+    QUERIES[key] = run
     ORACLE[key] = PANEL + sql
 
 
-def measure(key: str, **columns: tuple[Column, str]) -> None:
+def measure(key: str, **columns: tuple[Callable[[], Column], str]) -> None:
     """One value for each asset and column: a Column over (r, b), and its SQL over rc."""
-    rows(key, lambda df: df.groupBy("asset").agg(*[shown(c).alias(name) for name, (c, _) in columns.items()]), f"SELECT asset, {', '.join(f'{said(q)} AS {name}' for name, (_, q) in columns.items())} FROM rc GROUP BY asset")
+    rows(key, lambda df: df.groupBy("asset").agg(*[shown(c()).alias(name) for name, (c, _) in columns.items()]), f"SELECT asset, {', '.join(f'{said(q)} AS {name}' for name, (_, q) in columns.items())} FROM rc GROUP BY asset")
 
 
-r, b = F.col("r"), F.col("b")
 _x, _y = f"(b - {RF})", f"(r - {RF})"
 _sd, _sdp = "stddev_samp(r)", "stddev_pop(r)"
 _year = lambda x: f"(exp({S} * avg(ln(1 + {x}))) - 1)"
@@ -83,10 +96,10 @@ rows(
 rows("r03_return_cumulative", lambda d: P.cumulative(d).select("date", "asset", shown(F.col("cumulative")).alias("cumulative")), f"SELECT date, asset, {said('w - 1')} AS cumulative FROM w")
 rows("r04_return_cumulative_log", lambda d: P.cumulative(d, "log").select("date", "asset", shown(F.col("cumulative")).alias("cumulative")), f"SELECT date, asset, {said('sum(r) OVER (PARTITION BY asset ORDER BY date)')} AS cumulative FROM rb")
 for _key, _part in (("r05_return_yearly", ("year",)), ("r06_return_quarterly", ("year", "quarter")), ("r07_return_monthly", ("year", "month"))):
-    _agg = (A.accumulated(r), "exp(sum(ln(1 + r))) - 1") if _key != "r06_return_quarterly" else (F.sum(A.log_growth(r)), "sum(ln(1 + r))")
+    _agg = (lambda: A.accumulated(r), "exp(sum(ln(1 + r))) - 1") if _key != "r06_return_quarterly" else (lambda: F.sum(A.log_growth(r)), "sum(ln(1 + r))")
     rows(
         _key,
-        lambda d, part=_part, agg=_agg: d.groupBy("asset", *[getattr(F, p)("date").cast("int").alias(p) for p in part]).agg(shown(agg[0]).alias("ret")),
+        lambda d, part=_part, agg=_agg: d.groupBy("asset", *[getattr(F, p)("date").cast("int").alias(p) for p in part]).agg(shown(agg[0]()).alias("ret")),
         f"SELECT asset, {', '.join(f'CAST({p}(date) AS INT) AS {p}' for p in _part)}, {said(_agg[1])} AS ret FROM rb GROUP BY asset, {', '.join(f'{p}(date)' for p in _part)}",
     )
 rows("r08_return_excess", lambda d: d.select("date", "asset", shown(r - RF).alias("excess")), _R.format(said(f"r - {RF}"), "excess"))
@@ -96,53 +109,53 @@ rows(
     lambda d: d.select("date", "asset", shown(P.wealth(r) / P.wealth(b)).alias("relative")),
     f"SELECT date, asset, {said('exp(sum(ln(1 + r)) OVER o) / exp(sum(ln(1 + b)) OVER o)')} AS relative FROM rb WINDOW o AS (PARTITION BY asset ORDER BY date)",
 )
-measure("r11_return_annualized", geometric=(A.annualized(r, S), _year("r")))
-measure("r12_return_annualized_unit", geometric=(A.annualized(r, 1), "exp(avg(ln(1 + r))) - 1"))
-measure("r13_return_annualized_arithmetic", arithmetic=(A.annualized(r, S, "arithmetic"), f"avg(r) * {S}"))
-measure("r14_return_annualized_excess", geometric=(A.annualized_excess(r, b, S), f"exp({S} * avg(ln(1 + r - b))) - 1"), arithmetic=(A.annualized_excess(r, b, S, "arithmetic"), f"avg(r - b) * {S}"))
-measure("r15_scalar_annualized", discrete=(A.scaled(F.avg(r), S, "discrete"), f"pow(1 + avg(r), {S}) - 1"), log=(A.scaled(F.avg(r), S, "log"), f"avg(r) * {S}"), std=(A.scaled(F.stddev_samp(r), S, "std"), f"{_sd} * sqrt({S})"))
-measure("r16_geometric_mean", geometric=(A.geometric_mean(r), "exp(avg(ln(1 + r))) - 1"))
-measure("r17_active_premium", geometric=(A.active_premium(r, b, S), f"{_year('r')} - {_year('b')}"), arithmetic=(A.active_premium(r, b, S, "arithmetic"), f"(avg(r) - avg(b)) * {S}"))
+measure("r11_return_annualized", geometric=(lambda: A.annualized(r, S), _year("r")))
+measure("r12_return_annualized_unit", geometric=(lambda: A.annualized(r, 1), "exp(avg(ln(1 + r))) - 1"))
+measure("r13_return_annualized_arithmetic", arithmetic=(lambda: A.annualized(r, S, "arithmetic"), f"avg(r) * {S}"))
+measure("r14_return_annualized_excess", geometric=(lambda: A.annualized_excess(r, b, S), f"exp({S} * avg(ln(1 + r - b))) - 1"), arithmetic=(lambda: A.annualized_excess(r, b, S, "arithmetic"), f"avg(r - b) * {S}"))
+measure("r15_scalar_annualized", discrete=(lambda: A.scaled(F.avg(r), S, "discrete"), f"pow(1 + avg(r), {S}) - 1"), log=(lambda: A.scaled(F.avg(r), S, "log"), f"avg(r) * {S}"), std=(lambda: A.scaled(F.stddev_samp(r), S, "std"), f"{_sd} * sqrt({S})"))
+measure("r16_geometric_mean", geometric=(lambda: A.geometric_mean(r), "exp(avg(ln(1 + r))) - 1"))
+measure("r17_active_premium", geometric=(lambda: A.active_premium(r, b, S), f"{_year('r')} - {_year('b')}"), arithmetic=(lambda: A.active_premium(r, b, S, "arithmetic"), f"(avg(r) - avg(b)) * {S}"))
 
 # --- risk --------------------------------------------------------------------
-measure("k01_stddev_annualized", sd=(A.deviation(r, S), f"{_sd} * sqrt({S})"))
+measure("k01_stddev_annualized", sd=(lambda: A.deviation(r, S), f"{_sd} * sqrt({S})"))
 rows(
     "k02_mean_absolute_deviation",
     lambda d: d.withColumn("mu", F.avg(r).over(Window.partitionBy("asset"))).groupBy("asset").agg(shown(F.avg(F.abs(r - F.col("mu")))).alias("mad")),
     f"SELECT asset, {said('avg(abs(r - mr))')} AS mad FROM rc GROUP BY asset",
 )
-measure("k03_downside_deviation", dd=(A.downside_deviation(r, MAR), f"sqrt({_dn('r', 2)})"))
-measure("k04_downside_potential", dp=(A.downside_potential(r, MAR), _dn("r", 1)))
-measure("k05_downside_frequency", freq=(A.downside_frequency(r, MAR), f"avg(CASE WHEN r < {MAR} THEN 1.0 ELSE 0.0 END)"))
-measure("k06_upside", risk=(A.upside_risk(r, MAR), f"sqrt({_up('r', 2)})"), frequency=(A.upside_frequency(r, MAR), f"avg(CASE WHEN r > {MAR} THEN 1.0 ELSE 0.0 END)"), potential=(A.upside_potential(r, MAR), _up("r", 1)))
-measure("k07_upside_potential_ratio", ratio=(A.upside_potential_ratio(r, MAR), f"{_up('r', 1)} / sqrt({_dn('r', 2)})"))
-measure("k08_volatility_skewness", volatility=(A.volatility_skewness(r, MAR), f"{_up('r', 2)} / {_dn('r', 2)}"), variability=(A.variability_skewness(r, MAR), f"sqrt({_up('r', 2)}) / sqrt({_dn('r', 2)})"))
-measure("k09_lower_partial_moment", **{f"lpm{k}": (M.lower_moment(r, F.lit(MAR), k) * 1000, f"{_dn('r', k)} * 1000") for k in (1, 2, 3, 4)})
-measure("k10_tracking_error", te=(A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"))
-measure("k11_risk_split", systematic=(A.systematic_risk(r, b, RF, S), _sys), specific=(A.specific_risk(r, b, RF, S), _spec), total=(A.total_risk(r, b, RF, S), f"sqrt(pow({_sys}, 2) + pow({_spec}, 2))"))
-measure("k13_skewness_kurtosis_ratio", ratio=(A.skewness_kurtosis_ratio(r), f"{_skew} / {_kurt}"))
-measure("k14_centered_moments", m2=(M.m2(r) * 1e3, f"{_c(2, 0)} * 1e3"), m3=(M.m3(r) * 1e3, f"{_c(3, 0)} * 1e3"), m4=(M.m4(r) * 1e3, f"{_c(4, 0)} * 1e3"), coskewness=(M.m12(r, b) * 1e3, f"{_c(1, 2)} * 1e3"), cokurtosis=(M.m13(r, b) * 1e3, f"{_c(1, 3)} * 1e3"))
+measure("k03_downside_deviation", dd=(lambda: A.downside_deviation(r, MAR), f"sqrt({_dn('r', 2)})"))
+measure("k04_downside_potential", dp=(lambda: A.downside_potential(r, MAR), _dn("r", 1)))
+measure("k05_downside_frequency", freq=(lambda: A.downside_frequency(r, MAR), f"avg(CASE WHEN r < {MAR} THEN 1.0 ELSE 0.0 END)"))
+measure("k06_upside", risk=(lambda: A.upside_risk(r, MAR), f"sqrt({_up('r', 2)})"), frequency=(lambda: A.upside_frequency(r, MAR), f"avg(CASE WHEN r > {MAR} THEN 1.0 ELSE 0.0 END)"), potential=(lambda: A.upside_potential(r, MAR), _up("r", 1)))
+measure("k07_upside_potential_ratio", ratio=(lambda: A.upside_potential_ratio(r, MAR), f"{_up('r', 1)} / sqrt({_dn('r', 2)})"))
+measure("k08_volatility_skewness", volatility=(lambda: A.volatility_skewness(r, MAR), f"{_up('r', 2)} / {_dn('r', 2)}"), variability=(lambda: A.variability_skewness(r, MAR), f"sqrt({_up('r', 2)}) / sqrt({_dn('r', 2)})"))
+measure("k09_lower_partial_moment", **{f"lpm{k}": (lambda k=k: M.lower_moment(r, F.lit(MAR), k) * 1000, f"{_dn('r', k)} * 1000") for k in (1, 2, 3, 4)})
+measure("k10_tracking_error", te=(lambda: A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"))
+measure("k11_risk_split", systematic=(lambda: A.systematic_risk(r, b, RF, S), _sys), specific=(lambda: A.specific_risk(r, b, RF, S), _spec), total=(lambda: A.total_risk(r, b, RF, S), f"sqrt(pow({_sys}, 2) + pow({_spec}, 2))"))
+measure("k13_skewness_kurtosis_ratio", ratio=(lambda: A.skewness_kurtosis_ratio(r), f"{_skew} / {_kurt}"))
+measure("k14_centered_moments", m2=(lambda: M.m2(r) * 1e3, f"{_c(2, 0)} * 1e3"), m3=(lambda: M.m3(r) * 1e3, f"{_c(3, 0)} * 1e3"), m4=(lambda: M.m4(r) * 1e3, f"{_c(4, 0)} * 1e3"), coskewness=(lambda: M.m12(r, b) * 1e3, f"{_c(1, 2)} * 1e3"), cokurtosis=(lambda: M.m13(r, b) * 1e3, f"{_c(1, 3)} * 1e3"))
 rows(
     "k15_cokurtosis_matrix",
     lambda d: P.pairs(d).groupBy("a1", "a2").agg(shown(M.safe(M.m22(F.col("r1"), F.col("r2")), M.m2(F.col("r1")) * M.m2(F.col("r2")))).alias("cokurtosis")),
     f"SELECT x.asset AS a1, y.asset AS a2, {said('avg(pow(x.r - x.mr, 2) * pow(y.r - y.mr, 2)) / (avg(pow(x.r - x.mr, 2)) * avg(pow(y.r - y.mr, 2)))')} AS cokurtosis FROM rc x JOIN rc y USING (date) GROUP BY 1, 2",
 )
 _co = {"beta_covariance": f"{_c(1, 1)} / {_c(0, 2)}", "beta_coskewness": f"{_c(1, 2)} / {_c(0, 3)}", "beta_cokurtosis": f"{_c(1, 3)} / {_c(0, 4)}"}
-measure("k16_beta_co_moments", **{k: (A.co_moments(r, b)[k], q) for k, q in _co.items()})
+measure("k16_beta_co_moments", **{k: (lambda k=k: A.co_moments(r, b)[k], q) for k, q in _co.items()})
 
 # --- regression --------------------------------------------------------------
-measure("b01_capm_beta", beta=(A.beta(r, b, RF), _beta))
-measure("b02_bull_bear_beta", bull=(A.bull_beta(r, b, RF), f"regr_slope({_y}, {_x}) FILTER (WHERE b > {RF})"), bear=(A.bear_beta(r, b, RF), f"regr_slope({_y}, {_x}) FILTER (WHERE b < {RF})"))
-measure("b03_capm_alpha", alpha=(A.alpha(r, b, RF), _alpha))
-measure("b04_capm_epsilon", epsilon=(A.epsilon(r, b, RF, S), f"{_year('r')} - {_rfy} - {_alpha} * {S} - {_beta} * ({_year('b')} - {_rfy})"))
+measure("b01_capm_beta", beta=(lambda: A.beta(r, b, RF), _beta))
+measure("b02_bull_bear_beta", bull=(lambda: A.bull_beta(r, b, RF), f"regr_slope({_y}, {_x}) FILTER (WHERE b > {RF})"), bear=(lambda: A.bear_beta(r, b, RF), f"regr_slope({_y}, {_x}) FILTER (WHERE b < {RF})"))
+measure("b03_capm_alpha", alpha=(lambda: A.alpha(r, b, RF), _alpha))
+measure("b04_capm_epsilon", epsilon=(lambda: A.epsilon(r, b, RF, S), f"{_year('r')} - {_rfy} - {_alpha} * {S} - {_beta} * ({_year('b')} - {_rfy})"))
 rows(
     "b04_capm_residuals",
     lambda d: d.withColumn("a", A.alpha(r, b, RF).over(Window.partitionBy("asset"))).withColumn("s", A.beta(r, b, RF).over(Window.partitionBy("asset"))).select("date", "asset", shown(r - RF - F.col("a") - F.col("s") * (b - RF)).alias("residual")),
     f"SELECT date, asset, {said(f'r - {RF} - {_alpha} OVER o - {_beta} OVER o * (b - {RF})')} AS residual FROM rb WINDOW o AS (PARTITION BY asset)",
 )
-measure("b05_fama_beta", beta=(A.fama_beta(r, b), f"{_sdp} / stddev_pop(b)"))
+measure("b05_fama_beta", beta=(lambda: A.fama_beta(r, b), f"{_sdp} / stddev_pop(b)"))
 _jensen = f"({_year('r')} - {_rfy} - {_beta} * ({_year('b')} - {_rfy}))"
-measure("b06_net_selectivity", selectivity=(A.net_selectivity(r, b, RF, S), f"{_jensen} - ({_sdp} / stddev_pop(b) - {_beta}) * ({_year('b')} - {_rfy})"))
+measure("b06_net_selectivity", selectivity=(lambda: A.net_selectivity(r, b, RF, S), f"{_jensen} - ({_sdp} / stddev_pop(b) - {_beta}) * ({_year('b')} - {_rfy})"))
 
 
 def _timing(x: str, z: str) -> dict[str, str]:
@@ -153,35 +166,35 @@ def _timing(x: str, z: str) -> dict[str, str]:
 
 
 for _m, _z in (("TM", f"({_x} * {_x})"), ("HM", f"greatest({_x}, 0)")):
-    measure(f"b06_market_timing_{_m.lower()}", **{k: (A.market_timing(r, b, RF, _m)[k], q) for k, q in _timing(_x, _z).items()})
+    measure(f"b06_market_timing_{_m.lower()}", **{k: (lambda k=k, m=_m: A.market_timing(r, b, RF, m)[k], q) for k, q in _timing(_x, _z).items()})
 
 # --- ratios --------------------------------------------------------------------
-measure("q01_sharpe", sharpe=(A.sharpe(r, RF), f"avg({_y}) / stddev_samp({_y})"))
-measure("q02_sharpe_annualized", arithmetic=(A.sharpe(r, RF, S), _sharpe), geometric=(A.sharpe_geometric(r, RF, S), f"(exp({S} * avg(ln(1 + {_y}))) - 1) / ({_sd} * sqrt({S}))"))
-measure("q03_adjusted_sharpe", ratio=(A.adjusted_sharpe(r, RF, S), f"{_sharpe} * (1 + {_skew} / 6 * {_sharpe} - ({_kurt} - 3) / 24 * {_sharpe} * {_sharpe})"))
-measure("q04_information_ratio", ratio=(A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"))
-measure("q05_appraisal_ratio", ratio=(A.appraisal_ratio(r, b, RF, S), f"{_alpha} * {S} / {_spec}"))
-measure("q06_treynor_ratio", ratio=(A.treynor(r, b, RF, S), f"avg({_y}) * {S} / {_beta}"), modified=(A.treynor(r, b, RF, S, True), f"avg({_y}) * {S} / {_sys}"))
-measure("q07_sortino", ratio=(A.sortino(r, MAR), f"avg(r - {MAR}) / sqrt({_dn('r', 2)})"))
-measure("q08_kappa", **{f"kappa{k}": (A.kappa(r, MAR, k), f"avg(r - {MAR}) / pow({_dn('r', k)}, 1.0 / {k})") for k in (1, 2, 3)})
-measure("q09_omega", omega=(A.omega(r, MAR), f"{_up('r', 1)} / {_dn('r', 1)}"))
-measure("q10_omega_sharpe", ratio=(A.omega_sharpe(r, MAR), f"avg(r - {MAR}) / {_dn('r', 1)}"))
-measure("q11_omega_excess", excess=(A.omega_excess(r, b, MAR, S), f"{_year('r')} - 3 * sqrt({_dn('r', 2)}) * sqrt({_dn('b', 2)}) * {S}"))
+measure("q01_sharpe", sharpe=(lambda: A.sharpe(r, RF), f"avg({_y}) / stddev_samp({_y})"))
+measure("q02_sharpe_annualized", arithmetic=(lambda: A.sharpe(r, RF, S), _sharpe), geometric=(lambda: A.sharpe_geometric(r, RF, S), f"(exp({S} * avg(ln(1 + {_y}))) - 1) / ({_sd} * sqrt({S}))"))
+measure("q03_adjusted_sharpe", ratio=(lambda: A.adjusted_sharpe(r, RF, S), f"{_sharpe} * (1 + {_skew} / 6 * {_sharpe} - ({_kurt} - 3) / 24 * {_sharpe} * {_sharpe})"))
+measure("q04_information_ratio", ratio=(lambda: A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"))
+measure("q05_appraisal_ratio", ratio=(lambda: A.appraisal_ratio(r, b, RF, S), f"{_alpha} * {S} / {_spec}"))
+measure("q06_treynor_ratio", ratio=(lambda: A.treynor(r, b, RF, S), f"avg({_y}) * {S} / {_beta}"), modified=(lambda: A.treynor(r, b, RF, S, True), f"avg({_y}) * {S} / {_sys}"))
+measure("q07_sortino", ratio=(lambda: A.sortino(r, MAR), f"avg(r - {MAR}) / sqrt({_dn('r', 2)})"))
+measure("q08_kappa", **{f"kappa{k}": (lambda k=k: A.kappa(r, MAR, k), f"avg(r - {MAR}) / pow({_dn('r', k)}, 1.0 / {k})") for k in (1, 2, 3)})
+measure("q09_omega", omega=(lambda: A.omega(r, MAR), f"{_up('r', 1)} / {_dn('r', 1)}"))
+measure("q10_omega_sharpe", ratio=(lambda: A.omega_sharpe(r, MAR), f"avg(r - {MAR}) / {_dn('r', 1)}"))
+measure("q11_omega_excess", excess=(lambda: A.omega_excess(r, b, MAR, S), f"{_year('r')} - 3 * sqrt({_dn('r', 2)}) * sqrt({_dn('b', 2)}) * {S}"))
 _m2 = f"({_sharpe} * stddev_samp(b) * sqrt({S}) + {RF} * {S})"
-measure("q12_m_squared", m2=(A.m_squared(r, b, RF, S), _m2))
-measure("q13_m_squared_excess", arithmetic=(A.m_squared_excess(r, b, RF, S), f"{_m2} - avg(b) * {S}"), geometric=(A.m_squared_excess(r, b, RF, S, "geometric"), f"(1 + {_m2}) / (1 + avg(b) * {S}) - 1"))
-measure("q14_m_squared_sortino", m2=(A.m_squared_sortino(r, b, MAR, S), f"{_year('r')} + avg(r - {MAR}) / sqrt({_dn('r', 2)}) * sqrt({S}) * (sqrt({_dn('b', 2)}) - sqrt({_dn('r', 2)})) * sqrt({S})"))
-measure("q15_kelly", kelly=(A.kelly(r, RF), f"avg({_y}) / var_samp(r) * 0.5"), full=(A.kelly(r, RF, 1.0), f"avg({_y}) / var_samp(r)"))
+measure("q12_m_squared", m2=(lambda: A.m_squared(r, b, RF, S), _m2))
+measure("q13_m_squared_excess", arithmetic=(lambda: A.m_squared_excess(r, b, RF, S), f"{_m2} - avg(b) * {S}"), geometric=(lambda: A.m_squared_excess(r, b, RF, S, "geometric"), f"(1 + {_m2}) / (1 + avg(b) * {S}) - 1"))
+measure("q14_m_squared_sortino", m2=(lambda: A.m_squared_sortino(r, b, MAR, S), f"{_year('r')} + avg(r - {MAR}) / sqrt({_dn('r', 2)}) * sqrt({S}) * (sqrt({_dn('b', 2)}) - sqrt({_dn('r', 2)})) * sqrt({S})"))
+measure("q15_kelly", kelly=(lambda: A.kelly(r, RF), f"avg({_y}) / var_samp(r) * 0.5"), full=(lambda: A.kelly(r, RF, 1.0), f"avg({_y}) / var_samp(r)"))
 _cap = lambda o: f"avg(r) FILTER (WHERE b {o} 0) / avg(b) FILTER (WHERE b {o} 0)"
-measure("q17_capture_ratios", up=(A.up_capture(r, b), _cap(">")), down=(A.down_capture(r, b), _cap("<")))
+measure("q17_capture_ratios", up=(lambda: A.up_capture(r, b), _cap(">")), down=(lambda: A.down_capture(r, b), _cap("<")))
 _n = lambda c, d: f"count(*) FILTER (WHERE {c}) / CAST(count(*) FILTER (WHERE {d}) AS DOUBLE)"
 _ud = {"up_number": _n("r > 0 AND b > 0", "b > 0"), "down_number": _n("r < 0 AND b < 0", "b < 0"), "up_percent": _n("r > b AND b > 0", "b > 0"), "down_percent": _n("r > b AND b < 0", "b < 0"), "up_capture": _cap(">"), "down_capture": _cap("<")}
-measure("q18_up_down_ratios", **{k: (A.up_down(r, b)[k], q) for k, q in _ud.items()})
+measure("q18_up_down_ratios", **{k: (lambda k=k: A.up_down(r, b)[k], q) for k, q in _ud.items()})
 measure(
     "q19_gain_loss_ratios",
-    bernardo_ledoit=(A.bernardo_ledoit(r), "sum(greatest(r, 0)) / sum(greatest(-r, 0))"),
-    d_ratio=(A.d_ratio(r), "(count(*) FILTER (WHERE r < 0) * sum(greatest(-r, 0))) / (count(*) FILTER (WHERE r > 0) * sum(greatest(r, 0)))"),
-    prospect=(A.prospect_ratio(r, MAR), f"(avg(greatest(r, 0) + 2.25 * least(r, 0)) - {MAR}) / sqrt({_dn('r', 2)})"),
+    bernardo_ledoit=(lambda: A.bernardo_ledoit(r), "sum(greatest(r, 0)) / sum(greatest(-r, 0))"),
+    d_ratio=(lambda: A.d_ratio(r), "(count(*) FILTER (WHERE r < 0) * sum(greatest(-r, 0))) / (count(*) FILTER (WHERE r > 0) * sum(greatest(r, 0)))"),
+    prospect=(lambda: A.prospect_ratio(r, MAR), f"(avg(greatest(r, 0) + 2.25 * least(r, 0)) - {MAR}) / sqrt({_dn('r', 2)})"),
 )
 
 # --- drawdowns -----------------------------------------------------------------
@@ -233,20 +246,20 @@ rows(
 )
 
 # --- tables --------------------------------------------------------------------
-_q = lambda p: (F.expr(f"percentile(r, {p})"), f"quantile_cont(r, {p})")
+_q = lambda p: (lambda: F.expr(f"percentile(r, {p})"), f"quantile_cont(r, {p})")
 measure(
     "e01_table_stats",
-    n=(F.count(r), "count(r)"), nas=(F.sum(r.isNull().cast("long")), "count(*) - count(r)"), minimum=(F.min(r), "min(r)"), q1=_q(0.25), median=_q(0.5), mean=(F.avg(r), "avg(r)"),
-    geometric=(A.geometric_mean(r), "exp(avg(ln(1 + r))) - 1"), q3=_q(0.75), maximum=(F.max(r), "max(r)"), se_mean=(F.stddev_samp(r) / F.sqrt(F.count(r)), f"{_sd} / sqrt(count(r))"),
-    variance=(F.var_samp(r), "var_samp(r)"), stdev=(F.stddev_samp(r), _sd), skewness=(M.skewness(r), _skew), kurtosis=(M.kurtosis(r), f"{_kurt} - 3"),
+    n=(lambda: F.count(r), "count(r)"), nas=(lambda: F.sum(r.isNull().cast("long")), "count(*) - count(r)"), minimum=(lambda: F.min(r), "min(r)"), q1=_q(0.25), median=_q(0.5), mean=(lambda: F.avg(r), "avg(r)"),
+    geometric=(lambda: A.geometric_mean(r), "exp(avg(ln(1 + r))) - 1"), q3=_q(0.75), maximum=(lambda: F.max(r), "max(r)"), se_mean=(lambda: F.stddev_samp(r) / F.sqrt(F.count(r)), f"{_sd} / sqrt(count(r))"),
+    variance=(lambda: F.var_samp(r), "var_samp(r)"), stdev=(lambda: F.stddev_samp(r), _sd), skewness=(lambda: M.skewness(r), _skew), kurtosis=(lambda: M.kurtosis(r), f"{_kurt} - 3"),
 )
-measure("e02_table_distributions", mean=(F.avg(r), "avg(r)"), sd=(F.stddev_samp(r), _sd), scaled_sd=(A.deviation(r, S), f"{_sd} * sqrt({S})"), skew=(M.skewness(r, "sample"), "skewness(r)"), kurt=(M.kurtosis(r, "sample"), "kurtosis(r)"), least=(F.min(r), "min(r)"), most=(F.max(r), "max(r)"), median=_q(0.5))
+measure("e02_table_distributions", mean=(lambda: F.avg(r), "avg(r)"), sd=(lambda: F.stddev_samp(r), _sd), scaled_sd=(lambda: A.deviation(r, S), f"{_sd} * sqrt({S})"), skew=(lambda: M.skewness(r, "sample"), "skewness(r)"), kurt=(lambda: M.kurtosis(r, "sample"), "kurtosis(r)"), least=(lambda: F.min(r), "min(r)"), most=(lambda: F.max(r), "max(r)"), median=_q(0.5))
 measure(
     "e03_table_higher_moments",
-    mean=(F.avg(r), "avg(r)"), sd=(F.stddev_samp(r), _sd), skew=(M.skewness(r), _skew), kurt=(M.kurtosis(r, excess=False), _kurt),
-    coskewness=(A.co_moments(r, b)["coskewness"], f"{_c(1, 2)} / ({_sdp} * {_c(0, 2)})"), cokurtosis=(A.co_moments(r, b)["cokurtosis"], f"{_c(1, 3)} / ({_sdp} * pow({_c(0, 2)}, 1.5))"),
+    mean=(lambda: F.avg(r), "avg(r)"), sd=(lambda: F.stddev_samp(r), _sd), skew=(lambda: M.skewness(r), _skew), kurt=(lambda: M.kurtosis(r, excess=False), _kurt),
+    coskewness=(lambda: A.co_moments(r, b)["coskewness"], f"{_c(1, 2)} / ({_sdp} * {_c(0, 2)})"), cokurtosis=(lambda: A.co_moments(r, b)["cokurtosis"], f"{_c(1, 3)} / ({_sdp} * pow({_c(0, 2)}, 1.5))"),
 )
-measure("e04_table_annualized_returns", annual_return=(A.annualized(r, S), _year("r")), annual_sd=(A.deviation(r, S), f"{_sd} * sqrt({S})"), annual_sharpe=(A.sharpe(r, RF, S), _sharpe))
+measure("e04_table_annualized_returns", annual_return=(lambda: A.annualized(r, S), _year("r")), annual_sd=(lambda: A.deviation(r, S), f"{_sd} * sqrt({S})"), annual_sharpe=(lambda: A.sharpe(r, RF, S), _sharpe))
 _months = list(range(1, 13))
 rows(
     "e05_table_calendar_returns",
@@ -273,7 +286,7 @@ rows(
     _autocorrelation,
     f"SELECT asset, {', '.join(f'{said(f"rho{k}")} AS rho{k}' for k in _lags)}, {said('n * (n + 2) * (' + ' + '.join(f'rho{k} * rho{k} / (n - {k})' for k in _lags) + ')')} AS q6 FROM (SELECT asset, count(r) AS n, {', '.join(f'corr(r, l{k}) AS rho{k}' for k in _lags)} FROM (SELECT asset, r, {', '.join(f'lag(r, {k}) OVER (PARTITION BY asset ORDER BY date) AS l{k}' for k in _lags)} FROM rb) GROUP BY asset)",
 )
-measure("e08_table_capm", alpha=(A.alpha(r, b, RF), _alpha), beta=(A.beta(r, b, RF), _beta), r2=(F.regr_r2(r - RF, b - RF), f"regr_r2({_y}, {_x})"), te=(A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"), ir=(A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"), treynor=(A.treynor(r, b, RF, S), f"avg({_y}) * {S} / {_beta}"))
+measure("e08_table_capm", alpha=(lambda: A.alpha(r, b, RF), _alpha), beta=(lambda: A.beta(r, b, RF), _beta), r2=(lambda: F.regr_r2(r - RF, b - RF), f"regr_r2({_y}, {_x})"), te=(lambda: A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"), ir=(lambda: A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"), treynor=(lambda: A.treynor(r, b, RF, S), f"avg({_y}) * {S} / {_beta}"))
 rows(
     "e09_table_correlation",
     lambda d: P.pairs(d).groupBy("a1", "a2").agg(shown(F.corr("r1", "r2")).alias("corr"), F.count("*").alias("n")),
@@ -284,8 +297,8 @@ rows(
     lambda d: d.withColumn("mu", F.avg(r).over(Window.partitionBy("asset"))).groupBy("asset").agg(shown(F.avg(F.abs(r - F.col("mu")))).alias("mad"), shown(F.stddev_samp(r)).alias("sd"), shown(A.deviation(r, S)).alias("annual_sd")),
     f"SELECT asset, {said('avg(abs(r - mr))')} AS mad, {said(_sd)} AS sd, {said(f'{_sd} * sqrt({S})')} AS annual_sd FROM rc GROUP BY asset",
 )
-measure("e11_table_information_ratio", active=(A.active_premium(r, b, S, "arithmetic"), f"(avg(r) - avg(b)) * {S}"), te=(A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"), ir=(A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"))
-measure("e11_table_specific_risk", specific=(A.specific_risk(r, b, RF, S), _spec), systematic=(A.systematic_risk(r, b, RF, S), _sys), total=(A.total_risk(r, b, RF, S), f"sqrt(pow({_sys}, 2) + pow({_spec}, 2))"))
+measure("e11_table_information_ratio", active=(lambda: A.active_premium(r, b, S, "arithmetic"), f"(avg(r) - avg(b)) * {S}"), te=(lambda: A.tracking_error(r, b, S), f"stddev_samp(r - b) * sqrt({S})"), ir=(lambda: A.information_ratio(r, b, S), f"avg(r - b) / stddev_samp(r - b) * sqrt({S})"))
+measure("e11_table_specific_risk", specific=(lambda: A.specific_risk(r, b, RF, S), _spec), systematic=(lambda: A.systematic_risk(r, b, RF, S), _sys), total=(lambda: A.total_risk(r, b, RF, S), f"sqrt(pow({_sys}, 2) + pow({_spec}, 2))"))
 rows(
     "e11_table_downside",
     lambda d: d.groupBy("asset").agg(*[shown(c).alias(n) for n, c in {"semi": F.sqrt(M.lower_moment(r, F.lit(0.0), 2)), "downside": A.downside_deviation(r, MAR), "omega": A.omega(r, MAR), "sortino": A.sortino(r, MAR), "upside_potential_ratio": A.upside_potential_ratio(r, MAR)}.items()]),

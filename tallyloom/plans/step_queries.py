@@ -517,12 +517,12 @@ def _(t):
 
 
 # --- scalar functions ----------------------------------------------------------
-_q, _p, _d, _x = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 _id = ("l_orderkey", "l_linenumber")
 
 
 @query("f01_row_statistics", "SELECT l_orderkey, l_linenumber, round(a + b + c, 6) AS s, round((a + b + c) / 3, 6) AS m, least(a, b, c) AS lo, greatest(a, b, c) AS hi, round(greatest(a, b, c) - least(a, b, c), 6) AS rng, CAST(CASE WHEN d IS NULL THEN 3 ELSE 4 END AS INT) AS n, CAST(CASE WHEN d IS NULL THEN 1 ELSE 0 END AS INT) AS nm, round(list_stddev_samp([a, b, c]), 6) AS sd, round(list_var_samp([a, b, c]), 6) AS v FROM (SELECT *, l_quantity AS a, l_discount AS b, l_tax AS c, CASE WHEN l_quantity > 25 THEN l_tax END AS d FROM lineitem)")
 def _(t):
+    _q, _d, _x = (F.col(c) for c in ("l_quantity", "l_discount", "l_tax"))
     d = F.when(_q > 25, _x)
     return t.lineitem.select(*_id, F.round(S.sum_of(_q, _d, _x), 6).alias("s"), F.round(S.mean_of(_q, _d, _x), 6).alias("m"), S.min_of(_q, _d, _x).alias("lo"), S.max_of(_q, _d, _x).alias("hi"), F.round(S.range_of(_q, _d, _x), 6).alias("rng"), S.n_of(_q, _d, _x, d).alias("n"), S.nmiss_of(_q, _d, _x, d).alias("nm"), F.round(S.std_of(_q, _d, _x), 6).alias("sd"), F.round(S.var_of(_q, _d, _x), 6).alias("v"))
 
