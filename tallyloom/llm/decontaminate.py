@@ -71,12 +71,9 @@ class _Block:
         self.ids, self.n = ids, n
         h, at, _ = tokens([t.encode() for t in texts])
         self.words = [h[a:b] for a, b in zip(at, at[1:], strict=False)]
-        # an item shorter than a seed is a seed as a whole, padded by repeating its last word
-        full = [np.concatenate([x, np.repeat(x[-1:], max(0, n - len(x)))]) if len(x) else x for x in self.words]
-        sizes = np.array([0, *map(len, full)])
-        g, first = kernel.grams(np.concatenate([*full, np.zeros(0, np.uint64)]), np.cumsum(sizes), n)
-        self.item = np.searchsorted(np.cumsum(sizes), first, "right") - 1
-        self.place = first - np.cumsum(sizes)[self.item]
+        g, first = kernel.grams(h, at, n)
+        self.item = np.searchsorted(at, first, "right") - 1
+        self.place = first - at[self.item]
         order = np.argsort(g, kind="stable")
         self.gram, self.item, self.place = g[order], self.item[order], self.place[order]
         self.only()
@@ -154,8 +151,9 @@ def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS
     at least the threshold; th is the hash of the text.
 
     Null or empty texts and items align with nothing; rows with a null doc_id
-    are searched and give a null doc_id; items with a null id are left out;
-    repeated rows give repeated results.  Other columns are not read.
+    are searched and give a null doc_id; items with a null id, and items shorter
+    than a seed (too short to tell a copy from chance), are left out; repeated
+    rows give repeated results.  Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))

@@ -122,7 +122,9 @@ def test_pii_filter_passes_all_texts_with_spans():
 
 
 def test_pii_terms(spark, docs, empty):
-    rows = [(i, f"filler{i} words{i} before zanzibar writes to ann@x.example today number{i} goes{i} on{i}", "en", "s", 1) for i in range(8)]
+    rng = random.Random(12)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    rows = [(i, f"{some(4)} zanzibar ann@x.example {some(4)}", "en", "s", 1) for i in range(8)]
     rows += [(100 + i, f"plain text{i} about weather and nothing else number{i}", "en", "s", 1) for i in range(200)]
     rows += [(400, "the zanzibar alone", "en", "s", 1), (401, None, "en", "s", 1), (402, "", "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -234,11 +236,9 @@ def test_index_on_dense_groups():
         a, b = simhash.forest(f, 4)
         at = {int(x): i for i, x in enumerate(f)}
         group = linked([int(x) for x in f], 4)
-        up = list(range(len(f)))
         assert len(a) == len(f) - len(set(group))
         for x, y in zip(a, b):
             assert group[at[int(x)]] == group[at[int(y)]]
-        del up
 
 
 def test_components_of_long_chains(spark):
@@ -255,12 +255,13 @@ def test_licences(spark, docs, empty):
     edited = mit.replace("restriction", "limits").replace("whom", "which")
     rows = [(1, f"intro\nreleased under the mit license\nend"), (2, f"code\n\n{wrapped}\n\nmore"), (3, edited), (4, "Permission is hereby granted to nobody at all"), (5, None), (6, ""), (None, "Licensed under CC BY-NC 4.0."), (7, "word " * 50_000), (8, "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.")]
     got = rows_of(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "unit", "unit_no", "licence")
-    assert got == sorted([(1, "line", 1, "MIT"), (2, "paragraph", 1, "MIT"), (3, "line", 0, "MIT"), (None, "line", 0, "CC-BY-NC-4.0"), (8, "line", 0, "CC-BY-NC-4.0"), (8, "line", 1, "CC-BY-NC-4.0"), (8, "paragraph", 0, "CC-BY-NC-4.0")], key=str) or (8, "paragraph", 0, "CC-BY-NC-4.0") not in got
+    want = [(1, "line", 1, "MIT"), (1, "paragraph", 0, "MIT"), (2, "paragraph", 1, "MIT"), (2, "text", 0, "MIT"), (3, "line", 0, "MIT"), (None, "line", 0, "CC-BY-NC-4.0"), (8, "line", 0, "CC-BY-NC-4.0"), (8, "line", 1, "CC-BY-NC-4.0"), (8, "paragraph", 0, "CC-BY-NC-4.0")]
+    assert got == sorted(want, key=str)
     dice = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 3").first().dice
     a, b = licences.bigrams(edited), licences.bigrams(mit)
     assert dice == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
     assert licences.scan(empty).collect() == [] and licences.scan(docs).collect() == []
-    plan = licences.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
@@ -299,7 +300,6 @@ def test_fit_is_the_best_subset_sum(items, budget):
     lengths, counts = [n for n, _ in items], [c for _, c in items]
     take = mixing.fit(lengths, counts, budget)
     assert all(0 <= t <= c for t, c in zip(take, counts))
-    start = [c * budget // max(1, sum(n * c for n, c in items)) for c in counts]
     reach = {0}
     for n, c in items:
         reach = {r + k * n for r in reach for k in range(c + 1)}
@@ -308,7 +308,6 @@ def test_fit_is_the_best_subset_sum(items, budget):
     if budget < sum(n * c for n, c in items):
         # the share taken first may cost the optimum at most the longest length
         assert got >= max(r for r in reach if r <= budget) - max(lengths)
-    del start
 
 
 def test_targets_are_shared_again():
@@ -429,7 +428,7 @@ def test_quality_line_frequency(spark, docs, corpus, empty):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: r for r in quality.quality(df).collect()}
     assert all(got[i].kept and got[i].lost_words == 14 for i in range(40))
-    assert not any(got[100 + i].kept for i in range(3)) and not got[100].base_failed or got[100].base_failed
+    assert not any(got[100 + i].kept for i in range(3)) and all(got[100 + i].lost_words == 42 for i in range(3))
     assert all(got[200 + i].kept and got[200 + i].lost_words == 0 for i in range(5))
     assert all(got[300 + i].kept and got[300 + i].lost_words == 0 for i in range(60))
     kept = {r.doc_id: r.text for r in quality.apply_quality(df).collect()}
@@ -481,8 +480,8 @@ def test_decontamination_against_brute_force(spark, empty):
     want = set()
     for d, t in rows:
         for i, x in items:
-            if i is not None and x and d != 204:
-                a = tok(x)
+            a = tok(x or "")
+            if i is not None and len(a) >= 3 and d != 204:
                 if brute_align(a, tok(t or "")) / (2 * len(a)) >= 0.5:
                     want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
