@@ -3,8 +3,10 @@ broadcasts and distributed connected components."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,15 @@ SALTS = 16
 BLANKS = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on find this package where it
+    isn't installed (one machine, or a path that all machines share)."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
     temporary one where it is unset (tests in one process)."""

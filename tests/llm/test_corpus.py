@@ -223,7 +223,7 @@ def test_simhash_against_brute_force(spark, docs, corpus, empty):
     assert rows_of(got, "doc_id", "fingerprint", "component_id") == want
     assert rows_of(simhash.near_duplicates(docs, tile=8), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_duplicates(empty).collect() == []
-    kept = simhash.keep_one(docs, shingle=4)
+    kept = simhash.keep_one(docs, shingle=4, bits=4, rounds=1, banded=1)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(ids) == sorted(set(least.values()))
 
@@ -234,6 +234,7 @@ def test_index_on_dense_groups():
         base = rng.integers(0, 2**63, centres, dtype=np.uint64)
         f = np.unique(np.array([int(base[rng.integers(centres)]) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, far + 1), replace=False)) for _ in range(n)], np.uint64))
         a, b = simhash.forest(f, 4)
+        a, b = f[a], f[b]
         at = {int(x): i for i, x in enumerate(f)}
         group = linked([int(x) for x in f], 4)
         assert len(a) == len(f) - len(set(group))
@@ -241,6 +242,24 @@ def test_index_on_dense_groups():
             assert group[at[int(x)]] == group[at[int(y)]]
 
 
+def test_keep_one_finds_near_copies(spark):
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for i in range(120):
+        words = prose(rng, 200, 200).split(" ")
+        rows.append((i, " ".join(words)))
+        if i < 60:
+            for _ in range(rng.randint(1, 4)):
+                words[rng.randrange(200)] = "edit" + str(rng.random())
+            rows.append((1000 + i, " ".join(words)))
+            pairs.append((i, 1000 + i))
+        elif i < 90:  # half of the text is another
+            rows.append((1000 + i, " ".join(words[:100]) + " " + prose(rng, 100, 100)))
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(b not in kept for _, b in pairs) >= 58 and all(a in kept for a, _ in pairs)
+    assert all(1000 + i in kept for i in range(60, 90)) and all(i in kept for i in range(120))
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
