@@ -304,3 +304,42 @@ rows(
     lambda d: d.groupBy("asset").agg(*[shown(c).alias(n) for n, c in {"semi": F.sqrt(M.lower_moment(r, F.lit(0.0), 2)), "downside": A.downside_deviation(r, MAR), "omega": A.omega(r, MAR), "sortino": A.sortino(r, MAR), "upside_potential_ratio": A.upside_potential_ratio(r, MAR)}.items()]),
     f"SELECT asset, {said(f'sqrt({_dn("r", 2, 0)})')} AS semi, {said(f'sqrt({_dn("r", 2)})')} AS downside, {said(f'{_up("r", 1)} / {_dn("r", 1)}')} AS omega, {said(f'avg(r - {MAR}) / sqrt({_dn("r", 2)})')} AS sortino, {said(f'{_up("r", 1)} / sqrt({_dn("r", 2)})')} AS upside_potential_ratio FROM rb GROUP BY asset",
 )
+
+
+# --- Hurst index: rescaled range over the whole series and its halves ------------
+def _rescaled(d: DataFrame) -> DataFrame:
+    """(asset, n, rs): range of the cumulated deviations over the deviation, for
+    the whole series and the mean over its two halves."""
+    at = d.withColumn("at", F.row_number().over(P.by_time())).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
+    cut = F.explode(F.array(F.struct(F.lit(1).alias("parts"), F.lit(0).alias("part")), F.struct(F.lit(2).alias("parts"), F.when(F.col("at") <= F.expr("n div 2"), 0).otherwise(1).alias("part"))))
+    rows_ = at.withColumn("c", cut).select("asset", "at", "r", "c.*")
+    w = Window.partitionBy("asset", "parts", "part")
+    dev = rows_.withColumn("dev", F.col("r") - F.avg("r").over(w))
+    path = dev.withColumn("z", F.sum("dev").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    each = path.groupBy("asset", "parts", "part").agg(F.count("*").alias("m"), M.safe(F.max("z") - F.min("z"), F.stddev_pop("r")).alias("rs"))
+    return each.groupBy("asset", "parts").agg(F.avg("m").alias("m"), F.avg("rs").alias("rs"))
+
+
+rows(
+    "k12_hurst_index",
+    lambda d: _rescaled(d).groupBy("asset").agg(shown(F.regr_slope(F.log("rs"), F.log("m"))).alias("hurst")),
+    f"SELECT asset, {said('regr_slope(ln(rs), ln(m))')} AS hurst FROM (SELECT asset, parts, avg(m) AS m, avg(rs) AS rs FROM (SELECT asset, parts, part, count(*) AS m, (max(z) - min(z)) / any_value(s) AS rs FROM (SELECT asset, parts, part, sum(r - mu) OVER (PARTITION BY asset, parts, part ORDER BY at_) AS z, s FROM (SELECT *, avg(r) OVER (PARTITION BY asset, parts, part) AS mu, stddev_pop(r) OVER (PARTITION BY asset, parts, part) AS s FROM (SELECT asset, r, at_, parts, CASE WHEN parts = 1 OR at_ <= n // 2 THEN 0 ELSE 1 END AS part FROM (SELECT asset, r, row_number() OVER (PARTITION BY asset ORDER BY date) AS at_, count(*) OVER (PARTITION BY asset) AS n FROM rb), unnest([1, 2]) AS u(parts)))) GROUP BY asset, parts, part) GROUP BY asset, parts) GROUP BY asset",
+)
+
+
+# --- portfolio Kelly: inverse covariance times mean excess, for two assets ---------
+def _kelly_pair(d: DataFrame) -> DataFrame:
+    """Weights of A and R that maximise growth, normalised to one: a closed form over sums."""
+    x = F.max(F.when(F.col("asset") == "A", r))
+    y = F.max(F.when(F.col("asset") == "R", r))
+    both = d.groupBy("date").agg(x.alias("x"), y.alias("y")).dropna()
+    m = both.agg(F.avg(F.col("x") - RF).alias("mx"), F.avg(F.col("y") - RF).alias("my"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"), F.covar_samp("x", "y").alias("xy"))
+    a, c = F.col("yy") * F.col("mx") - F.col("xy") * F.col("my"), F.col("xx") * F.col("my") - F.col("xy") * F.col("mx")
+    return m.select(F.round(M.safe(a, a + c), 4).alias("a"), F.round(M.safe(c, a + c), 4).alias("r"))
+
+
+rows(
+    "q15_kelly_portfolio",
+    _kelly_pair,
+    f"SELECT round((yy * mx - xy * my) / ((yy * mx - xy * my) + (xx * my - xy * mx)), 4) AS a, round((xx * my - xy * mx) / ((yy * mx - xy * my) + (xx * my - xy * mx)), 4) AS r FROM (SELECT avg(x.r - {RF}) AS mx, avg(y.r - {RF}) AS my, var_samp(x.r) AS xx, var_samp(y.r) AS yy, covar_samp(x.r, y.r) AS xy FROM rb x JOIN rb y ON x.date = y.date AND x.asset = 'A' AND y.asset = 'R')",
+)

@@ -583,3 +583,11 @@ def _(t):
 
     d = etl.daily_summary(etl.transform(etl.order_transactions(t.orders, t.customer, t.nation, t.region), 200000))
     return d.select("date", "region", "product", *[F.round(c, 4).alias(c) for c in ("total_sales", "total_tax", "grand_total")])
+
+
+@query("st_windowed_summary", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(t):
+    from ..streaming.replay import windowed_summary
+
+    out = windowed_summary(t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", ["event_type"], {"value": "total"})
+    return out.withColumn("total", F.round("total", 4))
