@@ -2,7 +2,8 @@
 
 Source text is expanded by the macro interpreter, cut into statements, and each
 step becomes one plan bound to the next version of its dataset.  Nothing is
-executed here but CALL SYMPUT-free plans; actions are the caller's.
+executed here but the listing of ID values for PROC TRANSPOSE; other actions are
+the caller's.
 
 Rules of DATA steps: statements apply in order, each to all rows; a comparison
 assigned to a variable is 1 or 0; a new variable that only some rows assign is
@@ -19,7 +20,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import steps as O
 from ..sources.tables import Library, parse_datalines, read_csv, write_csv
@@ -510,7 +510,6 @@ class DataStep:
         self.df = self.df.where(F.lit(False) if when is None else F.coalesce(~when, F.lit(True)))
 
     def do_input(self, s, when):
-        names: list[str] = []
         for i, t in enumerate(s[1:], 1):
             if t.text == "$":
                 self.columns[-1] = (self.columns[-1][0], "string")
@@ -519,7 +518,6 @@ class DataStep:
                 self.columns[-1] = (self.columns[-1][0], "string")
             elif t.kind == "name":
                 self.columns.append((t.text, "double"))
-        del names
 
     def do_datalines(self, s, when):
         text = self.program._lines[int(s[1].text)]
@@ -717,38 +715,39 @@ class Procedure:
         write_csv(self.data(), unquote(self.options["outfile"][0].text))
 
     def proc_sql(self) -> None:
-        views = self.program.library.register_views()
-        for lib, path in self.program.library.paths.items():
-            for name in {m[1].lower() for s in self.block[1:] for m in re.finditer(rf"\b{lib}\.(\w+)", s, re.I)}:
-                key = f"{lib}.{name}"
-                if key not in views:
-                    views[key] = f"{lib}__{name}"
-                    self.program.library.get(key).createOrReplaceTempView(views[key])
-                del path
-                path = ""
         for s in self.block[1:]:
-            m = re.match(r"create\s+(?:table|view)\s+([\w.]+)\s+as\s+(.*)$", s, re.I | re.S)
-            d = re.match(r"drop\s+(?:table|view)\s+([\w.]+)\s*$", s, re.I)
-            if d:
-                self.program.library.delete(d[1])
+            made = re.match(r"create\s+(?:table|view)\s+([\w.]+)\s+as\s+(.*)$", s, re.I | re.S)
+            dropped = re.match(r"drop\s+(?:table|view)\s+([\w.]+)\s*$", s, re.I)
+            if dropped:
+                self.program.library.delete(dropped[1])
                 continue
-            text = m[2] if m else s
+            text = made[2] if made else s
             if not re.match(r"\s*(select|with)\b", text, re.I):
                 raise SyntaxProblem(f"PROC SQL: {s[:40]} isn't supported")
-            for key, view in views.items():
-                pattern = re.escape(key.removeprefix("work.")) if not key.startswith("work.") else rf"(?:work\.)?{re.escape(key[5:])}"
-                new = re.sub(rf"(?<![\w.]){pattern}(?![\w.]|\s*\()", view, text, flags=re.I) if key.startswith("work.") is False else re.sub(rf"(?<![\w.])work\.{re.escape(key[5:])}\b", view, text, flags=re.I)
-                if new != text or re.search(rf"\b{re.escape(view)}\b", text, re.I):
-                    self.step.reads.append(key)
-                text = new
-            text = re.sub(r"\^=|~=", "<>", text)
-            df = self.program.spark.sql(text)
-            if m:
-                self.program.write(Reference(m[1]), df, self.step)
-                views = self.program.library.register_views() | {k: v for k, v in views.items() if k not in views}
+            df = self.program.spark.sql(self._with_views(text))
+            if made:
+                self.program.write(Reference(made[1]), df, self.step)
             else:
                 self.program.printed.append(df)
 
+    def _with_views(self, text: str) -> str:
+        """SQL text in which datasets, one or two levels, are names of views."""
+        library = self.program.library
+        views = library.register_views()
+        for lib in library.paths:
+            for name in {m[1].lower() for m in re.finditer(rf"(?<![\w.]){lib}\.(\w+)", text, re.I)}:
+                if (key := f"{lib}.{name}") not in views:
+                    views[key] = f"{lib}__{name}"
+                    library.get(key).createOrReplaceTempView(views[key])
+        for key, view in views.items():
+            name = rf"(?:work\.)?{re.escape(key[5:])}" if key.startswith("work.") else re.escape(key)
+            if re.search(rf"(?<![\w.]){name}(?![\w.])", text, re.I):
+                self.step.reads.append(key)
+                if view != key.removeprefix("work."):
+                    text = re.sub(rf"(?<![\w.]){name}(?![\w.])", view, text, flags=re.I)
+                text = re.sub(rf"(?<![\w.])work\.{re.escape(key.partition('.')[2])}\b", view, text, flags=re.I) if key.startswith("work.") else text
+        return re.sub(r"\^=|~=", "<>", text)
+
 
 def compile_program(spark: SparkSession, source: str, datasets: dict[str, DataFrame] | None = None, include: Callable[[str], str] | None = None) -> Program:
     """Compile source over the given datasets."""
@@ -757,5 +756,3 @@ def compile_program(spark: SparkSession, source: str, datasets: dict[str, DataFr
         program.library.put(name, df)
     return program.run(source)
 
-
-__all__ = ["Program", "compile_program", "T"]
