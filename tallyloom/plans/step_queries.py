@@ -591,3 +591,112 @@ def _(t):
 
     out = windowed_summary(t.events.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "ts", ["event_type"], {"value": "total"})
     return out.withColumn("total", F.round("total", 4))
+
+
+# --- further inventory rows ------------------------------------------------------
+@query("s06_temp_views", "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey")
+def _(t):
+    lib = T.Library(t.spark)
+    lib.put("sup", t.supplier)
+    view = lib.register_views()["work.sup"]
+    return t.spark.table(view).groupBy("s_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("p01_set", "SELECT r_regionkey, r_name FROM region")
+def _(t):
+    return O.stack(t.region)
+
+
+@query("p14_two_outputs", "SELECT 'a' AS ds, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'b', count(*) FROM orders WHERE o_orderstatus <> 'F'")
+def _(t):
+    from .program import compile_program
+
+    p = compile_program(t.spark, "data a b; set o; if o_orderstatus = 'F' then output a; else output b; run;", {"o": t.orders})
+    return O.stack(*[p.library.get(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("ds"), "n") for n in "ab"])
+
+
+@query("p16_do_until", "SELECT r_regionkey, CAST(ceil(ln(100 / (r_regionkey + 1.0)) / ln(2)) AS INT) AS turns FROM region")
+def _(t):
+    # DO UNTIL (x >= 100); x = x * 2; a bounded fold over a sequence, as rows have no loops
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct((F.col("r_regionkey") + 1.0).cast("double").alias("x"), F.lit(0).alias("n")), lambda s, _: F.struct(F.when(s.x < 100, s.x * 2).otherwise(s.x).alias("x"), F.when(s.x < 100, s.n + 1).otherwise(s.n).alias("n")))
+    return t.region.select("r_regionkey", x["n"].alias("turns"))
+
+
+@query("p18_array", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l_quantity, l_discount * 2 AS l_discount, l_tax * 2 AS l_tax FROM lineitem WHERE l_orderkey < 2000")
+def _(t):
+    return t.lineitem.where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", *[(F.col(c) * 2).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+
+
+@query("j05_comma_join", "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey")
+def _(t):
+    return t.spark.sql("SELECT s_name, n_name FROM {s} AS s, {n} AS n WHERE s_nationkey = n_nationkey", s=t.supplier, n=t.nation)
+
+
+@query("a10_basic", "SELECT l_linestatus, min(l_tax) AS lo, max(l_tax) AS hi, round(avg(l_tax), 6) AS mean, round(sum(l_tax), 4) AS total FROM lineitem GROUP BY 1")
+def _(t):
+    x = "l_tax"
+    return t.lineitem.groupBy("l_linestatus").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.round(F.avg(x), 6).alias("mean"), F.round(F.sum(x), 4).alias("total"))
+
+
+@query("a15_skew_kurtosis", "SELECT event_type, round(skewness(value), 6) AS sample_skew, round(kurtosis(value), 6) AS sample_kurt, round(kurtosis_pop(value), 6) AS kurt FROM events GROUP BY 1")
+def _(t):
+    from ..functions.moments import kurtosis, skewness
+
+    v = F.col("value")
+    return t.events.groupBy("event_type").agg(F.round(skewness(v, "sample"), 6).alias("sample_skew"), F.round(kurtosis(v, "sample"), 6).alias("sample_kurt"), F.round(kurtosis(v), 6).alias("kurt"))
+
+
+@query("a17_geometric_mean", "SELECT p_brand, round(exp(avg(ln(1 + p_retailprice / 10000))) - 1, 6) AS g FROM part GROUP BY 1")
+def _(t):
+    from ..operators.performance import geometric_mean
+
+    return t.part.groupBy("p_brand").agg(F.round(geometric_mean(F.col("p_retailprice") / 10000), 6).alias("g"))
+
+
+@query("a19_collect", "SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY 1")
+def _(t):
+    return t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+
+
+@query("a21_frequency", "SELECT l_returnflag, round(avg(CASE WHEN l_discount < 0.04 THEN 1.0 ELSE 0.0 END), 6) AS freq FROM lineitem GROUP BY 1")
+def _(t):
+    from ..operators.performance import downside_frequency
+
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(downside_frequency(F.col("l_discount"), 0.04), 6).alias("freq"))
+
+
+@query("o05_union_by_name", "SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def _(t):
+    return O.stack(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), t.supplier.select(F.col("s_acctbal").alias("bal"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")))
+
+
+@query("w06_running_product", "SELECT o_custkey, o_orderkey, round(exp(sum(ln(1 + o_totalprice / 1e7)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)), 6) AS growth FROM orders")
+def _(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return t.orders.select("o_custkey", "o_orderkey", F.round(F.exp(F.sum(F.log(1 + F.col("o_totalprice") / 1e7)).over(w)), 6).alias("growth"))
+
+
+@query("u01_fuzzy_equal", "SELECT count(*) FILTER (WHERE abs(o_totalprice - round(o_totalprice, 1)) > 0.02) AS differs FROM orders")
+def _(t):
+    return t.orders.agg(F.sum((F.abs(F.col("o_totalprice") - F.round("o_totalprice", 1)) > 0.02).cast("long")).alias("differs"))
+
+
+@query("proc_reg_two_regressors", "SELECT l_returnflag, round(p, 4) AS quantity, round(q, 4) AS discount FROM (SELECT l_returnflag, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS p, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS q FROM (SELECT l_returnflag, var_pop(l_quantity) AS xx, var_pop(l_discount) AS zz, covar_pop(l_quantity, l_discount) AS xz, covar_pop(l_quantity, l_extendedprice) AS xy, covar_pop(l_discount, l_extendedprice) AS zy FROM lineitem GROUP BY 1))")
+def _(t):
+    x, z, y = F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice")
+    # centred covariances: power sums would lose digits on unscaled prices
+    m = t.lineitem.groupBy("l_returnflag").agg(F.var_pop(x).alias("xx"), F.var_pop(z).alias("zz"), F.covar_pop(x, z).alias("xz"), F.covar_pop(x, y).alias("xy"), F.covar_pop(z, y).alias("zy"))
+    det = F.nullif(F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz"), F.lit(0.0))
+    return m.select("l_returnflag", F.round((F.col("zz") * F.col("xy") - F.col("xz") * F.col("zy")) / det, 4).alias("quantity"), F.round((F.col("xx") * F.col("zy") - F.col("xz") * F.col("xy")) / det, 4).alias("discount"))
+
+
+@query("proc_tabulate", "SELECT o_orderpriority, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS \"F\", round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS \"O\", round(sum(o_totalprice), 2) AS all_ FROM orders GROUP BY ROLLUP (o_orderpriority)")
+def _(t):
+    part = lambda s: F.round(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), 2).alias(s)
+    return t.orders.rollup("o_orderpriority").agg(part("F"), part("O"), F.round(F.sum("o_totalprice"), 2).alias("all_"))
+
+
+@query("proc_format", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Part' END AS status FROM orders")
+def _(t):
+    labels = F.create_map(*[F.lit(x) for kv in {"F": "Finished", "O": "Open"}.items() for x in kv])
+    return t.orders.select("o_orderkey", F.coalesce(labels[F.col("o_orderstatus")], F.lit("Part")).alias("status"))
