@@ -6,10 +6,17 @@ compared with licence templates.  For sets of A and B bigrams a coefficient of
 t takes min(A, B) / max(A, B) >= t / (2 - t), so the size of a unit leaves a few
 templates only; the others are never intersected.  Units outside all bounds
 don't even get bigrams.  Nothing is shuffled.
+
+A unit that reaches t with a template of B bigrams shares t / (2 - t) * B of
+them at least.  So for each template a few words are chosen whose bigrams are
+more than the rest: a unit, or a whole text, without any of the chosen words
+can't match and isn't taken apart.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +76,28 @@ def _least_share(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
+#: Words that are rare in other texts; anchors are taken from them where they suffice.
+JARGON = frozenset("apache bsd cc commons governed conditions copies copyright creative disclaimer distribute distribution documentation gnu granted license licensed mit modification modify mozilla mpl nc notice permission permitted redistribution redistributions released software sublicense unencumbered warranties".split())
+
+
+def anchors(known: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with a template has one."""
+    chosen: set[str] = set()
+    for _, grams in sorted(known, key=lambda k: len(k[1])):
+        pairs = [set(g.split(" ")) for g in grams]
+        while len(open_ := [p for p in pairs if not p & chosen]) >= _least_share(threshold) * len(pairs) * (1 - 1e-9):
+            words = sorted({w for p in open_ for w in p})
+            chosen.add(max(words, key=lambda w: (w in JARGON, len(w) > 4, sum(w in p for p in open_), len(w), w)))
+    return sorted(chosen)
+
+
+def _has_any(words: list[str]) -> Column:
+    """Whether column low has one of the words."""
+    # a text with a word has the word's parts too
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    return reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in least])
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, unit, unit_no, licence, dice) for each unit and the licence
     that it matches best, if its coefficient reaches the threshold; ties go to
@@ -83,8 +112,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     sizes = [len(b) for _, b in known]
     if not known:
         return docs.sparkSession.createDataFrame([], "doc_id long, unit string, unit_no int, licence string, dice double")
+    keys = anchors(known, threshold)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    units = _units(rows, "doc_id", "text")
+    # exploding one value keeps the optimiser from folding the text's case once for each word
+    lowered = lambda df, c: df.withColumn("low", F.explode(F.array(F.lower(c)))).where(_has_any(keys)).drop("low")
+    units = lowered(_units(lowered(rows, "text"), "doc_id", "text"), "body")
     # a unit of n words has at most n bigrams, and at least two letters and a blank for each; repeated bigrams only make it smaller
     units = units.where(F.length("body") >= 3 * int(min(sizes) * share))
     words = units.select("doc_id", "unit", "unit_no", F.explode(F.array(F.regexp_extract_all(F.translate("body", _UPPER, _LOWER), F.lit(_WORD), F.lit(0)))).alias("words")).where(F.size("words") >= int(min(sizes) * share))

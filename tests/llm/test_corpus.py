@@ -284,6 +284,14 @@ def test_licences(spark, docs, empty):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_anchors_lose_no_match():
+    known = sorted((name, sorted(b)) for name, many in licences.TEMPLATES.items() for t in many if (b := licences.bigrams(t)))
+    keys = set(licences.anchors(known, licences.THRESHOLD))
+    share = licences.THRESHOLD / (2 - licences.THRESHOLD)
+    for _, grams in known:
+        assert sum(not set(g.split(" ")) & keys for g in grams) < share * len(grams)
+
+
 # --- 5: language ---------------------------------------------------------------------------
 def test_codewords():
     for n in (2, 3, 4, 9, 40):
