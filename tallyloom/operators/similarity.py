@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +31,48 @@ def jaccard_top(docs: DataFrame, queries: DataFrame, k: int = 5, least: float =
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.5, key: str = "vec_id", vector: str = "embedding", rows: int = 100_000) -> DataFrame:
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.5, key: str = "vec_id", vector: str = "embedding", rows: int = 10_000) -> DataFrame:
     """(query, vec_id, cosine, rank): the k nearest vectors of each query by
-    cosine.  Queries are a stated set and are sent to all tasks in blocks of at
-    most `rows`."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.nullif(norm(F.transform(c, lambda y: y.cast("double"))), F.lit(0.0)))
-    v = vectors.select(key, unit(F.col(vector)).alias("v"))
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("u"))
+    cosine, ties by key.  Queries are a stated set and go to all tasks in blocks
+    of at most `rows`; each Arrow batch is one matrix product and keeps k rows
+    for each query.  Null and zero vectors are like nothing."""
     n = queries.count() // rows + 1
-    out = None
+    q = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("u")).where(F.col("u").isNotNull())
+    v = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    parts = []
     for i in range(n):
-        block = q if n == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
-        dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        scored = v.join(F.broadcast(block), F.col("query") != F.col(key)).select("query", key, F.round(dot, 9).alias("cosine")).where(F.col("cosine") >= least)
-        w = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
-        part = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = part if out is None else out.unionByName(part)
-    return out
+        block = q.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).toPandas()
+        if len(block):
+            parts.append(v.mapInArrow(_nearest(block["query"].to_numpy(np.int64), np.stack(block["u"].to_list()), k, least), "query long, key long, cosine double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query long, `{key}` long, cosine double, rank int")
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "key")
+    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.select("query", F.col("key").alias(key), "cosine", "rank")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, np.nan)
+
+
+def _nearest(ids: np.ndarray, u: np.ndarray, k: int, least: float):
+    unit = _unit(u)
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            order = np.argsort(keys, kind="stable")
+            column = batch.column("v")
+            if not len(keys):
+                continue
+            cos = np.round(unit @ _unit(column.flatten().to_numpy().reshape(len(keys), -1)[order]).T, 9)
+            keys = keys[order]
+            cos[(ids[:, None] == keys[None, :]) | ~(cos >= least)] = -np.inf
+            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            row, col = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
+            go = np.isfinite(cos[row, col])
+            row, col = row[go], col[go]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[col]), pa.array(cos[row, col])], names=["query", "key", "cosine"])
+
+    return run

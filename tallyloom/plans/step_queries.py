@@ -353,8 +353,9 @@ def _(t):
 
 @query("a11_percentiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(median(l_extendedprice), 6) AS med, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem GROUP BY 1")
 def _(t):
-    x = "l_extendedprice"
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.percentile(x, 0.25), 6).alias("q1"), F.round(F.median(x), 6).alias("med"), F.round(F.percentile(x, 0.75), 6).alias("q3"))
+    # one histogram for all three
+    q = t.lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    return q.select("l_returnflag", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "med", "q3"))])
 
 
 @query("a12_approximate_percentile", None)
