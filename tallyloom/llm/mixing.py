@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise
+from .common import BLANKS, materialise, small_side
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -130,7 +130,9 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, doc_
     by_source = [(r.src, r.words) for r in by_length.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("words")).orderBy("src").collect()]
     goal = targets(by_source, weights, most)
     sizes = spark.createDataFrame([(s, n, float(goal[s])) for s, n in by_source], "src string, source_size long, target double")
-    plan = by_length.join(F.broadcast(sizes), "src").groupBy("src").applyInPandas(_plan(window), "src string, size long, full long, extra long")
+    few = small_side(sizes, len(by_source))
+    sizes = sizes if few is None else few
+    plan = by_length.join(sizes, "src").groupBy("src").applyInPandas(_plan(window), "src string, size long, full long, extra long")
     plan = materialise(plan)
     # The `extra` smallest ranks of each (src, size), found in two steps so that no group meets in one task.
     part = F.shiftrightunsigned("rank", 52).cast("int")
@@ -143,7 +145,7 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, doc_
     cut = dealt.where("some > 0 and some < m")
     place = F.rank().over(Window.partitionBy("src", "size", "part").orderBy("rank", "th")) + F.count("*").over(Window.partitionBy("src", "size", "part", "rank", "th")) - 1
     cut = cut.withColumn("more", (place <= F.col("some")).cast("long"))
-    return whole.unionByName(cut).join(F.broadcast(sizes), "src").select("doc_id", "size", "source_size", "target", ((F.col("full") + F.col("more")) * F.col("size")).alias("taken"), "source", "th", "src")
+    return whole.unionByName(cut).join(sizes, "src").select("doc_id", "size", "source_size", "target", ((F.col("full") + F.col("more")) * F.col("size")).alias("taken"), "source", "th", "src")
 
 
 def select(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_TIMES, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW) -> DataFrame:
