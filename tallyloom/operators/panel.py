@@ -63,12 +63,12 @@ def drawdowns(rets: DataFrame, start_at_one: bool = True) -> DataFrame:
 def episodes(rets: DataFrame) -> DataFrame:
     """One row for each drawdown: asset, episode, begin, trough, end, depth,
     length, to_trough, recovery, recovered.  The last one may be open."""
-    dd = drawdowns(rets).withColumn("at", F.row_number().over(by_time()))
+    dd = drawdowns(rets).withColumn("at", F.row_number().over(by_time())).withColumn("n", F.count("*").over(Window.partitionBy("asset")))
     tagged = dd.withColumn("island", F.sum((F.col("dd") == 0).cast("long")).over(so_far()))
-    last = dd.groupBy("asset").agg(F.max("at").alias("n"))
-    out = tagged.where("dd < 0").groupBy("asset", "island").agg(F.min("date").alias("begin"), F.min_by("date", "dd").alias("trough"), F.max("date").alias("end"), F.min("dd").alias("depth"), F.count("*").alias("length"), (F.min_by("at", "dd") - F.min("at") + 1).cast("long").alias("to_trough"), F.max("at").alias("stop"))
-    out = out.join(F.broadcast(last), "asset")
-    return out.select("asset", F.row_number().over(Window.partitionBy("asset").orderBy("begin")).alias("episode"), "begin", "trough", "end", "depth", "length", "to_trough", (F.col("length") - F.col("to_trough")).alias("recovery"), (F.col("stop") < F.col("n")).alias("recovered"))
+    to_trough = (F.min_by("at", "dd") - F.min("at") + 1).cast("long")
+    out = tagged.where("dd < 0").groupBy("asset", "island").agg(F.min("date").alias("begin"), F.min_by("date", "dd").alias("trough"), F.max("date").alias("end"), F.min("dd").alias("depth"), F.count("*").alias("length"), to_trough.alias("to_trough"), (F.max("at") < F.max("n")).alias("recovered"))
+    episode = F.row_number().over(Window.partitionBy("asset").orderBy("begin"))
+    return out.select("asset", episode.alias("episode"), "begin", "trough", "end", "depth", "length", "to_trough", (F.col("length") - F.col("to_trough")).alias("recovery"), "recovered")
 
 
 def pairs(rets: DataFrame) -> DataFrame:

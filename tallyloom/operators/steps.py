@@ -151,7 +151,7 @@ def normalize(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.0,
     """value / (sum(value) / k), over all rows or within BY groups; the sums are
     aggregated first, so no window over all rows lands in one task."""
     total = df.groupBy(*by).agg((F.sum(value) / k).alias("__total"))
-    joined = df.join(F.broadcast(total) if not by else total, list(by), "left") if by else df.crossJoin(F.broadcast(total))
+    joined = df.join(total, list(by), "left") if by else df.crossJoin(F.broadcast(total))
     return joined.withColumn(name, F.col(value) / F.nullif("__total", F.lit(0.0))).drop("__total")
 
 
