@@ -163,11 +163,13 @@ def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS
         counted = rows.select("text").mapInArrow(*_count(block)).groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
         known = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["docs"].tolist(), strict=True))
         docs_of = np.array([known.get(g, 0) for g in block.gram.tolist()], np.int64)
+        block.only(docs_of > 0)  # the rarest are taken among those that occur
+        docs_of = docs_of[docs_of > 0]
         order = np.lexsort((block.place, docs_of, block.item))
         rank = np.empty(len(order), np.int64)
         edge = np.flatnonzero(np.diff(block.item[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(edge, np.diff(np.append(edge, len(order))))
-        block.only((docs_of > 0) & ((docs_of <= rare) | (rank < rarest)))
+        block.only((docs_of <= rare) | (rank < rarest))
         found = rows.mapInArrow(*_score(block, threshold))
         out = found if out is None else out.unionByName(materialise(found))
     return spark.createDataFrame([], "doc_id long, th long, item_id long, score double") if out is None else out

@@ -521,6 +521,15 @@ def test_decontamination_against_brute_force(spark, empty):
     assert decontaminate.contaminated(empty, bench).collect() == [] and decontaminate.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_of_an_edited_passage_in_many_documents(spark):
+    item = [f"word{i}" for i in range(40)]
+    edited = " ".join("edit" if i in (7, 15, 23, 31) else w for i, w in enumerate(item))
+    docs = spark.createDataFrame([(i, f"page{i} {edited} end{i}") for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench, rare=20, rarest=12).collect()} == set(range(30))
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == set(range(30))
+
+
 # --- 10: line dedup -------------------------------------------------------------------------------------
 def words_apart(a, b):
     """Edit distance over words, as far as it matters: 0, 1 or more."""
