@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman scores.
-
-Test items are taken in blocks of bounded size against all documents.  A first
-pass counts in how many documents each item n-gram occurs; an item's seeds are
-its n-grams of low document frequency, and always its rarest ones.  A second
-pass looks the seeds up in each document and aligns the passage around each
-hit with the item (local alignment over words).  The score is the alignment's
-share of the score of an exact copy.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman scores.
+
+Test items are taken in blocks of bounded size against all documents.  Every
+item n-gram is a seed, however many documents hold it.  A pass looks the seeds
+up in each document and aligns the passage around each hit with the item
+(local alignment over words), unless the words that item and passage share
+can't give the threshold.  The score is the alignment's share of the score of
+an exact copy.
+
+If a bound on the seeds is asked for, a first pass counts in how many documents
+each item n-gram occurs; an item's seeds are then its n-grams of low document
+frequency, and always its rarest ones.  Copies without such a seed are lost.
 """
 
 from __future__ import annotations
@@ -18,15 +22,16 @@ from pyspark.sql import functions as F
 from . import kernel
 from .common import materialise
 
-#: Words of a seed; documents that may hold a seed; the least number of an item's rarest n-grams taken anyway.
+#: Words of a seed; the least number of an item's rarest n-grams taken anyway, if seeds are bounded.
 SEED_WORDS = 3
-RARE_DOCS = 20
 RAREST = 12
 #: Share of an exact copy's score from which a passage counts as a copy.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of test items that one pass over the documents handles.
 BLOCK_WORDS = 4_000_000
+#: Pairs of a hit and an item that are looked at together.
+PAIRS = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
@@ -64,6 +69,23 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bound(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """A score that no local alignment of an item with its passage exceeds: an
+    item's word matches only if the passage holds it, and costs if left out."""
+    size = np.array([len(x) for x in items], np.int64)
+    if not size.sum():
+        return np.zeros(len(items), np.int64)
+    pair = np.repeat(np.arange(len(items)), size)
+    salted = lambda words, of: kernel.mix(words + kernel.mix(of.astype(np.uint64)))
+    there = salted(np.concatenate(passages), np.repeat(np.arange(len(passages)), [len(x) for x in passages]))
+    gain = np.where(np.isin(salted(np.concatenate(items), pair), there), MATCH, max(MISMATCH, GAP))
+    # the best run of each item: the running sum less its least value so far, which a lift per item keeps apart
+    total = np.concatenate([[0], np.cumsum(gain)])[:-1]
+    lift = (MATCH - GAP - MISMATCH) * (len(gain) + 1)
+    start = np.minimum.accumulate(total - pair * lift) + pair * lift
+    return np.maximum.reduceat(total + gain - start, np.concatenate([[0], np.cumsum(size)[:-1]]))
+
+
 class _Block:
     """The n-grams of a block of items as sorted arrays, small enough to send to every task."""
 
@@ -110,31 +132,49 @@ def _count(block: _Block):
 
 def _score(block: _Block, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+    sizes = np.array([len(x) for x in block.words], np.int64)
 
     def make(batch, texts):
         h, at, doc = tokens(texts)
         g, first = block.hits(h, at)
         lo, hi = np.searchsorted(block.gram, g, "left"), np.searchsorted(block.gram, g, "right")
-        n = hi - lo
-        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(g) else np.zeros(0, np.int64)
-        d, item, begin = np.repeat(doc[first], n), block.item[pick], np.repeat(first, n) - block.place[pick]
-        size = np.array([len(x) for x in block.words] or [0])[item]
-        cell = begin // np.maximum(size, 1)  # hits that start nearly alike share a passage
-        _, one = np.unique(np.stack([d, item, cell]), axis=1, return_index=True) if len(d) else (None, np.zeros(0, np.int64))
-        d, item, begin, size = d[one], item[one], begin[one], size[one]
-        slack = size // 2 + 2
-        lo, hi = np.maximum(begin - slack - size, at[d]), np.minimum(begin + 2 * size + slack, at[d + 1])
-        score = align([block.words[i] for i in item], [h[a:b] for a, b in zip(lo, hi, strict=True)]) / np.maximum(MATCH * size, 1)
-        go = score >= threshold
+        part = np.cumsum(hi - lo) // PAIRS
         best: dict[tuple[int, int], float] = {}
-        for key, s in zip(zip(d[go].tolist(), item[go].tolist(), strict=True), score[go].tolist(), strict=True):
-            best[key] = max(s, best.get(key, 0.0))
+        for k in np.unique(part):
+            n, low, word = (hi - lo)[part == k], lo[part == k], first[part == k]
+            pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            d, item = np.repeat(doc[word], n), block.item[pick]
+            cell = (np.repeat(word, n) - block.place[pick]) // sizes[item]  # hits that start nearly alike share a passage
+            d, item, cell = np.unique(np.stack([d, item, cell]), axis=1)
+            size = sizes[item]
+            slack = np.maximum(np.ceil((1 - threshold) * MATCH * size / -GAP), 0).astype(np.int64)  # words that an alignment at the threshold can skip
+            lo_, hi_ = np.maximum(cell * size - slack, at[d]), np.minimum((cell + 2) * size + slack, at[d + 1])
+            items, passages = [block.words[i] for i in item], [h[a:b] for a, b in zip(lo_, hi_, strict=True)]
+            go = np.flatnonzero(bound(items, passages) >= threshold * MATCH * size)
+            score = align([items[i] for i in go], [passages[i] for i in go]) / (MATCH * size[go])
+            go, score = go[score >= threshold], score[score >= threshold]
+            for key, s in zip(zip(d[go].tolist(), item[go].tolist(), strict=True), score.tolist(), strict=True):
+                best[key] = max(s, best.get(key, 0.0))
         rows = pa.array([k[0] for k in best], pa.int64())
         return {"doc_id": batch.column("doc_id").take(rows), "th": batch.column("th").take(rows), "item_id": pa.array([block.ids[k[1]] for k in best], pa.int64()), "score": pa.array(list(best.values()), pa.float64())}
 
     return kernel.over_texts(make, schema), "doc_id long, th long, item_id long, score double"
 
 
+def _rarest(rows: DataFrame, block: _Block, rare: int, rarest: int) -> np.ndarray:
+    """Which n-grams of the block occur, in at most `rare` documents or as one of their item's rarest."""
+    counted = rows.select("text").mapInArrow(*_count(block)).groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
+    known = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["docs"].tolist(), strict=True))
+    docs_of = np.array([known.get(g, 0) for g in block.gram.tolist()], np.int64)
+    there = np.flatnonzero(docs_of)  # the rarest are taken among those that occur
+    item, docs_of = block.item[there], docs_of[there]
+    order = np.lexsort((block.place[there], docs_of, item))
+    rank = np.empty(len(order), np.int64)
+    edge = np.flatnonzero(np.diff(item[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
+    rank[order] = np.arange(len(order)) - np.repeat(edge, np.diff(np.append(edge, len(order))))
+    return there[(docs_of <= rare) | (rank < rarest)]
+
+
 def blocks(items: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple[int, str]]]:
     """The items in blocks of about `words` words; only one block is held at a time by each use."""
     rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
@@ -146,30 +186,24 @@ def blocks(items: DataFrame, item_id: str, text: str, words: int) -> list[list[t
             yield [(r.i, r.t) for r in part]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, rare: int = RARE_DOCS, rarest: int = RAREST, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS, rare: int | None = None, rarest: int = RAREST, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, th, item_id, score) for each document and item that align with
     at least the threshold; th is the hash of the text.
 
     Null or empty texts and items align with nothing; rows with a null doc_id
     are searched and give a null doc_id; items with a null id, and items shorter
     than a seed (too short to tell a copy from chance), are left out; repeated
-    rows give repeated results.  Other columns are not read.
+    rows give repeated results.  Every trigram of an item is a seed; with rare,
+    only those in at most so many documents and the item's rarest.  Other
+    columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
     out = None
     for part in blocks(items, item_id, item_text, block_words):
         block = _Block([i for i, _ in part], [t for _, t in part], seed_words)
-        counted = rows.select("text").mapInArrow(*_count(block)).groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
-        known = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["docs"].tolist(), strict=True))
-        docs_of = np.array([known.get(g, 0) for g in block.gram.tolist()], np.int64)
-        block.only(docs_of > 0)  # the rarest are taken among those that occur
-        docs_of = docs_of[docs_of > 0]
-        order = np.lexsort((block.place, docs_of, block.item))
-        rank = np.empty(len(order), np.int64)
-        edge = np.flatnonzero(np.diff(block.item[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(edge, np.diff(np.append(edge, len(order))))
-        block.only((docs_of <= rare) | (rank < rarest))
+        if rare is not None:
+            block.only(_rarest(rows, block, rare, rarest))
         found = rows.mapInArrow(*_score(block, threshold))
         out = found if out is None else out.unionByName(materialise(found))
     return spark.createDataFrame([], "doc_id long, th long, item_id long, score double") if out is None else out

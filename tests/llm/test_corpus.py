@@ -530,6 +530,25 @@ def test_decontamination_of_an_edited_passage_in_many_documents(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == set(range(30))
 
 
+def test_decontamination_of_partial_copies_beside_many_whole_ones(spark):
+    item = [f"word{i}" for i in range(40)]
+    rows = [(i, f"page{i} {' '.join(item)} end{i}") for i in range(30)] + [(100 + i, f"page{i} {' '.join(item[14:])} end{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {d: 1.0 if d < 100 else 0.65 for d, _ in rows}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(5, 14), max_size=8), st.lists(st.integers(5, 14), max_size=12)), min_size=1, max_size=4))
+def test_bound_of_alignments(pairs):
+    mix = lambda x: kernel.mix(np.array(x, np.uint64))
+    got = decontaminate.bound([mix(a) for a, _ in pairs if a], [mix(b) for a, b in pairs if a])
+    best = lambda a, b: max(0, *(sum(2 if x in b else -1 for x in a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)))
+    assert [max(0, x) for x in got.tolist()] == [best(a, b) for a, b in pairs if a]
+    assert all(brute_align(a, b) <= best(a, b) for a, b in pairs if a)
+
+
 # --- 10: line dedup -------------------------------------------------------------------------------------
 def words_apart(a, b):
     """Edit distance over words, as far as it matters: 0, 1 or more."""
