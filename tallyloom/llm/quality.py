@@ -6,8 +6,8 @@ lines above the limit are boilerplate, and a document that consists of
 boilerplate by more than a given share of its words is depleted.
 
 Copies of a document must not turn its own lines into boilerplate, so two
-documents count as one for a line when the smallest hash among their other
-lines is the same (a one-value min-hash of the rest of the document).
+documents count as one when they have the same set of lines, told by the sum
+of the lines' mixed hashes.
 """
 
 from __future__ import annotations
@@ -65,12 +65,10 @@ def _measure(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
     plain = _PLAIN[w.buf].tobytes()
     md5 = hashlib.md5
     line = np.frombuffer(b"".join(md5(b" ".join(plain[s:e].split())).digest()[:8] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), ">u8").astype(np.uint64)
-    least = np.full(n, 2**64 - 1, np.uint64)
-    np.minimum.at(least, doc, line)
-    second = np.full(n, 2**64 - 1, np.uint64)
-    other = line != least[doc]
-    np.minimum.at(second, doc[other], line[other])
-    rest = np.where(other, least[doc], second[doc])
+    _, again = kernel.repeated(line, doc)
+    every = np.zeros(n, np.uint64)
+    np.add.at(every, doc[~again], kernel.mix(line[~again]))
+    rest = every[doc] - kernel.mix(line)  # the document's other lines
     flat = pa.StructArray.from_arrays([pa.array(line.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(words.astype(np.int32))], fields=list(_LINE))
     out["lines"] = kernel.lists(flat, np.bincount(doc, minlength=n), _LINE)
     return out

@@ -468,6 +468,18 @@ def test_quality_line_frequency(spark, docs, corpus, empty):
     assert quality.apply_quality(docs).columns == docs.columns and quality.quality(empty).collect() == []
 
 
+def test_quality_blocks_of_boilerplate_lines(spark):
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(n))
+    rows = []
+    for host in range(10):
+        block = "\n".join(own(5) for _ in range(4))
+        rows += [(100 * host + i, f"{block}\n{own(60)}", "en", f"h{host}", 0) for i in range(60)]
+        rows += [(5000 + 100 * host + i, rows[-1][1], "en", f"g{host}", 0) for i in range(60)]  # copies only
+    got = quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id < 5000, r.lost_words, r.kept) for r in got} == {(True, 20, True), (False, 0, True)}
+
+
 # --- 9: decontamination -----------------------------------------------------------------------------
 def brute_align(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
