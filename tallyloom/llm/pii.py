@@ -8,13 +8,13 @@ beside the term, as a share of the entity's own information content,
 
     disclosure(t, e) = log(c(t, e) N / (c(e) d(t))) / log(N / c(e)),
 
-with c(e) the distinct contexts of e, c(t, e) those that hold t, d(t) the
-documents that hold t, and N all documents.  A term that was seen beside the
-entity in enough distinct contexts is generalised from one threshold on and
-removed from a higher one, wherever it occurs.
+with c(e) the documents in which terms stand beside e, c(t, e) those in which t
+does, d(t) the documents that hold t, and N all documents.  A term that was
+seen beside the entity in enough documents is generalised from one threshold
+on and removed from a higher one, wherever it occurs.
 
-Contexts count as one when the smallest hash of their other terms is equal, so
-copies of a document are no further evidence.
+All four count distinct documents: rows with the same text (told by its hash)
+are one, so copies are no further evidence and don't dilute what there is.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ KINDS = (*BASE_KINDS, "removed", "generalised")
 #: Words on either side of an entity that make its context; letters of a term.
 WINDOW_WORDS = 6
 TERM_LETTERS = 4
-#: Distinct contexts in which a term stands beside an entity; disclosure to generalise and to remove.
+#: Distinct documents in which a term stands beside an entity; disclosure to generalise and to remove.
 LEAST_CONTEXTS = 3
 GENERALISE = 0.6
 REMOVE = 0.8
@@ -105,7 +105,7 @@ def _terms(texts: list[bytes]) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _SPAN_DDL = "array<struct<kind:string,start:int,end:int>>"
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64())])
+_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
 
 
 def _find(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
@@ -128,10 +128,7 @@ def _find(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
                 entity = int(kernel.Words([f"{kind}:{value}".encode()]).hashes()[0].view(np.int64))
                 left, right = np.searchsorted(end, s, "right"), np.searchsorted(begin, e)
                 pick = np.arange(max(0, left - WINDOW_WORDS), min(len(hs), right + WINDOW_WORDS))
-                around = np.unique(hs[pick[ok[pick]]])
-                for t in around:
-                    rest = around[around != t]
-                    near[i].append({"entity": entity, "term": int(t.view(np.int64)), "context": int((rest.min() if len(rest) else t).view(np.int64))})
+                near[i] += [{"entity": entity, "term": t} for t in np.unique(hs[pick[ok[pick]]]).view(np.int64).tolist()]
     spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found]
     return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "spans": pa.array(spans, pa.list_(_SPAN)), "near": pa.array(near, pa.list_(_NEAR))}
 
@@ -159,19 +156,19 @@ def _filter(terms: DataFrame) -> np.ndarray:
 
 
 def _documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, docs): in how many rows of docs each of the terms occurs."""
+    """(term, docs): in how many distinct texts of docs each of the terms occurs."""
     maybe = _filter(terms)
-    schema = pa.schema([("term", pa.int64()), ("docs", pa.int64())])
+    schema = pa.schema([("term", pa.int64()), ("th", pa.int64())])
 
-    def make(_, texts):
+    def make(batch, texts):
         w, h, good = _terms(texts)
         go = good & maybe[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        one = np.unique(np.stack([h[go], w.doc[go].astype(np.uint64)]), axis=1)[0] if go.any() else h[:0]
-        term, n = np.unique(one, return_counts=True)
-        return {"term": term.view(np.int64), "docs": n.astype(np.int64)}
+        th = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
+        term, th = np.unique(np.stack([h[go], th[w.doc[go]]]), axis=1)
+        return {"term": term.view(np.int64), "th": th.view(np.int64)}
 
-    counted = docs.select("text").mapInArrow(kernel.over_texts(make, schema), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    return counted.join(terms, "term", "left_semi")
+    held = docs.select("th", "text").mapInArrow(kernel.over_texts(make, schema), "term long, th long").distinct()
+    return held.groupBy("term").agg(F.count("*").alias("docs")).join(terms, "term", "left_semi")
 
 
 def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -194,17 +191,17 @@ def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
     """(term, disclosure, kind) of the terms that reveal an entity; None if no
-    term has enough contexts."""
-    near = materialise(found.select(F.inline("near")).distinct())
-    together = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("both")).where(F.col("both") >= least)
+    term has enough documents."""
+    near = materialise(found.select("th", F.inline("near")).distinct())
+    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
     together = materialise(together)
     if together.isEmpty():
         return None
-    alone = near.groupBy("entity").agg(F.countDistinct("context").alias("own"))
-    n = docs.count()
+    alone = near.groupBy("entity").agg(F.countDistinct("th").alias("own"))
+    n = docs.select("th").distinct().count()
     seen = materialise(_documents(docs, together.select("term").distinct()))
     joined = together.join(alone, "entity").join(seen, "term")
-    share = F.log(F.col("both") * F.lit(float(n)) / (F.col("own") * F.greatest("docs", "both"))) / F.log(F.lit(float(n) + 1) / F.col("own"))
+    share = F.log(F.col("both") * F.lit(float(n)) / (F.col("own") * F.col("docs"))) / F.log(F.lit(float(n) + 1) / F.col("own"))
     terms = joined.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
     return materialise(terms.withColumn("kind", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")))
 
@@ -214,12 +211,12 @@ def find(docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENER
     start, then kind; th is the hash of the text.
 
     Null or empty text: no spans.  Rows with a null doc_id and repeated rows
-    give a row each, and count each as a document.  Terms inside base spans
+    give a row each; rows with the same text count as one document.  Terms inside base spans
     aren't reported.  Other columns are not read.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR))])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(kernel.over_texts(_find, schema), f"doc_id long, th long, spans {_SPAN_DDL}, near array<struct<entity:long,term:long,context:long>>"))
+    found = materialise(rows.mapInArrow(kernel.over_texts(_find, schema), f"doc_id long, th long, spans {_SPAN_DDL}, near array<struct<entity:long,term:long>>"))
     terms = disclosing(found, rows, least, generalise, remove)
     if terms is None:
         return found.select("doc_id", "th", "spans")

@@ -143,6 +143,18 @@ def test_pii_terms(spark, docs, empty):
     assert all(r.base_sha256 == nothing and r.spans == "" for r in got.collect())
 
 
+def test_pii_terms_of_copied_documents_and_equal_windows(spark):
+    rng = random.Random(13)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    plain = [some(12) for _ in range(400)]
+    copied = [f"{some(7)} zanzibar ann@x.example {some(7)}" for _ in range(3)]
+    signed = [f"{some(8)} please contact martha jones quickly under bob@y.example with every urgent question about payment {some(8)}" for _ in range(8)]
+    texts = plain + copied * 100 + signed + ["the zanzibar and martha alone"]
+    found = pii.find(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)).collect()
+    last = next(r for r in found if r.doc_id == len(texts) - 1)
+    assert [(s.kind, s.start) for s in last.spans] == [("removed", 4), ("removed", 17)]
+
+
 # --- 2: context mixing --------------------------------------------------------------
 def test_unigram_base_and_probability(spark, docs, corpus, empty):
     train, texts = Counter(), [(i, t or "") for i, t, *_ in corpus]
