@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman scores.
 
 Test items are taken in blocks of bounded size against all documents.  Every
-item n-gram is a seed, however many documents hold it.  A pass looks the seeds
-up in each document and aligns the passage around each hit with the item
+item n-gram is a seed, however many documents hold it; an item of fewer words
+is a seed as a whole.  A pass looks the seeds up in each document and aligns the passage around each hit with the item
 (local alignment over words), unless the words that item and passage share
 can't give the threshold.  The score is the alignment's share of the score of
 an exact copy.
@@ -14,13 +14,16 @@ frequency, and always its rarest ones.  Copies without such a seed are lost.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernel
-from .common import materialise
+from .common import kind_of, materialise
 
 #: Words of a seed; the least number of an item's rarest n-grams taken anyway, if seeds are bounded.
 SEED_WORDS = 3
@@ -86,18 +89,17 @@ def bound(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return np.maximum.reduceat(total + gain - start, np.concatenate([[0], np.cumsum(size)[:-1]]))
 
 
-class _Block:
-    """The n-grams of a block of items as sorted arrays, small enough to send to every task."""
+class _Seeds:
+    """The n-grams of one size of a block's items as sorted arrays."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int):
-        self.ids, self.n = ids, n
-        h, at, _ = tokens([t.encode() for t in texts])
-        self.words = [h[a:b] for a, b in zip(at, at[1:], strict=False)]
+    def __init__(self, h: np.ndarray, at: np.ndarray, n: int, items: np.ndarray):
+        self.n = n
         g, first = kernel.grams(h, at, n)
-        self.item = np.searchsorted(at, first, "right") - 1
-        self.place = first - at[self.item]
+        item = np.searchsorted(at, first, "right") - 1
+        go = items[item]
+        g, first, item = g[go], first[go], item[go]
         order = np.argsort(g, kind="stable")
-        self.gram, self.item, self.place = g[order], self.item[order], self.place[order]
+        self.gram, self.item, self.place = g[order], item[order], (first - at[item])[order]
         self.only()
 
     def only(self, keep: np.ndarray | None = None) -> None:
@@ -117,12 +119,24 @@ class _Block:
         return g[go], first[go]
 
 
-def _count(block: _Block):
+class _Block:
+    """A block of items and its seeds, small enough to send to every task."""
+
+    def __init__(self, ids: list, texts: list[str], n: int):
+        self.ids = ids
+        h, at, _ = tokens([t.encode() for t in texts])
+        self.words = [h[a:b] for a, b in zip(at, at[1:], strict=False)]
+        size = np.diff(at)
+        made = [_Seeds(h, at, k, size == k if k < n else size >= n) for k in range(1, n + 1) if (size == k if k < n else size >= n).any()]
+        self.seeds = made
+
+
+def _count(seeds: _Seeds):
     schema = pa.schema([("gram", pa.int64()), ("docs", pa.int64())])
 
     def make(_, texts):
         h, at, doc = tokens(texts)
-        g, first = block.hits(h, at)
+        g, first = seeds.hits(h, at)
         one = np.unique(np.stack([g, doc[first].astype(np.uint64)]), axis=1)[0] if len(g) else g
         gram, docs = np.unique(one, return_counts=True)
         return {"gram": gram.view(np.int64), "docs": docs.astype(np.int64)}
@@ -130,21 +144,19 @@ def _count(block: _Block):
     return kernel.over_texts(make, schema), "gram long, docs long"
 
 
-def _score(block: _Block, threshold: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+def _score(block: _Block, threshold: float, item_type: pa.DataType):
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", item_type), ("score", pa.float64())])
     sizes = np.array([len(x) for x in block.words], np.int64)
 
-    def make(batch, texts):
-        h, at, doc = tokens(texts)
-        g, first = block.hits(h, at)
-        lo, hi = np.searchsorted(block.gram, g, "left"), np.searchsorted(block.gram, g, "right")
+    def met(seeds: _Seeds, h: np.ndarray, at: np.ndarray, doc: np.ndarray, best: dict[tuple[int, int], float]) -> None:
+        g, first = seeds.hits(h, at)
+        lo, hi = np.searchsorted(seeds.gram, g, "left"), np.searchsorted(seeds.gram, g, "right")
         part = np.cumsum(hi - lo) // PAIRS
-        best: dict[tuple[int, int], float] = {}
         for k in np.unique(part):
             n, low, word = (hi - lo)[part == k], lo[part == k], first[part == k]
             pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            d, item = np.repeat(doc[word], n), block.item[pick]
-            cell = (np.repeat(word, n) - block.place[pick]) // sizes[item]  # hits that start nearly alike share a passage
+            d, item = np.repeat(doc[word], n), seeds.item[pick]
+            cell = (np.repeat(word, n) - seeds.place[pick]) // sizes[item]  # hits that start nearly alike share a passage
             d, item, cell = np.unique(np.stack([d, item, cell]), axis=1)
             size = sizes[item]
             slack = np.maximum(np.ceil((1 - threshold) * MATCH * size / -GAP), 0).astype(np.int64)  # words that an alignment at the threshold can skip
@@ -155,14 +167,20 @@ def _score(block: _Block, threshold: float):
             go, score = go[score >= threshold], score[score >= threshold]
             for key, s in zip(zip(d[go].tolist(), item[go].tolist(), strict=True), score.tolist(), strict=True):
                 best[key] = max(s, best.get(key, 0.0))
+
+    def make(batch, texts):
+        h, at, doc = tokens(texts)
+        best: dict[tuple[int, int], float] = {}
+        for seeds in block.seeds:
+            met(seeds, h, at, doc, best)
         rows = pa.array([k[0] for k in best], pa.int64())
-        return {"doc_id": batch.column("doc_id").take(rows), "th": batch.column("th").take(rows), "item_id": pa.array([block.ids[k[1]] for k in best], pa.int64()), "score": pa.array(list(best.values()), pa.float64())}
+        return {"doc_id": batch.column("doc_id").take(rows), "th": batch.column("th").take(rows), "item_id": pa.array([block.ids[k[1]] for k in best], item_type), "score": pa.array(list(best.values()), pa.float64())}
 
-    return kernel.over_texts(make, schema), "doc_id long, th long, item_id long, score double"
+    return kernel.over_texts(make, schema)
 
 
-def _rarest(rows: DataFrame, block: _Block, rare: int, rarest: int) -> np.ndarray:
-    """Which n-grams of the block occur, in at most `rare` documents or as one of their item's rarest."""
+def _rarest(rows: DataFrame, block: _Seeds, rare: int, rarest: int) -> np.ndarray:
+    """Which of the seeds occur, in at most `rare` documents or as one of their item's rarest."""
     counted = rows.select("text").mapInArrow(*_count(block)).groupBy("gram").agg(F.sum("docs").alias("docs")).toPandas()
     known = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["docs"].tolist(), strict=True))
     docs_of = np.array([known.get(g, 0) for g in block.gram.tolist()], np.int64)
@@ -175,9 +193,9 @@ def _rarest(rows: DataFrame, block: _Block, rare: int, rarest: int) -> np.ndarra
     return there[(docs_of <= rare) | (rank < rarest)]
 
 
-def blocks(items: DataFrame, item_id: str, text: str, words: int) -> list[list[tuple[int, str]]]:
+def blocks(items: DataFrame, item_id: str, text: str, words: int) -> Iterator[list[tuple]]:
     """The items in blocks of about `words` words; only one block is held at a time by each use."""
-    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0
     n = total // words + 1
     for k in range(n):
@@ -190,26 +208,34 @@ def contaminated(docs: DataFrame, items: DataFrame, seed_words: int = SEED_WORDS
     """(doc_id, th, item_id, score) for each document and item that align with
     at least the threshold; th is the hash of the text.
 
-    Null or empty texts and items align with nothing; rows with a null doc_id
-    are searched and give a null doc_id; items with a null id, and items shorter
-    than a seed (too short to tell a copy from chance), are left out; repeated
-    rows give repeated results.  Every trigram of an item is a seed; with rare,
+    Null or empty texts and items align with nothing, and empty tables give no
+    row; rows with a null doc_id are searched and give a null doc_id; items with
+    a null id are left out; ids may be of any type.  Repeated rows, and items
+    that tie in id, give a result each.  Items shorter than a seed are seeds as
+    a whole, so only their exact copies are found.  Every trigram of an item is a seed; with rare,
     only those in at most so many documents and the item's rarest.  Other
     columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    ddl = f"doc_id {kind_of(docs, doc_id)}, th long, item_id {kind_of(items, item_id)}, score double"
+    item_type = to_arrow_type(items.select(F.col(item_id)).schema[0].dataType)
     out = None
     for part in blocks(items, item_id, item_text, block_words):
         block = _Block([i for i, _ in part], [t for _, t in part], seed_words)
         if rare is not None:
-            block.only(_rarest(rows, block, rare, rarest))
-        found = rows.mapInArrow(*_score(block, threshold))
+            for seeds in block.seeds:
+                seeds.only(_rarest(rows, seeds, rare, rarest))
+        found = rows.mapInArrow(_score(block, threshold, item_type), ddl)
         out = found if out is None else out.unionByName(materialise(found))
-    return spark.createDataFrame([], "doc_id long, th long, item_id long, score double") if out is None else out
+    return spark.createDataFrame([], ddl) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no copy of an item; columns stay."""
+    """The rows of docs that hold no copy of an item; columns stay.
+
+    Null and empty texts hold none and stay.  Of rows that tie in doc_id those
+    go whose text holds a copy; repeated rows go or stay together.
+    """
     hit = materialise(contaminated(docs, items, doc_id=doc_id, text=text, **options)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(hit, docs[doc_id].cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(docs[text].cast("string")) == hit["__th"]), "left_anti")
+    return docs.join(hit, docs[doc_id].eqNullSafe(hit["__id"]) & (F.xxhash64(docs[text].cast("string")) == hit["__th"]), "left_anti")

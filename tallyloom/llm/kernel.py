@@ -191,12 +191,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
 
 
 def over_texts(make: Callable[[pa.RecordBatch, list[bytes]], dict], schema: pa.Schema, text: str = "text") -> Callable:
-    """A mapInArrow function: make gives the output columns of a piece as a dict."""
+    """A mapInArrow function: make gives the output columns of a piece as a dict.
+    A column doc_id has the type that it has in the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text):
             columns = make(batch, texts)
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in schema for c in [columns[f.name]]], schema=schema)
+            arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in schema for c in [columns[f.name]]]
+            at = schema.get_field_index("doc_id")
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema if at < 0 else schema.set(at, batch.schema.field("doc_id")))
 
     return run
 

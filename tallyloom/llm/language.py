@@ -70,10 +70,13 @@ def _count(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
 
 
 class Model:
-    """languages; code (languages x bits); weight (bits x buckets); slope and trust of each bit."""
+    """languages; code (languages x bits); weight (bits x buckets); trust of
+    each bit: how far apart its classifier puts the training rows of its two
+    sides on average, in relation to the other bits."""
 
-    def __init__(self, languages: list[str], code: np.ndarray, weight: np.ndarray):
+    def __init__(self, languages: list[str], code: np.ndarray, weight: np.ndarray, apart: np.ndarray):
         self.languages, self.code, self.weight = languages, code, weight.astype(np.float32)
+        self.trust = apart / max(apart.sum(), 1e-9) * len(apart)
 
     def margins(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         bucket, doc, has = _trigrams(texts)
@@ -90,10 +93,8 @@ class Model:
         """Language index, posterior weight of the choice, its lead over the runner-up."""
         if len(self.languages) == 1 or not len(margins):
             return np.zeros(len(margins), int), np.ones(len(margins)), np.ones(len(margins))
-        trust = np.abs(self.weight).mean(axis=1)
-        trust = trust / max(trust.sum(), 1e-9) * len(trust)
         z = 4.0 * margins[:, None, :] * self.code[None, :, :]
-        loss = (np.logaddexp(0, -z) * trust).sum(axis=2)
+        loss = (np.logaddexp(0, -z) * self.trust).sum(axis=2)
         p = np.exp(loss.min(axis=1, keepdims=True) - loss)
         p /= p.sum(axis=1, keepdims=True)
         order = np.argsort(-p, axis=1, kind="stable")
@@ -119,9 +120,12 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     share /= share.sum(axis=1, keepdims=True)
     code = codewords(len(languages))
     weight = np.zeros((code.shape[1], share.shape[1]))
+    apart = np.zeros(code.shape[1])
     for b in range(code.shape[1]):
-        weight[b] = np.log(share[code[:, b] > 0].mean(axis=0)) - np.log(share[code[:, b] < 0].mean(axis=0))
-    return Model(languages, code, weight)
+        one, other = share[code[:, b] > 0].mean(axis=0), share[code[:, b] < 0].mean(axis=0)
+        weight[b] = np.log(one) - np.log(other)
+        apart[b] = ((one - other) * weight[b]).sum()
+    return Model(languages, code, weight, apart)
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,8 +156,14 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 
 def learned_and_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, out_fold: int = 2) -> DataFrame:
-    """Fit on the rows whose crc32(doc_id as text) modulo folds isn't out_fold
-    (a null doc_id is never held out), predict all rows."""
+    """One row for each row of docs: doc_id, held_out, lang_pred, score,
+    ambiguous.  Fitted on the rows whose crc32(doc_id as text) modulo folds
+    isn't out_fold and whose language and text aren't null.
+
+    A null doc_id is never held out; an id may be of any type.  Null and empty
+    texts, and texts without a letter, are `und`.  Repeated rows are learned
+    from and predicted each; a tie between languages goes to the first by name.
+    """
     held = F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == out_fold, F.lit(False))
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), held.alias("held_out"))
     model = fit(marked.where(~F.col("held_out")), "lang", "text", "doc_id")

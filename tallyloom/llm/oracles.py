@@ -27,7 +27,6 @@ SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, licence, dice FROM r W
 
 def quality_rules() -> str:
     """op8: counts, and lines held by many distinct documents of a source."""
-    none = "ffffffffffffffff"
     return rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 q AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM p) WHERE c > 1),
@@ -36,9 +35,8 @@ l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d),
 f AS (SELECT doc_id, host, x, {_WORDS.format("translate(x, '" + _UPPER + "123456789', '" + _LOWER + "000000000')")} AS w FROM l),
 h AS (SELECT doc_id, host, x, len(w) AS n, substring(md5(array_to_string(w, ' ')), 1, 16) AS line FROM f WHERE len(w) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM h GROUP BY doc_id),
-m AS (SELECT doc_id, min(line) AS least FROM h GROUP BY doc_id),
-m2 AS (SELECT h.doc_id, min(line) AS second FROM h JOIN m USING (doc_id) WHERE line <> least GROUP BY h.doc_id),
-r AS (SELECT DISTINCT host, line, CASE WHEN line = least THEN coalesce(second, '{none}') ELSE least END AS rest FROM h JOIN m USING (doc_id) LEFT JOIN m2 USING (doc_id)),
+same AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(line))), '') AS content FROM h GROUP BY doc_id),
+r AS (SELECT DISTINCT host, line, content FROM h JOIN same USING (doc_id)),
 o AS (SELECT host, line FROM r GROUP BY host, line HAVING count(*) > {quality.LINE_LIMIT}),
 lost AS (SELECT doc_id, sum(n) AS n FROM h JOIN o ON h.line = o.line AND h.host IS NOT DISTINCT FROM o.host GROUP BY doc_id),
 a AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '{_BLANKS}+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
@@ -48,10 +46,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 def line_dedup() -> str:
     """op10: lines with an earlier equal line, or an earlier line one word away."""
     return rf"""WITH l AS (SELECT doc_id, i - 1 AS line_no, trim(regexp_replace(translate(x[i], chr(9) || chr(11) || chr(12) || chr(13), '    '), ' +', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS x, unnest(range(1, len(x) + 1)) AS i FROM documents)),
-k AS (SELECT * FROM l WHERE len(string_split(line, ' ')) >= {linededup.MIN_WORDS}),
+k AS (SELECT * FROM l WHERE line <> ''),
 f AS (SELECT line, min({{'d': doc_id, 'n': line_no}}) AS first, string_split(line, ' ') AS w FROM k GROUP BY line),
-v AS (SELECT line, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT line, first, w, unnest(range(1, len(w) + 1)) AS i FROM f)),
-p AS (SELECT a.line, b.first AS mate FROM v a JOIN v b ON a.v = b.v AND a.i = b.i WHERE b.first < a.first UNION ALL SELECT v.line, f.first FROM v JOIN f ON v.v = f.line WHERE f.first < v.first UNION ALL SELECT f.line, v.first FROM v JOIN f ON v.v = f.line WHERE v.first < f.first),
+v AS (SELECT line, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM (SELECT line, first, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= {linededup.NEAR_WORDS})),
+p AS (SELECT a.line, b.first AS mate FROM v a JOIN v b ON a.v = b.v AND a.i = b.i WHERE b.first < a.first UNION ALL SELECT v.line, f.first FROM v JOIN f ON v.v = f.line WHERE len(f.w) >= {linededup.NEAR_WORDS} AND f.first < v.first UNION ALL SELECT f.line, v.first FROM v JOIN f ON v.v = f.line WHERE len(f.w) >= {linededup.NEAR_WORDS} AND v.first < f.first),
 m AS (SELECT line, min(mate) AS mate FROM p GROUP BY line),
 j AS (SELECT k.doc_id, k.line_no, {{'d': k.doc_id, 'n': k.line_no}} <> first AS exact, first, mate FROM k JOIN f USING (line) LEFT JOIN m USING (line))
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE WHEN exact THEN first.d ELSE mate.d END AS keep_doc_id, CAST(CASE WHEN exact THEN first.n ELSE mate.n END AS INTEGER) AS keep_line_no, exact FROM j WHERE exact OR mate IS NOT NULL"""

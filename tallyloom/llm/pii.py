@@ -1,20 +1,24 @@
 """Personal data, and the terms that reveal it.
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone
-numbers.  The values found are the protected entities.  From the corpus it is
-estimated how strongly a term reveals an entity: the pointwise mutual
-information of the term's occurrence in a document and the entity's occurrence
-beside the term, as a share of the entity's own information content,
+numbers.  Their values in normal form that stand beside each other in enough
+documents belong to one protected entity.  From the corpus it is estimated how
+strongly a term reveals an entity: the pointwise mutual information of the
+term's occurrence in a document and the entity's occurrence beside the term, as
+a share of the entity's own information content,
 
     disclosure(t, e) = log(c(t, e) N / (c(e) d(t))) / log(N / c(e)),
 
 with c(e) the documents in which terms stand beside e, c(t, e) those in which t
-does, d(t) the documents that hold t, and N all documents.  A term that was
-seen beside the entity in enough documents is generalised from one threshold
-on and removed from a higher one, wherever it occurs.
-
-All four count distinct documents: rows with the same text (told by its hash)
-are one, so copies are no further evidence and don't dilute what there is.
+does, d(t) the documents that hold t, and N all documents.  A term counts if it
+was seen beside the entity in enough documents and if chance is no explanation:
+with m = c(e) d(t) / N expected, the probability of c(t, e) or more is at most
+m ** c(t, e) / c(t, e)!, which must not exceed a given level.  Such a term is
+generalised from one threshold of disclosure on and removed from a higher one,
+wherever it occurs.
+
+All counts are of distinct documents: rows with the same text (told by its
+hash) are one, so copies are no further evidence and don't dilute what there is.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import join_hot, materialise
+from .common import components, discard, join_hot, kind_of, materialise
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "removed", "generalised")
-#: Words on either side of an entity that make its context; letters of a term.
+#: Words on either side of an entity that make its context.
 WINDOW_WORDS = 6
-TERM_LETTERS = 4
-#: Distinct documents in which a term stands beside an entity; disclosure to generalise and to remove.
-LEAST_CONTEXTS = 3
+#: Distinct documents in which a term stands beside an entity, or two values beside each other;
+#: probability of a chance finding; disclosure to generalise and to remove.
+LEAST_CONTEXTS = 2
+CHANCE = 1e-4
 GENERALISE = 0.6
 REMOVE = 0.8
 
@@ -95,17 +100,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _terms(texts: list[bytes]) -> tuple[kernel.Words, np.ndarray, np.ndarray]:
-    """Words of letters and digits, their hashes, and which of them are terms."""
+    """Words of letters and digits, their hashes, and which of them are terms: those without digits."""
     w = kernel.Words(texts, lower=True, keep=_TERM)
-    size = np.concatenate([[0], np.cumsum(w.points())])
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.buf])])
-    good = (size[w.end] - size[w.start] >= TERM_LETTERS) & (digits[w.end] == digits[w.start])
-    return w, w.hashes(), good
+    return w, w.hashes(), digits[w.end] == digits[w.start]
+
+
+def normal(kind: str, value: str) -> str:
+    """One form for all spellings of a value."""
+    if kind == "email":
+        return value.lower()
+    if kind == "ip":
+        return ".".join(p.lstrip("0") or "0" for p in value.split("."))
+    return re.sub(r"[^0-9]", "", value)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _SPAN_DDL = "array<struct<kind:string,start:int,end:int>>"
 _NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64())])
+_BESIDE = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _find(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
@@ -113,6 +126,7 @@ def _find(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
     digits = _digits(texts)
     found = [base_spans(t) if "@" in t or d else [] for t, d in zip(plain, digits, strict=True)]
     near: list[list[dict]] = [[] for _ in texts]
+    beside: list[list[dict]] = [[] for _ in texts]
     some = [i for i, x in enumerate(found) if x]
     if some:
         w, h, good = _terms([texts[i] for i in some])
@@ -123,14 +137,17 @@ def _find(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
             hs, ok = h[words], good[words].copy()
             for _, s, e in found[i]:
                 ok &= (end <= s) | (begin >= e)
+            before = None
             for kind, s, e in found[i]:
-                value = plain[i][s:e].lower() if kind == "email" else re.sub(r"[^0-9.]", "", plain[i][s:e])
-                entity = int(kernel.Words([f"{kind}:{value}".encode()]).hashes()[0].view(np.int64))
+                entity = int(kernel.Words([f"{kind}:{normal(kind, plain[i][s:e])}".encode()]).hashes()[0].view(np.int64))
                 left, right = np.searchsorted(end, s, "right"), np.searchsorted(begin, e)
                 pick = np.arange(max(0, left - WINDOW_WORDS), min(len(hs), right + WINDOW_WORDS))
                 near[i] += [{"entity": entity, "term": t} for t in np.unique(hs[pick[ok[pick]]]).view(np.int64).tolist()]
+                if before and left - before[1] <= WINDOW_WORDS and before[0] != entity:
+                    beside[i].append({"a": min(before[0], entity), "b": max(before[0], entity)})
+                before = entity, right
     spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in found]
-    return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "spans": pa.array(spans, pa.list_(_SPAN)), "near": pa.array(near, pa.list_(_NEAR))}
+    return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "spans": pa.array(spans, pa.list_(_SPAN)), "near": pa.array(near, pa.list_(_NEAR)), "beside": pa.array(beside, pa.list_(_BESIDE))}
 
 
 def _digits(texts: list[bytes]) -> np.ndarray:
@@ -185,39 +202,56 @@ def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
         zero = point[w.first[doc]]
         return {"doc_id": batch.column("doc_id").take(row), "th": batch.column("th").take(row), "term": h[go].view(np.int64), "start": (point[w.start[go]] - zero).astype(np.int32), "end": (point[w.end[go]] - zero).astype(np.int32)}
 
-    hits = docs.mapInArrow(kernel.over_texts(make, schema), "doc_id long, th long, term long, start int, end int")
+    hits = docs.mapInArrow(kernel.over_texts(make, schema), f"doc_id {kind_of(docs, 'doc_id')}, th long, term long, start int, end int")
     return join_hot(hits, terms.select("term", "kind"), ["term"])
 
 
-def disclosing(found: DataFrame, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame | None:
+def entities(found: DataFrame, least: int = LEAST_CONTEXTS) -> DataFrame:
+    """(th, entity, term): the terms beside each entity of each distinct text;
+    values that stand beside each other in `least` texts are one entity."""
+    near = found.select("th", F.inline("near")).distinct()
+    pairs = found.select("th", F.inline("beside")).distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b")
+    pairs = materialise(pairs)
+    if pairs.isEmpty():
+        return near
+    of = components(pairs).withColumnRenamed("node", "entity")
+    return near.join(of, "entity", "left").select("th", F.coalesce("component", "entity").alias("entity"), "term").distinct()
+
+
+def disclosing(found: DataFrame, docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, chance: float = CHANCE) -> DataFrame | None:
     """(term, disclosure, kind) of the terms that reveal an entity; None if no
     term has enough documents."""
-    near = materialise(found.select("th", F.inline("near")).distinct())
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least)
-    together = materialise(together)
+    near = materialise(entities(found, least))
+    together = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= least))
     if together.isEmpty():
         return None
     alone = near.groupBy("entity").agg(F.countDistinct("th").alias("own"))
-    n = docs.select("th").distinct().count()
+    n = float(docs.select("th").distinct().count())
     seen = materialise(_documents(docs, together.select("term").distinct()))
-    joined = together.join(alone, "entity").join(seen, "term")
-    share = F.log(F.col("both") * F.lit(float(n)) / (F.col("own") * F.col("docs"))) / F.log(F.lit(float(n) + 1) / F.col("own"))
-    terms = joined.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return materialise(terms.withColumn("kind", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")))
+    joined = together.join(alone, "entity").join(seen, "term").withColumn("expected", F.col("own") * F.col("docs") / n)
+    # a factorial of more than 20 doesn't fit; that of 20 makes the bound on the probability only larger
+    luck = F.col("both") * F.log("expected") - F.log(F.factorial(F.least(F.col("both"), F.lit(20)).cast("int")).cast("double"))
+    share = F.log(F.col("both") / F.col("expected")) / F.log(F.lit(n + 1) / F.col("own"))
+    terms = joined.where(luck <= float(np.log(chance))).groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
+    terms = materialise(terms.withColumn("kind", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")))
+    discard(near, together, seen)
+    return terms
 
 
-def find(docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE, remove: float = REMOVE, doc_id: str = "doc_id", text: str = "text", chance: float = CHANCE) -> DataFrame:
     """(doc_id, th, spans: array of kind, start, end) for each row of docs, by
     start, then kind; th is the hash of the text.
 
     Null or empty text: no spans.  Rows with a null doc_id and repeated rows
-    give a row each; rows with the same text count as one document.  Terms inside base spans
-    aren't reported.  Other columns are not read.
+    give a row each, an empty table none; an id may be of any type.  Rows with
+    the same text count as one document.  Terms inside base spans aren't
+    reported.  Other columns are not read.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR))])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    found = materialise(rows.mapInArrow(kernel.over_texts(_find, schema), f"doc_id long, th long, spans {_SPAN_DDL}, near array<struct<entity:long,term:long>>"))
-    terms = disclosing(found, rows, least, generalise, remove)
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(_SPAN)), ("near", pa.list_(_NEAR)), ("beside", pa.list_(_BESIDE))])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    ddl = f"doc_id {kind_of(docs, doc_id)}, th long, spans {_SPAN_DDL}, near array<struct<entity:long,term:long>>, beside array<struct<a:long,b:long>>"
+    found = materialise(rows.mapInArrow(kernel.over_texts(_find, schema), ddl))
+    terms = disclosing(found, rows, least, generalise, remove, chance)
     if terms is None:
         return found.select("doc_id", "th", "spans")
     more = _places(rows, terms).groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
@@ -230,9 +264,13 @@ def find(docs: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENER
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with base spans replaced by their kind in brackets, generalised
-    terms by [term], and removed terms left out; all columns stay."""
+    terms by [term], and removed terms left out; all columns stay.
+
+    Null and empty texts stay as they are; repeated rows and rows that tie in
+    doc_id are each changed by their own text.
+    """
     found = find(docs, doc_id=doc_id, text=text, **options).where("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__th"])
-    out = docs.join(found, docs[doc_id].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(docs[text].cast("string")) == found["__th"]), "left")
+    out = docs.join(found, docs[doc_id].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text].cast("string")) == found["__th"]), "left")
     said = "CASE s.kind WHEN 'removed' THEN '' WHEN 'generalised' THEN '[term]' ELSE concat('[', s.kind, ']') END"
     # spans of different kinds may overlap: what an earlier one covers isn't written again
     step = f"(a, s) -> named_struct('out', concat(a.out, substring(`{text}`, a.at + 1, greatest(s.start - a.at, 0)), if(s.start >= a.at, {said}, '')), 'at', greatest(a.at, s.end))"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import BLANKS, join_hot, materialise
+from .common import BLANKS, join_hot, kind_of, materialise
 
 SYMBOLS = b"#*$%&|<>"
 #: A line in more distinct documents of a host is removed.
@@ -36,7 +36,7 @@ _PLAIN[0x30:0x3A] = 0x30
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _LINE = pa.struct([("line", pa.int64()), ("rest", pa.int64()), ("words", pa.int32())])
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("th", pa.int64()), *((c, pa.int64()) for c in _COUNTS), ("base_failed", pa.bool_()), ("lines", pa.list_(_LINE))])
-_DDL = f"doc_id long, host string, th long, {', '.join(f'{c} long' for c in _COUNTS)}, base_failed boolean, lines array<struct<line:long,rest:long,words:int>>"
+_DDL = f"host string, th long, {', '.join(f'{c} long' for c in _COUNTS)}, base_failed boolean, lines array<struct<line:long,rest:long,words:int>>"
 
 
 def _measure(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
@@ -76,8 +76,8 @@ def _measure(batch: pa.RecordBatch, texts: list[bytes]) -> dict:
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Counts and hashed lines of every row of docs, written once."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(kernel.over_texts(_measure, _SCHEMA), _DDL))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
+    return materialise(rows.mapInArrow(kernel.over_texts(_measure, _SCHEMA), f"doc_id {kind_of(rows, 'doc_id')}, {_DDL}"))
 
 
 def frequent_lines(measured: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
@@ -109,7 +109,8 @@ def quality(docs: DataFrame, limit: int = LINE_LIMIT, lost: float = LOST_SHARE,
 
     Null text counts as empty and fails; a null host is a host of its own;
     rows with a null doc_id are judged like others; repeated rows are all
-    judged, and count as one document.  Other columns are not read.
+    judged, and count as one document, as do all with the same set of lines; an
+    empty table gives no row.  An id may be of any type.  Other columns are not read.
     """
     out, _ = verdicts(docs, limit, lost, doc_id, text, host)
     return out.select("doc_id", *_COUNTS, "base_failed", "lost_words", "kept")
@@ -117,12 +118,15 @@ def quality(docs: DataFrame, limit: int = LINE_LIMIT, lost: float = LOST_SHARE,
 
 def apply_quality(docs: DataFrame, limit: int = LINE_LIMIT, lost: float = LOST_SHARE, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that are kept, with boilerplate lines taken out of the
-    text; all columns stay, n_chars (if there) is counted anew."""
+    text; all columns stay, n_chars (if there) is counted anew.
+
+    Rows with null or empty text go, as they have too few words.  Repeated rows
+    and rows that tie in doc_id are judged each by their own text."""
     out, _ = verdicts(docs, limit, lost, doc_id, text, host)
     plain = r"translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
     words = plain.replace("(x,", r"(array_join(regexp_extract_all(x, '" + BLANKS.replace("\\", "\\\\") + r"', 0), ' '),")
     verdict = out.where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.coalesce("host", F.lit("")).alias("__host"), F.col("host").isNull().alias("__none"), F.transform("gone", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))).alias("__gone")).dropDuplicates(["__id", "__th", "__host", "__none"])
-    on = docs[doc_id].cast("long").eqNullSafe(verdict["__id"]) & (F.xxhash64(docs[text].cast("string")) == verdict["__th"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == verdict["__host"]) & (docs[host].isNull() == verdict["__none"])
+    on = docs[doc_id].eqNullSafe(verdict["__id"]) & (F.xxhash64(docs[text].cast("string")) == verdict["__th"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == verdict["__host"]) & (docs[host].isNull() == verdict["__none"])
     kept = docs.join(verdict, on)
     clean = F.expr(f"array_join(filter(split(`{text}`, '\n', -1), x -> NOT array_contains(__gone, substring(md5({words}), 1, 16))), '\n')")
     kept = kept.withColumn(text, F.when(F.col("__gone").isNotNull(), clean).otherwise(F.col(text)))

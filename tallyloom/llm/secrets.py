@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .common import kind_of
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "der", "encoded")
@@ -109,7 +110,13 @@ def is_private_key(data: bytes) -> bool:
         return len(parts) >= 6 and all(c for _, c in parts)
     if tags[1] == 0x04:
         return 16 <= len(parts[1][1]) <= 66
-    return tags[1:3] == [0x30, 0x04] and bool(inner := der_items(parts[1][1])) and inner[0][0] == 0x06
+    if tags[1:3] != [0x30, 0x04] or not (kind := der_items(parts[1][1])) or kind[0][0] != 0x06:
+        return False
+    # PKCS#8: the octets hold a key of their own, or its bare octets
+    inner = der_items(parts[2][1])
+    if not inner or len(inner) != 1:
+        return False
+    return inner[0][0] in (0x02, 0x04) and len(inner[0][1]) >= 16 or is_private_key(parts[2][1])
 
 
 def is_signed_token(text: str) -> bool:
@@ -157,7 +164,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _worth(texts: list[bytes]) -> np.ndarray:
-    """Which texts may hold a span: a name of an assignment, or 20 bytes of one word."""
+    """Which texts may hold a span: a name of an assignment, 20 bytes of one
+    word, the start of a signed token or a PEM header.  Every span has one."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     inside = _RUN[buf]
@@ -167,7 +175,7 @@ def _worth(texts: list[bytes]) -> np.ndarray:
     out[np.searchsorted(first, start[end - start >= 20], "right") - 1] = True
     for i in np.flatnonzero(~out):
         low = texts[i].lower()
-        out[i] = any(n in low for n in _NAMES) or b"-----BEGIN" in texts[i]
+        out[i] = any(n in low for n in _NAMES) or b"eyJ" in texts[i] or b"-----BEGIN" in texts[i]
     return out
 
 
@@ -183,11 +191,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, spans: array of kind, start, end) for each row of docs.
 
     Null or empty text: no spans.  Rows with a null doc_id and repeated rows
-    give a row each.  Other columns are not read.  Texts are read whole.
+    give a row each; an empty table gives none.  An id may be of any type.  Spans
+    of several kinds that start together are listed by kind.  Other columns are
+    not read.  Texts are read whole.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(kernel.over_texts(_scan, schema), "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(kernel.over_texts(_scan, schema), f"doc_id {kind_of(rows, 'doc_id')}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def digest(found: DataFrame, base: tuple[str, ...] = BASE_KINDS, spans: str = "spans") -> DataFrame:

@@ -12,7 +12,8 @@ the bits that are not shared can't exceed the bound, and skipped when all its
 members are in one component already.
 
 Buckets of any size are split by range of the Gray rank into tiles; tile pairs
-that their shared bits don't prune are compared in tasks of their own.
+that their shared bits don't prune are compared in tasks of their own.  Every
+bucket gives real links that make a spanning forest, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import components, materialise
+from .common import components, join_counted, kind_of, materialise
 
 FANOUT = 16
 #: Fingerprints of a bucket that one task compares at most.
@@ -35,14 +36,18 @@ TILE = 1 << 15
 _CHUNK = 1 << 18
 
 
-def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42, rounds: int = 1) -> np.ndarray:
-    """64-bit fingerprints, texts x rounds; no word: 0; fewer words than a
-    shingle: the whole sequence is the one shingle.  Rounds after the first hash
-    the shingles' hashes anew."""
+#: For each value of a byte its bits, each in a byte of its own.
+_LANES = np.array([sum((v >> k & 1) << 8 * k for k in range(8)) for v in range(256)], np.uint64)
+#: Shingles whose bits are summed in lanes of one byte.
+_RUN = 255
+
+
+def shingles(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each word shingle (fewer words than a shingle: of all of them),
+    and how many each text has."""
     w = kernel.Words(texts, lower=True)
-    out = np.zeros((len(texts), rounds), np.uint64)
     if not len(w.start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     inside = np.zeros(len(w.buf) + 1, np.int8)
     inside[w.start] += 1
     inside[w.end + 1] -= 1  # one blank goes with each word
@@ -53,13 +58,34 @@ def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42, rounds: i
     span = np.minimum(w.count, shingle)
     number = np.where(w.count > 0, w.count - span + 1, 0)
     first = np.repeat(w.at[:-1] - np.concatenate([[0], np.cumsum(number)[:-1]]), number) + np.arange(number.sum())
-    h = kernel.xxh64(flat, start[first], end[first + np.repeat(span, number) - 1], seed)
+    return kernel.xxh64(flat, start[first], end[first + np.repeat(span, number) - 1], seed), number
+
+
+def fingerprints(texts: list[bytes], shingle: int = 4, seed: int = 42, rounds: int = 1) -> np.ndarray:
+    """64-bit fingerprints, texts x rounds; no word: 0; fewer words than a
+    shingle: the whole sequence is the one shingle.  Rounds after the first hash
+    the shingles' hashes anew."""
+    return majorities(*shingles(texts, shingle, seed), rounds)
+
+
+def majorities(h: np.ndarray, number: np.ndarray, rounds: int = 1) -> np.ndarray:
+    """Bit-wise majority of each text's hashes.  Eight bits at a time are summed
+    as the bytes of one integer, over runs too short for a byte to overflow."""
+    out = np.zeros((len(number), rounds), np.uint64)
     some = np.flatnonzero(number)
+    if not len(some):
+        return out
+    runs = -(-number[some] // _RUN)
+    first_run = np.cumsum(runs) - runs
+    begin = np.repeat((np.cumsum(number) - number)[some] - first_run * _RUN, runs) + np.arange(runs.sum()) * _RUN
     for r in range(rounds):
         turn = h if not r else kernel.mix(h + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)))
-        ones = np.unpackbits(turn.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(ones, (np.cumsum(number) - number)[some], axis=0, dtype=np.int32)
-        out[some, r] = np.packbits(2 * sums > number[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        byte = np.ascontiguousarray(turn.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+        ones = np.empty((len(some), 64), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat(_LANES[byte[k]], begin).astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(lanes, first_run, axis=0, dtype=np.int64)
+        out[some, r] = np.packbits(2 * ones > number[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -72,10 +98,12 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 class _Sets:
-    """Union-find over positions, with whole arrays of edges at a time."""
+    """Union-find over positions, with whole arrays of edges at a time; made
+    holds the edges that joined two sets."""
 
     def __init__(self, n: int):
         self.of = np.arange(n)
+        self.made: list[tuple[np.ndarray, np.ndarray]] = []
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         while len(a):
@@ -86,6 +114,10 @@ class _Sets:
                 return
             a, b, low, high = a[go], b[go], low[go], high[go]
             np.minimum.at(self.of, high, low)
+            hooked, edge = np.unique(high, return_index=True)
+            best = np.flatnonzero(self.of[high] == low)
+            edge[np.searchsorted(hooked, high[best])] = best
+            self.made.append((a[edge], b[edge]))
             while True:
                 up = self.of[self.of]
                 if (up == self.of).all():
@@ -106,10 +138,10 @@ def _index(f: np.ndarray) -> list[tuple]:
 
 
 def forest(f: np.ndarray, bits: int, side: np.ndarray | None = None, wide: np.ndarray | None = None, total: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the ends of the edges of a spanning forest of the links
+    """Positions of the ends of links that make a spanning forest of all links
     among fingerprints; if side is given, of those between its two values.
     With wide (fingerprints of all rounds), links also differ in at most total
-    bits over all rounds."""
+    bits over those."""
     if side is None:
         place = np.argsort(gray_rank(f), kind="stable")
         f = f[place]
@@ -179,8 +211,9 @@ def forest(f: np.ndarray, bits: int, side: np.ndarray | None = None, wide: np.nd
                 if side is None:
                     ok &= ca <= cb
                 stack.append((k - 1, ca[ok], cb[ok]))
-    other = np.flatnonzero(sets.of != np.arange(len(f)))
-    return place[other], place[sets.of[other]]
+    if not sets.made:
+        return place[:0], place[:0]
+    return tuple(place[np.concatenate(x)] for x in zip(*sets.made, strict=True))
 
 
 def _spread(of: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,17 +296,18 @@ def _tiles(bits: int, tile: int, rounds: int, total: int):
 
 
 def links(found: DataFrame, keys: list[int], bits: int = 4, tile: int = TILE, rounds: int = 1, total: int = 0, banded: int = 1) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints as all links do; at most
+    """Links (a, b) that connect distinct fingerprints as all links do; at most
     a forest for each tile or pair of tiles.
 
     found has node (the name of a fingerprint) and wide (its value in each
     round).  Fingerprints meet where, in one of the first `banded` rounds, they
-    agree on one of the masks `keys`; they link if they differ in at most `bits` bits in that round
-    and, with several rounds, in at most `total` over all."""
+    agree on one of the masks `keys`; they link if they differ in at most `bits`
+    bits in that round and, with rounds > 1, in at most `total` over it and the
+    rounds that follow, `rounds` in all."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    cells = [F.struct(F.xxhash64(F.lit(r), F.lit(i), F.col("wide")[r].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.col("wide")[r].alias("fp")) for r in range(banded) for i, m in enumerate(keys)]
-    rows = found.select("node", "wide", F.explode(F.array(*cells)).alias("cell")).select("node", "wide", "cell.*").withColumn("gray", F.expr(_GRAY))
-    rows = rows if rounds > 1 else rows.withColumn("wide", F.lit(None).cast("array<long>"))
+    near = lambda r: F.array(*[F.col("wide")[(r + k) % banded] for k in range(rounds)]) if rounds > 1 else F.lit(None).cast("array<long>")
+    cells = [F.struct(F.xxhash64(F.lit(r), F.lit(i), F.col("wide")[r].bitwiseAND(F.lit(signed(m)))).alias("bucket"), F.col("wide")[r].alias("fp"), near(r).alias("wide")) for r in range(banded) for i, m in enumerate(keys)]
+    rows = found.select("node", F.explode(F.array(*cells)).alias("cell")).select("node", "cell.*").withColumn("gray", F.expr(_GRAY))
     n = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = rows.repartitionByRange(n, "bucket", "gray").sortWithinPartitions("bucket", "gray").select("bucket", "fp", "node", "wide")
     made = materialise(dealt.mapInArrow(_tiles(bits, tile, rounds, total), _TILES))
@@ -302,26 +336,19 @@ for _s in (1, 2, 4, 8, 16, 32):
 _GRAY = f"({_GRAY}) ^ shiftleft(1L, 63)"
 
 
-def grouped(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text", tile: int = TILE, rounds: int = 1, total: int = 0, banded: int = 1) -> DataFrame:
-    """(doc_id, th, fp, component, component_id) for each row of docs; th is the
-    hash of the text, fp the first round's fingerprint, component names the
-    group.  One round: all links of at most `bits` bits.  Several: links of at
-    most `bits` bits in a round and `total` in all, among fingerprints that
-    agree on a 16-bit band of one of the first `banded` rounds."""
+def _wide(rows: DataFrame, shingle: int, rounds: int) -> DataFrame:
+    """rows (doc_id, th, text) with the fingerprints of all rounds in place of the text, written."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("wide", pa.list_(pa.int64()))])
 
     def make(batch, texts):
         wide = fingerprints(texts, shingle, rounds=rounds)
         return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "wide": kernel.lists(wide.ravel().view(np.int64), np.full(len(wide), rounds), pa.int64())}
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
-    known = materialise(rows.mapInArrow(kernel.over_texts(make, schema), "doc_id long, th long, wide array<long>").withColumn("node", F.col("wide")[0] if rounds == 1 else F.xxhash64("wide")))
-    distinct = materialise(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")))
-    keys = masks(bits, distinct.count()) if rounds == 1 else bands()
-    groups = components(links(distinct, keys, bits, tile, rounds, total, banded))
-    named = distinct.drop("wide").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return known.join(named.join(least, "component").select("node", "component", "component_id"), "node").select("doc_id", "th", F.col("wide")[0].alias("fp"), "component", "component_id")
+    return materialise(rows.mapInArrow(kernel.over_texts(make, schema), f"doc_id {kind_of(rows, 'doc_id')}, th long, wide array<long>"))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -331,26 +358,89 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: st
     Null or empty text, and text of blanks only: fingerprint zero, linked like
     any other.  Rows with a null doc_id get their fingerprint; they link, but
     count as larger than any doc_id, so a component of such rows alone has
-    component_id null.  Repeated rows stay.  Other columns are not read.
+    component_id null.  Repeated rows stay; an empty table gives none; an id may
+    be of any type.  Other columns are not read.
+    """
+    known = _wide(_rows(docs, doc_id, text), shingle, 1).withColumn("node", F.col("wide")[0])
+    distinct = materialise(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.count("*").alias("rows")))
+    groups = components(links(distinct, masks(bits, distinct.count()), bits, tile))
+    named = distinct.drop("wide").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialise(named.join(least, "component").select("node", "component_id", "rows"))
+    found = join_counted(known.select("doc_id", "node"), named, "node", "rows")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Rounds of fingerprints of the near-dedup stage, all of which give candidates, and how many
+#: of them a candidate is judged by in the index.
+ROUNDS, JUDGED = 12, 3
+#: Differing bits of a candidate: in its own round, and over the judged ones.  At a similarity of
+#: 0.8, 0.15 of the bits differ: 10 of 64 (deviation 3) and 29 of 192 (deviation 5).
+OWN_BITS, JUDGED_BITS = 20, 41
+#: Of all rounds' bits: pairs of fewer are similar beyond doubt, pairs of more are not; between
+#: them the shingles decide.  At 0.8, 116 of 768 differ (deviation 10).
+SURE_BITS, MOST_BITS = 84, 150
+
+
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th) of every row of docs, and links (a, b) between hashes of
+    texts that connect the distinct texts with a Jaccard similarity of `least`
+    or more over their sets of shingles.
+
+    A 64-bit fingerprint tells a similarity of 0.8 apart only roughly, so twelve
+    rounds are taken.  The index of each round's 16-bit bands gives candidates;
+    a candidate that all rounds together don't decide is verified on its sets of
+    shingles.  Texts without words have nothing in common with any other text.
+    """
+    known = _wide(_rows(docs, doc_id, text), shingle, ROUNDS)
+    some = known.where(F.exists("wide", lambda x: x != 0))
+    distinct = materialise(some.groupBy(F.col("th").alias("node")).agg(F.first("wide").alias("wide")))
+    edges = links(distinct, bands(), OWN_BITS, tile, JUDGED, JUDGED_BITS, ROUNDS)
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda s: distinct.select(F.col("node").alias(s), F.col("wide").alias(f"wide_{s}"))
+    bits = F.expr("aggregate(zip_with(wide_a, wide_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    judged = materialise(edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= MOST_BITS))
+    sure, open_ = judged.where(F.col("bits") <= SURE_BITS).select("a", "b"), judged.where(F.col("bits") > SURE_BITS).select("a", "b")
+    # a pair that is connected already needs no verification
+    of = components(sure)
+    name = lambda s: of.select(F.col("node").alias(s), F.col("component").alias(f"of_{s}"))
+    open_ = open_.join(name("a"), "a", "left").join(name("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    open_ = materialise(open_)
+    ends = open_.select(F.col("a").alias("th")).unionByName(open_.select(F.col("b").alias("th"))).distinct()
+    texts = _rows(docs, doc_id, text).select("th", "text").join(ends, "th", "left_semi").dropDuplicates(["th"])
+    schema = pa.schema([("th", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def make(batch, texts):
+        h, number = shingles(texts, shingle)
+        at = np.concatenate([[0], np.cumsum(number)])
+        sets = [np.unique(h[x:y]).view(np.int64) for x, y in zip(at, at[1:], strict=False)]
+        return {"th": batch.column("th"), "grams": kernel.lists(np.concatenate([*sets, np.zeros(0, np.int64)]), np.array([len(x) for x in sets], np.int64), pa.int64())}
+
+    sets = materialise(texts.mapInArrow(kernel.over_texts(make, schema), "th long, grams array<long>"))
+    grams = lambda s: sets.select(F.col("th").alias(s), F.col("grams").alias(f"grams_{s}"))
+    both = open_.join(grams("a"), "a").join(grams("b"), "b").withColumn("shared", F.size(F.array_intersect("grams_a", "grams_b")))
+    verified = both.where(F.col("shared") >= F.lit(float(least)) * (F.size("grams_a") + F.size("grams_b") - F.col("shared"))).select("a", "b")
+    return known.select("doc_id", "th"), materialise(sure.unionByName(verified))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that come first in their group of similar texts
+    (smallest doc_id, null last, then hash of the text); of repeated rows one
+    stays (of rows that tie in id and text and differ elsewhere, any).  Columns stay.
+
+    Equal texts are similar, those without words too; null texts are similar to
+    each other.  An id may be of any type.
     """
-    found = grouped(docs, shingle, bits, doc_id, text, tile)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 18, doc_id: str = "doc_id", text: str = "text", rounds: int = 12, total: int = 128, banded: int = 8) -> DataFrame:
-    """The rows of docs that come first in their group (smallest doc_id, null
-    last, then hash of the text); of repeated rows one stays.  Columns stay.
-
-    A 64-bit fingerprint tells a Jaccard similarity of 0.8 apart only roughly
-    (about 10 of 64 bits differ, with a deviation of 3), so twelve rounds are
-    taken: 128 of 768 bits are the share that a similarity of 0.8 gives, plus
-    one and a quarter deviations.  Eight of them give candidates."""
-    found = materialise(grouped(docs, shingle, bits, doc_id, text, TILE, rounds, total, banded))
-    last = F.lit((1 << 63) - 1)
-    best = found.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("i"), "th")).alias("best"))
-    rows = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
-    keep = materialise(rows.join(best, "component").where((F.coalesce("doc_id", last) == F.col("best.i")) & (F.col("th") == F.col("best.th"))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n"))
-    on = lambda k: docs[doc_id].cast("long").eqNullSafe(k["__id"]) & (F.xxhash64(docs[text].cast("string")) == k["__th"])
-    once, more = keep.where("n = 1"), keep.where("n > 1")
-    repeats = docs.join(more, on(more)).dropDuplicates(["__id", "__th"]).select(*docs.columns)
-    return docs.join(once, on(once), "left_semi").unionByName(repeats)
+    found, edges = similar(docs, shingle, least, doc_id, text)
+    groups = components(edges)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    one = materialise(found.groupBy("th").agg(F.min(order).alias("first"), F.count("*").alias("rows")))
+    named = one.join(groups.withColumnRenamed("node", "th"), "th", "left").withColumn("component", F.coalesce("component", "th"))
+    best = named.groupBy("component").agg(F.min(F.struct("first", "th")).alias("best"))
+    keep = best.select(F.col("best.th").alias("__th"), F.col("best.first.id").alias("__id"))
+    keep = materialise(keep)
+    on = docs[doc_id].eqNullSafe(keep["__id"]) & (F.xxhash64(docs[text].cast("string")) == keep["__th"])
+    repeated = materialise(found.join(keep, found["doc_id"].eqNullSafe(keep["__id"]) & (found["th"] == keep["__th"])).groupBy("__id", "__th").agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"))
+    again = docs[doc_id].eqNullSafe(repeated["__id"]) & (F.xxhash64(docs[text].cast("string")) == repeated["__th"])
+    once = docs.join(keep, on, "left_semi").join(repeated, again, "left_anti")
+    return once.unionByName(docs.join(repeated, again).dropDuplicates(["__id", "__th"]).select(*docs.columns))
