@@ -63,19 +63,20 @@ def first_last(df: DataFrame, by: Sequence[str], order: Sequence[Column | str])
     return df.withColumn("first_", (F.row_number().over(w) == 1).cast("int")).withColumn("last_", F.lead(F.lit(1)).over(w).isNull().cast("int"))
 
 
-def merge(left: DataFrame, right: DataFrame, by: Sequence[str], many: bool = False) -> DataFrame:
+def merge(left: DataFrame, right: DataFrame, by: Sequence[str], many: bool = False, order: tuple[Sequence[Column], Sequence[Column]] = ((), ())) -> DataFrame:
     """MERGE; BY with in_left and in_right flags.
 
     Shared columns take the last-listed dataset's value if it isn't null.  With
-    many=True rows of a key are paired one by one and the shorter side repeats
-    its last row, so no key multiplies.
+    many=True rows of a key are paired one by one, in the order given for each
+    side (then by all columns), and the shorter side repeats its last row, so no
+    key multiplies.
     """
     a, b = left.withColumn("in_left", F.lit(1)), right.withColumn("in_right", F.lit(1))
     keys = list(by)
     if many:
         w = Window.partitionBy(*keys)
-        number = lambda d, name: d.withColumn(name, F.row_number().over(w.orderBy(*[F.col(c) for c in d.columns if c not in keys]))).withColumn(name + "n", F.count("*").over(w))
-        a, b = number(a, "__a"), number(b, "__b")
+        number = lambda d, name, by: d.withColumn(name, F.row_number().over(w.orderBy(*by, *[F.col(c) for c in d.columns if c not in keys]))).withColumn(name + "n", F.count("*").over(w))
+        a, b = number(a, "__a", order[0]), number(b, "__b", order[1])
         sizes = a.groupBy(*keys).agg(F.max("__an").alias("__x")).join(b.groupBy(*keys).agg(F.max("__bn").alias("__y")), keys, "full")
         slots = sizes.withColumn("__k", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("__x", F.lit(0)), F.coalesce("__y", F.lit(0))))))
         slots = slots.withColumn("__a", F.least("__k", "__x").cast("int")).withColumn("__b", F.least("__k", "__y").cast("int")).select(*keys, "__a", "__b")

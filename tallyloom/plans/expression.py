@@ -15,14 +15,15 @@ _BINDING = {"|": 1, "&": 2, "=": 4, "^=": 4, "~=": 4, "<>": 4, "<": 4, "<=": 4,
 _MAKE: dict[str, Callable[[Column, Column], Column]] = {
     "|": lambda a, b: _bool(a) | _bool(b),
     "&": lambda a, b: _bool(a) & _bool(b),
-    "=": lambda a, b: a == b,
-    "^=": lambda a, b: a != b,
-    "~=": lambda a, b: a != b,
-    "<>": lambda a, b: a != b,
-    "<": lambda a, b: a < b,
-    "<=": lambda a, b: a <= b,
-    ">": lambda a, b: a > b,
-    ">=": lambda a, b: a >= b,
+    # a missing value equals itself and is less than all others; beside a literal this folds to a filter that scans can take
+    "=": lambda a, b: a.eqNullSafe(b),
+    "^=": lambda a, b: ~a.eqNullSafe(b),
+    "~=": lambda a, b: ~a.eqNullSafe(b),
+    "<>": lambda a, b: ~a.eqNullSafe(b),
+    "<": lambda a, b: (a < b) | (a.isNull() & b.isNotNull()),
+    "<=": lambda a, b: (a <= b) | a.isNull(),
+    ">": lambda a, b: (a > b) | (a.isNotNull() & b.isNull()),
+    ">=": lambda a, b: (a >= b) | b.isNull(),
     "||": F.concat,
     "+": lambda a, b: a + b,
     "-": lambda a, b: a - b,
@@ -36,6 +37,11 @@ def _bool(c: Column) -> Column:
     return c.cast("boolean")
 
 
+def _not(c: Column) -> Column:
+    """A missing value is false, so its opposite is true."""
+    return ~F.coalesce(_bool(c), F.lit(False))
+
+
 class Text(str):
     """A literal's value beside its Column, for functions that take formats and lists."""
 
@@ -101,7 +107,7 @@ class Parser:
             if word in ("in", "like", "between", "is") and least <= 4:
                 self.at += 1 + negated
                 left = self.word(left, word)
-                left = ~left if negated else left
+                left = _not(left) if negated else left
             elif op in _BINDING and self.tokens[self.at].kind == "op" and _BINDING[op] > least:
                 self.take()
                 # ** binds to the right
@@ -139,7 +145,7 @@ class Parser:
             return -c if op == "-" else c
         if op in ("^", "~"):
             self.take()
-            return ~_bool(self.expression(3))
+            return _not(self.expression(3))
         return self.primary()
 
     def primary(self) -> Column:

@@ -2,14 +2,16 @@
 
 Source text is expanded by the macro interpreter, cut into statements, and each
 step becomes one plan bound to the next version of its dataset.  Nothing is
-executed here but the listing of ID values for PROC TRANSPOSE; other actions are
-the caller's.
+executed here but the listing of ID values for PROC TRANSPOSE, and a step with
+CALL SYMPUT, as later text depends on it; other actions are the caller's.
 
 Rules of DATA steps: statements apply in order, each to all rows; a comparison
 assigned to a variable is 1 or 0; a new variable that only some rows assign is
 missing elsewhere; OUTPUT collects the row as it is at that point.  Rows have no
 order of their own in a DataFrame: LAG, DIF, RETAIN and sum statements follow
-the BY variables and the last PROC SORT of the input.
+the BY variables and the last PROC SORT of the input, each in its direction,
+then all columns.  Steps that carry other state, or loop, run row by row (see
+sequential).
 """
 
 from __future__ import annotations
@@ -57,6 +59,27 @@ def split_statements(text: str) -> list[str]:
     return [s for s in out if s and not s.startswith("*")]
 
 
+def _pieces(source: str) -> list[str]:
+    """Source text cut after each RUN outside macro definitions."""
+    out, begin, depth = [], 0, 0
+    for m in re.finditer(r"%macro\b|%mend\b|\brun\s*;", source, re.I):
+        depth += {"%macro": 1, "%mend": -1}.get(m[0].lower(), 0)
+        if not depth and m[0][0] != "%":
+            out.append(source[begin : m.end()])
+            begin = m.end()
+    return [*out, source[begin:]]
+
+
+def _ordered(order: list[tuple[str, bool]], columns: list[str]) -> list[Column]:
+    """Sort columns, each in its direction (missing values are the least), then all others."""
+    known, keys = {c.lower(): c for c in columns}, {}
+    for c, down in order:
+        if c.lower() in known:
+            keys.setdefault(known[c.lower()], down)
+    keys |= {c: False for c in columns if c not in keys and not c.startswith("__")}
+    return [F.desc_nulls_last(F.col(f"`{c}`")) if d else F.asc_nulls_first(F.col(f"`{c}`")) for c, d in keys.items()]
+
+
 @dataclass
 class Reference:
     """A dataset name with its options."""
@@ -141,7 +164,7 @@ class Program:
         self.macros = Expander(include)
         self.steps: list[Step] = []
         self.printed: list[DataFrame] = []
-        self._sorted: dict[str, list[str]] = {}
+        self._sorted: dict[str, list[tuple[str, bool]]] = {}
         self._lines: list[str] = []
 
     def run(self, source: str) -> Program:
@@ -151,7 +174,13 @@ class Program:
             self._lines.append(m[2])
             return f"datalines {len(self._lines) - 1};"
 
-        text = self.macros.expand(_LINES.sub(keep, source))
+        source = _LINES.sub(keep, source)
+        # what CALL SYMPUT sets is known only when its step has run
+        for part in _pieces(source) if re.search(r"\bsymputx?\b", source, re.I) else [source]:
+            self._run(self.macros.expand(part))
+        return self
+
+    def _run(self, text: str) -> None:
         block: list[str] = []
         for s in split_statements(text):
             word = re.match(r"\w*", s)[0].lower()
@@ -166,7 +195,6 @@ class Program:
             else:
                 block.append(s)
         self._close(block)
-        return self
 
     def _global(self, word: str, s: str) -> None:
         if word == "libname":
@@ -188,12 +216,12 @@ class Program:
         step.reads.append(Library.key(ref.name))
         return ref.apply(self.library.get(ref.name))
 
-    def write(self, ref: Reference, df: DataFrame, step: Step, order: list[str] = ()) -> None:
+    def write(self, ref: Reference, df: DataFrame, step: Step, order: list[tuple[str, bool]] = ()) -> None:
         step.writes.append(Library.key(ref.name))
         self.library.put(ref.name, ref.apply(df))
         self._sorted[Library.key(ref.name)] = list(order)
 
-    def order_of(self, name: str) -> list[str]:
+    def order_of(self, name: str) -> list[tuple[str, bool]]:
         return self._sorted.get(Library.key(name), [])
 
     def lineage(self) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +253,8 @@ class DataStep:
         self.step = Step("data " + " ".join(r.name for r in self.outputs), "DATA_STEP")
         self.df: DataFrame | None = None
         self.by: list[str] = []
-        self.order: list[str] = []
+        self.down: dict[str, bool] = {}
+        self.order: list[tuple[str, bool]] = []
         self.flags: dict[str, Column] = {}
         self.output: dict[str, list[DataFrame]] = {}
         self.explicit = False
@@ -234,6 +263,7 @@ class DataStep:
         self.finish: list[Callable[[DataFrame], DataFrame]] = []
         self.columns: list[tuple[str, str]] = []
         self.informats: dict[str, str] = {}
+        self.end: str | None = None
         self.at = 1
 
     # --- driving ---
@@ -241,14 +271,18 @@ class DataStep:
         for s in self.statements:
             if s[0].low == "by" and len(s) > 1:
                 self.by = [t.text for t in s[1:] if t.low != "descending"]
+                self.down = {t.low: s[i - 1].low == "descending" for i, t in enumerate(s) if i and t.low != "descending"}
         body = self.statements[1:]
-        while self.at <= len(body):
-            self.statement(body[self.at - 1], None)
-            self.at += 1
-        if self.df is None:
-            self.df = self.program.spark.range(1).select()
-        names = {r.name.lower(): r for r in self.outputs}
-        for name, ref in names.items():
+        if self.carries_state(body):
+            self.by_rows(body)
+        else:
+            while self.at <= len(body):
+                self.statement(body[self.at - 1], None)
+                self.at += 1
+            if self.df is None:
+                self.df = self.program.spark.range(1).select()
+        for ref in self.outputs:
+            name = ref.name.lower()
             if name == "_null_":
                 continue
             parts = self.output.get(name, []) if self.explicit else [self.df]
@@ -262,6 +296,134 @@ class DataStep:
             self.program.write(ref, df, self.step, self.order)
         self.program.steps.append(self.step)
 
+    # --- row by row ---
+    def carries_state(self, body: list[list[Token]]) -> bool:
+        """Whether a statement needs what earlier rows or turns left."""
+        sums = {s[0].low for s in body if len(s) > 2 and s[1].text == "+" and s[0].kind == "name"}
+        for s in body:
+            low = [t.low for t in s]
+            names = {t.low for t in s if t.kind == "name"}
+            if low[0] == "retain" and len(s) > 1 or low[0] in ("array", "stop", "call") or "stop" in low[-1:] or "call" in names & {"call"} and "symput" in " ".join(low):
+                return True
+            if names & {"_n_", "_error_"} or low[0] == "do" and (low[1:2] in (["while"], ["until"]) or set(low) & {"while", "until"}):
+                return True
+            if low[0] == "set" and any(a == "end" and b == "=" for a, b in zip(low, low[1:], strict=False)):
+                return True
+            if low[0] in ("if", "else", "when", "otherwise") and any(a in ("lag", "dif") and b == "(" for a, b in zip(low, low[1:], strict=False)):
+                return True
+            # a running sum that is set other than by IF FIRST.x THEN name = constant
+            set_here = [low[i] for i in range(len(s) - 1) if low[i + 1] == "=" and (i == 0 or low[i - 1] in ("then", "else"))]
+            plain = low[0] == "if" and low[1:2] == ["first"] and low[4:5] == ["then"] and low[3] in [b.lower() for b in self.by] and len(s) == 8 and s[7].kind == "number" and float(s[7].text) == 0
+            if any(x in sums for x in set_here) and not plain:
+                return True
+            if low[0] == "if" and len(low) > 1 and "+" in low and "then" in low:
+                at = low.index("then") + 1
+                if at + 1 < len(low) and low[at + 1] == "+" and low[at] in {x for t in body for x in [t[0].low]}:
+                    return True
+        if any(s[0].low == "do" and len(s) > 1 for s in body) and not any(t.low == "output" for s in body for t in s):
+            return True
+        # the value of a running sum before its statement is that of the row before
+        for name in sums:
+            at = next(i for i, s in enumerate(body) if s[0].low == name and len(s) > 2 and s[1].text == "+")
+            if any(t.low == name for s in body[:at] for k, t in enumerate(s) if s[0].low not in ("keep", "drop", "length", "format", "label", "retain") and not (k + 1 < len(s) and s[k + 1].text == "=")):
+                return True
+        return False
+
+    def by_rows(self, body: list[list[Token]]) -> None:
+        """Run the statements row by row, over rows in order."""
+        from .sequential import RowStep
+
+        declared = ("set", "merge", "update", "modify", "where", "keep", "drop", "rename", "length", "format", "informat", "label", "by", "input", "datalines", "cards", "infile")
+        for s in body:
+            if s[0].low in declared:
+                self.statement(s, None)
+        spark = self.program.spark
+        if self.df is None:
+            self.df = spark.range(1).select(F.lit(1).alias("__one"))
+        flags = {f: self.flags[f].cast("int") for f in self.flags}
+        source = self.df.withColumns({f"__flag_{f}": c for f, c in flags.items()})
+        given = {c.lower(): c for c in source.columns if not c.startswith("__")}
+        row = RowStep([s for s in body if s[0].low not in declared], [r.name.lower() for r in self.outputs], self.lengths)
+        state = set(row.first) | set(row.queues) | (row.uses & {"_n_"}) | ({self.end} if self.end else set())
+        stops = any(t.low == "stop" for s in body for t in s)
+        by = [self.find(b) for b in self.by]
+        fresh = 0
+        if state or stops or by:
+            order = _ordered([*[(b, self.down.get(b.lower(), False)) for b in self.by], *self.order], [c for c in source.columns if not c.startswith("__")])
+            fresh = 0 if stops or self.end or "_n_" in row.uses else self.fresh_groups(body, row) if row.first else len(by)
+            source = (source.repartition(*[F.col(f"`{b}`") for b in by[:fresh]]) if fresh else source.coalesce(1)).sortWithinPartitions(*order)
+        types = {c.lower(): source.schema[c].dataType.simpleString() for c in given.values()}
+        new = {n: name for n, name in row.names.items() if n not in given}
+        schema = {**{c: types[c.lower()] for c in given.values()}, **{name: "string" if n in row.texts or n in self.lengths and self.meta.get(n, {}).get("text") else "double" for n, name in new.items()}}
+        ddl = ", ".join(f"`{c}` {t}" for c, t in {"__out": "string", **schema, "__name": "string", "__value": "string"}.items())
+        columns, keys, end = list(schema), [b.lower() for b in by], self.end
+        double = {c for c, t in schema.items() if t == "double"}
+        whole = {c for c, t in schema.items() if t in ("int", "bigint", "smallint", "tinyint")}
+
+        def run(batches):
+            import pandas as pd
+
+            def rows():
+                for batch in batches:
+                    names = [c[7:] if c.startswith("__flag_") else c.lower() for c in batch.columns]
+                    for values in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
+                        yield dict(zip(names, values, strict=True))
+
+            def frame(found):
+                out = {"__out": [n for n, _ in found]}
+                for c in columns:
+                    x = [r.get(c.lower()) for _, r in found]
+                    out[c] = pd.array([None if v is None else float(v) for v in x], "Float64") if c in double else pd.array([None if v is None else int(v) for v in x], "Int64") if c in whole else pd.Series(x, dtype=object)
+                out["__name"] = pd.Series([r.get("name") if n == " say" else None for n, r in found], dtype=object)
+                out["__value"] = pd.Series([r.get("value") if n == " say" else None for n, r in found], dtype=object)
+                return pd.DataFrame(out)
+
+            found = []
+            for one in row.rows(rows(), keys, fresh, end):
+                found.append(one)
+                if len(found) >= 10_000:
+                    yield frame(found)
+                    found = []
+            if found:
+                yield frame(found)
+
+        done = source.mapInPandas(run, ddl)
+        if "symput" in row.uses or "symputx" in row.uses:
+            from ..sources.cut import cut
+
+            done = cut(done.withColumn("__at", F.monotonically_increasing_id()))
+            for r in done.where("__out = ' say'").groupBy("__name").agg(F.max_by("__value", "__at").alias("value")).collect():
+                self.program.macros.scopes[0][r["__name"].lower()] = r.value
+        drop = [c for c in done.columns if c.startswith("__")]
+        self.explicit = True
+        for r in self.outputs:
+            self.output[r.name.lower()] = [done.where(F.col("__out") == r.name.lower()).drop(*drop)]
+
+    def fresh_groups(self, body: list[list[Token]], row) -> int:
+        """How many leading BY variables make a group with which all retained
+        variables are set anew by IF FIRST.x at the step's begin; 0 if none does."""
+        names = [b.lower() for b in self.by]
+        least = len(names)
+        for v in row.first:
+            level = None
+            for i, s in enumerate(body):
+                low = [t.low for t in s]
+                if low[0] == "if" and low[1:3] == ["first", "."] and len(low) > 4 and low[3] in names and low[4] == "then":
+                    inside = [low[5:7]] if low[5] != "do" else []
+                    for t in body[i + 1 :] if low[5] == "do" else []:
+                        if t[0].low == "end":
+                            break
+                        inside.append([x.low for x in t[:2]])
+                    if [v, "="] in inside:
+                        level = names.index(low[3]) + 1
+                        break
+                elif any(t.low == v for t in s) and low[0] not in ("retain", "array", "keep", "drop", "length", "format", "label", "by", "set"):
+                    break  # read before it is set
+            if level is None:
+                return 0
+            least = min(least, level)
+        return least
+
     # --- variables and expressions ---
     def find(self, name: str) -> str | None:
         return next((c for c in (self.df.columns if self.df is not None else []) if c.lower() == name.lower()), None)
@@ -277,19 +439,23 @@ class DataStep:
         return F.col(f"`{c}`")
 
     def window(self):
-        order = self.order or self.by
+        order = [*self.keys(), *self.order]
         if not order:
             raise SyntaxProblem("the input has no order; sort it or use BY")
-        w = Window.partitionBy(*[F.col(b) for b in self.by]) if self.by else Window.partitionBy()
-        return w.orderBy(*[F.asc_nulls_first(c) for c in [*order, *[c for c in self.df.columns if c not in order and not c.startswith("__")]]])
+        w = Window.partitionBy(*[F.col(f"`{b}`") for b in self.by]) if self.by else Window.partitionBy()
+        return w.orderBy(*_ordered(order, self.df.columns))
+
+    def keys(self) -> list[tuple[str, bool]]:
+        """The BY variables, each with its direction."""
+        return [(b, self.down.get(b.lower(), False)) for b in self.by]
 
     def _edge(self, which: str, name: str) -> Column:
         """FIRST. or LAST. of a BY variable, as a column made before the rows change."""
         column = f"__{which}_{name}"
         if column not in self.df.columns:
             upto = [b for b in self.by][: [b.lower() for b in self.by].index(name) + 1]
-            rest = [*self.by, *self.order, *self.df.columns]
-            w = Window.partitionBy(*upto).orderBy(*[F.asc_nulls_first(c) for c in dict.fromkeys(c for c in rest if c not in upto and not c.startswith("__"))] or [F.lit(1)])
+            rest = [c for c in self.df.columns if c.lower() not in [b.lower() for b in upto]]
+            w = Window.partitionBy(*upto).orderBy(*(_ordered([*self.keys(), *self.order], rest) or [F.lit(1)]))
             edge = F.row_number().over(w) == 1 if which == "first" else F.lead(F.lit(1)).over(w).isNull()
             self.df = self.df.withColumn(column, edge)
         return F.col(column)
@@ -305,7 +471,7 @@ class DataStep:
 
     def assign(self, name: str, value: Column, when: Column | None) -> None:
         if dict(self.df.select(value.alias("x")).dtypes)["x"] == "boolean":
-            value = value.cast("int")
+            value = F.coalesce(value, F.lit(False)).cast("int")
         if name.lower() in self.lengths:
             value = F.substring(value.cast("string"), 1, self.lengths[name.lower()])
         old = self.find(name)
@@ -327,8 +493,14 @@ class DataStep:
             raise SyntaxProblem(f"statement {s[0].text} isn't supported")
 
     def _inputs(self, s: list[Token]) -> list[tuple[Reference, DataFrame]]:
+        s = list(s)
+        for i in range(len(s) - 2):
+            if s[i].low == "end" and s[i + 1].text == "=":  # SET option
+                self.end = s[i + 2].low
+                del s[i : i + 3]
+                break
         refs = references(s[1:])
-        self.order = self.program.order_of(refs[0].name) if len(refs) == 1 else list(self.by)
+        self.order = list(self.program.order_of(refs[0].name)) if len(refs) == 1 else self.keys()
         return [(r, self.program.read(r, self.step)) for r in refs]
 
     def do_set(self, s, when):
@@ -343,10 +515,11 @@ class DataStep:
             raise SyntaxProblem("MERGE needs BY")
         (r, df), *rest = self._inputs(s)
         df = df.withColumn(f"__in_{r.flag or 0}", F.lit(True))
-        names = [r.flag or "0"]
+        names, order = [r.flag or "0"], self.program.order_of(r.name)
         for i, (q, other) in enumerate(rest, 1):
             flag = q.flag or str(i)
-            df = O.merge(df, other.withColumn(f"__in_{flag}", F.lit(True)), self.by).drop("in_left", "in_right")
+            sides = _ordered(order, [c for c in df.columns if c not in self.by]), _ordered(self.program.order_of(q.name), [c for c in other.columns if c not in self.by])
+            df = O.merge(df, other.withColumn(f"__in_{flag}", F.lit(True)), self.by, True, sides).drop("in_left", "in_right")
             names.append(flag)
         self.df = df.withColumns({f"__in_{n}": F.coalesce(f"__in_{n}", F.lit(False)) for n in names})
         self.flags |= {n: F.col(f"__in_{n}") for n in names if not n.isdigit()}
@@ -375,11 +548,13 @@ class DataStep:
 
     def do_length(self, s, when):
         names: list[str] = []
-        for t in s[1:]:
+        for i, t in enumerate(s[1:], 1):
             if t.kind == "number":
                 for n in names:
                     self.lengths[n] = int(float(t.text))
                     self.meta.setdefault(n, {})["length"] = self.lengths[n]
+                    if s[i - 1].text == "$":
+                        self.meta[n]["text"] = True
                 names = []
             elif t.kind == "name":
                 names.append(t.low)
@@ -404,10 +579,7 @@ class DataStep:
                 self.meta.setdefault(s[i - 1].low, {})["label"] = unquote(s[i + 1].text)
 
     def do_retain(self, s, when):
-        pass  # running values are made by sum statements
-
-    def do_array(self, s, when):
-        raise SyntaxProblem("ARRAY isn't supported")
+        """RETAIN without names: all variables of a step that sets none anew keep their values."""
 
     def sum_statement(self, name: str, tokens: list[Token], when: Column | None) -> None:
         """name + expression; runs from the BY group's first row on if an IF FIRST. resets the variable, else over all rows."""
@@ -416,8 +588,8 @@ class DataStep:
         part = self.by[: [b.lower() for b in self.by].index(group.lower()) + 1] if group else []
         value = F.coalesce(self.expression(tokens), F.lit(0))
         value = F.when(when, value).otherwise(F.lit(0)) if when is not None else value
-        order = [c for c in dict.fromkeys([*self.by, *self.order, *self.df.columns]) if c not in part and not c.startswith("__") and c.lower() != name.lower()]
-        w = Window.partitionBy(*part).orderBy(*[F.asc_nulls_first(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rest = [c for c in self.df.columns if c not in part and c.lower() != name.lower()]
+        w = Window.partitionBy(*part).orderBy(*_ordered([*self.keys(), *self.order], rest)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.df = self.df.withColumn(self.find(name) or name, F.sum(value).over(w))
 
     def do_if(self, s, when):
@@ -529,9 +701,6 @@ class DataStep:
     def do_infile(self, s, when):
         raise SyntaxProblem("INFILE isn't supported; use PROC IMPORT")
 
-    def do_stop(self, s, when):
-        pass
-
 
 class Procedure:
     def __init__(self, program: Program, block: list[str]):
@@ -593,7 +762,7 @@ class Procedure:
         order = [F.desc_nulls_last(c) if d else F.asc_nulls_first(c) for c, d in by]
         if "nodupkey" in self.flags:
             df = O.sort_nodupkey(df, [c for c, _ in by], [F.asc_nulls_first(c) for c in df.columns])
-        self.put(df.orderBy(*order), order=[c for c, _ in by])
+        self.put(df.orderBy(*order), order=by)
 
     def proc_print(self) -> None:
         df = self.data()
