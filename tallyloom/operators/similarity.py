@@ -11,24 +11,63 @@ from pyspark.sql import functions as F
 
 
 def _tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words: hashes of the distinct lower-cased words); null texts have none."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-    return df.select(key, words.alias("words"))
+    return df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>")).alias("words"))
 
 
-def jaccard_top(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_top(docs: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.0, key: str = "doc_id", text: str = "text", rows: int = 2_000) -> DataFrame:
     """(query, doc_id, jaccard, rank): the k documents most like each query by
     Jaccard index of lower-cased words, those above `least` only; ties by key.
 
-    Words meet by an equi join of the queries' words (a stated set) with all
-    words of the documents; the top k are kept in each task before they meet.
-    """
-    d, q = _tokens(docs, key, text), _tokens(queries, key, text)
-    left = q.select(F.col(key).alias("query"), F.size("words").alias("nq"), F.explode("words").alias("w"))
-    right = d.select(key, F.size("words").alias("nd"), F.explode("words").alias("w"))
-    both = right.join(left, "w").where(F.col("query") != F.col(key)).groupBy("query", key, "nq", "nd").agg(F.count("*").alias("common"))
-    scored = both.select("query", key, (F.col("common") / (F.col("nq") + F.col("nd") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") > least)
-    w = Window.partitionBy("query").orderBy(F.desc("jaccard"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    Queries are a stated set and go to all tasks in blocks of about `rows`; each
+    Arrow batch of documents counts its words in common with all queries of the
+    block, so that no word, however frequent, gathers rows in a task, and keeps
+    k rows for each query."""
+    q, d = _tokens(queries, key, text), _tokens(docs, key, text)
+    n, parts = queries.count() // rows + 1, []
+    for i in range(n):
+        block = q.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toPandas()
+        if len(block):
+            parts.append(d.mapInArrow(_alike(block["key"].to_numpy(np.int64), [np.asarray(w, np.int64) for w in block["words"]], k, least), "query long, key long, jaccard double"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"query long, `{key}` long, jaccard double, rank int")
+    w = Window.partitionBy("query").orderBy(F.desc("jaccard"), "key")
+    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.select("query", F.col("key").alias(key), "jaccard", "rank")
+
+
+def _alike(ids: np.ndarray, words: list[np.ndarray], k: int, least: float):
+    size = np.array([len(w) for w in words])
+    flat, of = np.concatenate(words), np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+
+    def run(batches):
+        for batch in batches:
+            keys, column = batch.column("key").to_numpy(), batch.column("words")
+            number = column.value_lengths().to_numpy()
+            inside, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(number)])
+            step = max(1, (1 << 22) // len(ids))
+            for first in range(0, len(keys), step):
+                few = min(step, len(keys) - first)
+                part = inside[at[first] : at[first + few]]
+                lo, hi = np.searchsorted(flat, part, "left"), np.searchsorted(flat, part, "right")
+                met = hi - lo
+                doc = np.repeat(np.repeat(np.arange(few), number[first : first + few]), met)
+                query = of[np.repeat(lo - (np.cumsum(met) - met), met) + np.arange(met.sum())]
+                common = np.bincount(query * few + doc, minlength=few * len(ids)).reshape(len(ids), few)
+                alike = np.round(common / np.maximum(size[:, None] + number[None, first : first + few] - common, 1), 9)
+                here = keys[first : first + few]
+                alike[(ids[:, None] == here[None, :]) | ~(alike > least)] = -np.inf
+                by_key = np.argsort(here, kind="stable")
+                top = by_key[np.argsort(-alike[:, by_key], axis=1, kind="stable")[:, :k]]
+                row, col = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
+                go = np.isfinite(alike[row, col])
+                row, col = row[go], col[go]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(here[col]), pa.array(alike[row, col])], names=["query", "key", "jaccard"])
+
+    return run
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.5, key: str = "vec_id", vector: str = "embedding", rows: int = 10_000) -> DataFrame:

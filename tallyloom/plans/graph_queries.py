@@ -52,7 +52,7 @@ QUERIES: dict[str, Query] = {
     "g12_json_round_trip": lambda s, _: G.from_json(G.to_json(*_graph(s)))[1],
     "g15_summary": lambda s, _: G.summary(*_graph(s)),
     "g22_lifecycle": lambda s, _: G.lifecycle(s.createDataFrame(STEPS, "seq int, step string, dataset string, action string")),
-    "v01_jaccard": lambda s, d: similarity.jaccard_top(s.read.parquet(f"{d}/benchmark.parquet"), _queries(s.read.parquet(f"{d}/benchmark.parquet"), "item_id"), 5, 0.0, "item_id").withColumn("jaccard", F.round("jaccard", 6)),
+    "v01_jaccard": lambda s, d: similarity.jaccard_top(s.read.parquet(f"{d}/documents.parquet"), _queries(s.read.parquet(f"{d}/documents.parquet"), "doc_id"), 5).withColumn("jaccard", F.round("jaccard", 6)),
     "v02_cosine": lambda s, d: similarity.cosine_top(s.read.parquet(f"{d}/embeddings.parquet"), _queries(s.read.parquet(f"{d}/embeddings.parquet"), "vec_id"), 5, -1.0).withColumn("cosine", F.round("cosine", 6)),
 }
 _CLOSURE = "WITH RECURSIVE w AS (SELECT src, dst FROM {e} UNION SELECT w.src, e.dst FROM w JOIN {e} e ON e.src = w.dst) "
@@ -75,6 +75,6 @@ ORACLE: dict[str, str] = {
     "g12_json_round_trip": f"SELECT src, dst, type FROM {_E}",
     "g15_summary": f"SELECT 'nodes' AS what, count(*) AS n FROM {_N} UNION ALL SELECT 'edges', count(*) FROM {_E} UNION ALL SELECT 'node:' || type, count(*) FROM {_N} GROUP BY type UNION ALL SELECT 'edge:' || type, count(*) FROM {_E} GROUP BY type UNION ALL SELECT 'roots', count(*) FROM {_N} WHERE id NOT IN (SELECT dst FROM {_E}) UNION ALL SELECT 'leaves', count(*) FROM {_N} WHERE id NOT IN (SELECT src FROM {_E})",
     "g22_lifecycle": "SELECT dataset, CAST(seq AS INT) AS seq, problem FROM (VALUES ('late', 4, 'read before written'), ('late', 5, 'overwritten unread'), ('late', 6, 'never read'), ('daily', 3, 'never read'), ('nowhere', 7, 'never written')) AS v(dataset, seq, problem)",
-    "v01_jaccard": f"WITH t AS (SELECT item_id, {_bag('text')} AS w FROM benchmark), s AS (SELECT q.item_id AS query, d.item_id, len(list_intersect(q.w, d.w)) AS c, len(q.w) + len(d.w) AS n FROM t q JOIN t d ON q.item_id <> d.item_id WHERE q.item_id % 20 = 0), r AS (SELECT query, item_id, c / (n - c) AS j, row_number() OVER (PARTITION BY query ORDER BY c / (n - c) DESC, item_id) AS rank FROM s WHERE c > 0) SELECT query, item_id, round(j, 6) AS jaccard, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
+    "v01_jaccard": f"WITH t AS (SELECT doc_id, {_bag('text')} AS w FROM documents), s AS (SELECT q.doc_id AS query, d.doc_id, len(list_intersect(q.w, d.w)) AS c, len(q.w) + len(d.w) AS n FROM t q JOIN t d ON q.doc_id <> d.doc_id WHERE q.doc_id % 20 = 0), r AS (SELECT query, doc_id, round(c / (n - c), 9) AS j, row_number() OVER (PARTITION BY query ORDER BY round(c / (n - c), 9) DESC, doc_id) AS rank FROM s WHERE c > 0) SELECT query, doc_id, round(j, 6) AS jaccard, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
     "v02_cosine": "WITH s AS (SELECT q.vec_id AS query, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query, vec_id, round(c, 6) AS cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5",
 }

@@ -299,13 +299,13 @@ class DataStep:
     # --- row by row ---
     def carries_state(self, body: list[list[Token]]) -> bool:
         """Whether a statement needs what earlier rows or turns left."""
-        sums = {s[0].low for s in body if len(s) > 2 and s[1].text == "+" and s[0].kind == "name"}
-        for s in body:
+        sums = {s[0].low: i for i, s in reversed(list(enumerate(body))) if len(s) > 2 and s[1].text == "+" and s[0].kind == "name"}
+        for i_s, s in enumerate(body):
             low = [t.low for t in s]
             names = {t.low for t in s if t.kind == "name"}
-            if low[0] == "retain" and len(s) > 1 or low[0] in ("array", "stop", "call") or "stop" in low[-1:] or "call" in names & {"call"} and "symput" in " ".join(low):
+            if low[0] == "retain" and len(s) > 1 or low[0] in ("array", "stop") or low[-1] == "stop" or names & {"symput", "symputx"}:
                 return True
-            if names & {"_n_", "_error_"} or low[0] == "do" and (low[1:2] in (["while"], ["until"]) or set(low) & {"while", "until"}):
+            if "_n_" in names or low[0] == "do" and (low[1:2] in (["while"], ["until"]) or set(low) & {"while", "until"}):
                 return True
             if low[0] == "set" and any(a == "end" and b == "=" for a, b in zip(low, low[1:], strict=False)):
                 return True
@@ -313,7 +313,7 @@ class DataStep:
                 return True
             # a running sum that is set other than by IF FIRST.x THEN name = constant
             set_here = [low[i] for i in range(len(s) - 1) if low[i + 1] == "=" and (i == 0 or low[i - 1] in ("then", "else"))]
-            plain = low[0] == "if" and low[1:2] == ["first"] and low[4:5] == ["then"] and low[3] in [b.lower() for b in self.by] and len(s) == 8 and s[7].kind == "number" and float(s[7].text) == 0
+            plain = low[0] == "if" and low[1:2] == ["first"] and low[4:5] == ["then"] and low[3] in [b.lower() for b in self.by] and len(s) == 8 and s[7].kind == "number" and float(s[7].text) == 0 and i_s < sums.get(low[5], 0)
             if any(x in sums for x in set_here) and not plain:
                 return True
             if low[0] == "if" and len(low) > 1 and "+" in low and "then" in low:

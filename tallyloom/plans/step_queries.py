@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from ..functions import scalar as S
 from ..operators import panel as P
 from ..operators import steps as O
 from ..sources import tables as T
+from ..sources.cut import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,8 +36,13 @@ def query(key: str, sql: str | None):
     return add
 
 
-TRANSACTIONS = [("T001", "NA", 100.0, "WidgetA", "2023-01-01"), ("T002", "EU", 200.0, "WidgetB", "2023-01-01"), ("T003", "AS", 150.0, "WidgetA", "2023-01-02"), ("T004", "NA", 120.0, "WidgetC", "2023-01-02"), ("T005", "EU", 250.0, "WidgetB", "2023-01-03")]
-_VALUES = ", ".join(f"('{i}', '{g}', {a:.1f}::DOUBLE, '{p}', DATE '{d}')" for i, g, a, p, d in TRANSACTIONS)
+TRANSACTIONS = [
+    ("k-90", "Po", 12.5, "gauge", "2021-03-02"),
+    ("k-91", "Ti", 0.0, "valve", "2021-03-02"),
+    ("k-92", "Po", 844.0, "hose", "2021-02-28"),
+    ("k-93", "Ma", 31.75, "valve", "2020-12-31"),
+]
+_VALUES = ", ".join(f"('{i}', '{g}', {a!r}::DOUBLE, '{p}', DATE '{d}')" for i, g, a, p, d in TRANSACTIONS)
 
 
 def transactions(spark: SparkSession) -> DataFrame:
@@ -57,7 +62,7 @@ def _(t):
 
 @query("s03_csv_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(t):
-    path = tempfile.mkdtemp() if not t.spark.conf.get("spark.checkpoint.dir", None) else f"{t.spark.conf.get('spark.checkpoint.dir')}/csv-{id(t)}"
+    path = new_folder(t.spark, "csv")
     T.write_csv(t.customer.select("c_custkey", "c_name", "c_acctbal"), path)
     return T.read_csv(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double", drop_malformed=True)
 
@@ -76,7 +81,7 @@ def _(t):
 
 @query("s12_parquet_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(t):
-    path = tempfile.mkdtemp() if not t.spark.conf.get("spark.checkpoint.dir", None) else f"{t.spark.conf.get('spark.checkpoint.dir')}/parquet-{id(t)}"
+    path = new_folder(t.spark, "parquet")
     T.write_parquet(t.nation, path)
     return t.spark.read.parquet(path)
 
@@ -181,10 +186,9 @@ def _(t):
     return t.documents.dropna(subset=["lang", "source"]).select("doc_id", "lang", "source")
 
 
-@query("p22_numeric_columns", "SELECT l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_orderkey <= 500")
+@query("p22_numeric_columns", "SELECT l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem")
 def _(t):
-    d = t.lineitem.where("l_orderkey <= 500")
-    return d.select(O.numeric_columns(d, ["L_ORDERKEY"]))
+    return t.lineitem.select(O.numeric_columns(t.lineitem, ["L_ORDERKEY"]))
 
 
 @query("p23_to_character", "SELECT s_name, CAST(format('{:.2f}', CAST(s_suppkey AS DOUBLE)) AS VARCHAR) AS s_suppkey, format('{:.2f}', CAST(s_nationkey AS DOUBLE)) AS s_nationkey, format('{:.2f}', s_acctbal) AS s_acctbal FROM supplier")
@@ -203,13 +207,14 @@ def _(t):
 
 
 # --- joins -------------------------------------------------------------------
-_cust = "(SELECT c_custkey AS k, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0)"
-_ords = "(SELECT o_custkey AS k, max(o_totalprice) AS top, min(CASE WHEN o_orderstatus = 'F' THEN 1.0 END) AS bal FROM orders GROUP BY o_custkey)"
+# days with orders, and days with shipments: some of either have none of the other
+_cust = "(SELECT CAST(o_orderdate AS DATE) AS k, count(*) AS bal FROM orders GROUP BY 1)"
+_ords = "(SELECT CAST(l_shipdate AS DATE) AS k, max(l_quantity) AS top, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS bal FROM lineitem GROUP BY 1)"
 
 
 def _sides(t):
-    a = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"))
-    b = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("top"), F.min(F.when(F.col("o_orderstatus") == "F", 1.0)).alias("bal"))
+    a = t.orders.groupBy(F.to_date("o_orderdate").alias("k")).agg(F.count("*").alias("bal"))
+    b = t.lineitem.groupBy(F.to_date("l_shipdate").alias("k")).agg(F.max("l_quantity").alias("top"), F.min(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber"))).alias("bal"))
     return a, b
 
 
@@ -254,10 +259,10 @@ def _(t):
     return t.customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-@query("j08_full_join", "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k")
+@query("j08_full_join", "SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def _(t):
-    a = t.customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
-    return a.join(t.supplier.where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")), "k", "full")
+    a = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
+    return a.join(t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")), "k", "full")
 
 
 @query("j09_join_with_total", "SELECT o_orderpriority, round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 6) AS share FROM orders GROUP BY o_orderpriority")
@@ -272,10 +277,10 @@ def _(t):
     return t.orders.groupBy(F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(part("F").alias("f"), part("O").alias("o"))
 
 
-@query("j11_hash_lookup", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48")
+@query("j11_hash_lookup", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
 def _(t):
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return O.hash_lookup(t.lineitem.where("l_quantity > 48"), part, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
+    return O.hash_lookup(t.lineitem, part, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
 
 
 @query("j12_self_pairs", "SELECT x.event_type AS a1, y.event_type AS a2, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) x JOIN (SELECT DISTINCT user_id, event_type FROM events) y USING (user_id) GROUP BY 1, 2")
@@ -474,11 +479,11 @@ def _(t):
     return t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1).select("o_orderkey", "o_totalprice")
 
 
-@query("o06_append", "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer WHERE c_acctbal > 9900")
+@query("o06_append", "SELECT s_name AS name FROM supplier UNION ALL SELECT c_name FROM customer")
 def _(t):
     lib = T.Library(t.spark)
     lib.put("base", t.supplier.select(F.col("s_name").alias("name")))
-    lib.put("base", O.stack(lib.get("base"), t.customer.where("c_acctbal > 9900").select(F.col("c_name").alias("name"))))
+    lib.put("base", O.stack(lib.get("base"), t.customer.select(F.col("c_name").alias("name"))))
     return lib.get("base")
 
 
@@ -505,10 +510,9 @@ def _(t):
     return O.transpose(d, ["year"], "m", "n", [f"m{m}" for m in range(1, 13)]).fillna(0)
 
 
-@query("o11_compare", "SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_left, count(*) FILTER (WHERE a.k IS NULL) AS only_right, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL AND abs(a.v - b.v) > 1e-8) AS v_differs, round(coalesce(sum(abs(a.v - b.v)), 0), 4) AS v_abs_diff FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 5 <> 0) a FULL JOIN (SELECT o_orderkey AS k, round(o_totalprice, 0) AS v FROM orders WHERE o_orderkey % 7 <> 0) b ON a.k = b.k")
+@query("o11_compare", "SELECT count(*) FILTER (WHERE b.k IS NULL) AS only_left, count(*) FILTER (WHERE a.k IS NULL) AS only_right, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS matched, count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL AND abs(a.v - b.v) > 1e-8) AS v_differs, round(coalesce(sum(abs(a.v - b.v)), 0), 4) AS v_abs_diff FROM (SELECT CAST(o_orderdate AS DATE) AS k, count(*)::DOUBLE AS v FROM orders GROUP BY 1) a FULL JOIN (SELECT CAST(l_shipdate AS DATE) AS k, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1) b ON a.k = b.k")
 def _(t):
-    a = t.orders.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    b = t.orders.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.round("o_totalprice", 0).alias("v"))
+    a, b = (d.groupBy(F.to_date(day).alias("k")).agg(F.count("*").cast("double").alias("v")) for d, day in ((t.orders, "o_orderdate"), (t.lineitem, "l_shipdate")))
     return O.compare(a, b, ["k"], ["v"]).withColumn("v_abs_diff", F.round("v_abs_diff", 4))
 
 
@@ -616,18 +620,6 @@ def _(t):
     return O.stack(*[p.library.get(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("ds"), "n") for n in "ab"])
 
 
-@query("p16_do_until", "SELECT r_regionkey, CAST(ceil(ln(100 / (r_regionkey + 1.0)) / ln(2)) AS INT) AS turns FROM region")
-def _(t):
-    # DO UNTIL (x >= 100); x = x * 2; a bounded fold over a sequence, as rows have no loops
-    x = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct((F.col("r_regionkey") + 1.0).cast("double").alias("x"), F.lit(0).alias("n")), lambda s, _: F.struct(F.when(s.x < 100, s.x * 2).otherwise(s.x).alias("x"), F.when(s.x < 100, s.n + 1).otherwise(s.n).alias("n")))
-    return t.region.select("r_regionkey", x["n"].alias("turns"))
-
-
-@query("p18_array", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l_quantity, l_discount * 2 AS l_discount, l_tax * 2 AS l_tax FROM lineitem WHERE l_orderkey < 2000")
-def _(t):
-    return t.lineitem.where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", *[(F.col(c) * 2).alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
-
-
 @query("j05_comma_join", "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey")
 def _(t):
     return t.spark.sql("SELECT s_name, n_name FROM {s} AS s, {n} AS n WHERE s_nationkey = n_nationkey", s=t.supplier, n=t.nation)

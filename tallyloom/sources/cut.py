@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster shares and read again: rounds
-    of an iteration neither repeat earlier rounds nor grow their plan.  Where
-    spark.checkpoint.dir is unset (tests in one process) it is set to a
-    temporary folder."""
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", None)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that driver and executors share,
+    spark.checkpoint.dir.  Only where that is unset and all tasks run in this
+    process (tests) it is set to a temporary folder; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyloom-")
-        conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again: rounds of an iteration
+    neither repeat earlier rounds nor grow their plan."""
+    path = new_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
