@@ -124,7 +124,7 @@ program(
     "l09_descending_order",
     "proc sort data=tpch.orders(keep=o_custkey o_orderdate o_orderkey o_totalprice) out=o; by o_custkey descending o_orderdate descending o_orderkey; run; data d(drop=o_orderdate); set o; by o_custkey; n + 1; before = lag(o_orderkey); if first.o_custkey then n = 0; if last.o_custkey; run;",
     "d",
-    "SELECT o_custkey, o_orderkey, o_totalprice, CAST(n - 1 AS DOUBLE) AS n, before FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, lag(o_orderkey) OVER w AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) WHERE r = 1",
+    "SELECT o_custkey, o_orderkey, o_totalprice, CAST(n - 1 AS DOUBLE) AS n, CAST(before AS DOUBLE) AS before FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, lag(o_orderkey) OVER w AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) WHERE r = 1",
 )
 program(
     "l10_merge_pairs",
