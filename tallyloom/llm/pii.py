@@ -164,28 +164,35 @@ def _digits(texts: list[bytes]) -> np.ndarray:
 _SLOTS = 22  # bits of a hash that index the filter sent to every task: 4 MB
 
 
-def _filter(terms: DataFrame) -> np.ndarray:
-    """Which 22-bit prefixes the hashes of column term have."""
-    slots = terms.select(F.shiftrightunsigned("term", 64 - _SLOTS).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+def _filter(terms: DataFrame, column: str = "term") -> np.ndarray:
+    """Which 22-bit prefixes the hashes of a column have."""
+    slots = terms.select(F.shiftrightunsigned(column, 64 - _SLOTS).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
     out = np.zeros(1 << _SLOTS, bool)
     out[slots] = True
     return out
 
 
-def _documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, docs): in how many distinct texts of docs each of the terms occurs."""
-    maybe = _filter(terms)
-    schema = pa.schema([("term", pa.int64()), ("th", pa.int64())])
+def _documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, docs): in how many distinct texts of docs each of the terms occurs.
+
+    Texts that a filter of copied texts (column th) doesn't hold occur once, so
+    their terms are counted where they are; only the terms of the others meet
+    by text."""
+    maybe, twice = _filter(terms), _filter(copied, "th")
+    schema = pa.schema([("term", pa.int64()), ("th", pa.int64()), ("n", pa.int64())])
 
     def make(batch, texts):
         w, h, good = _terms(texts)
         go = good & maybe[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
         th = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
-        term, th = np.unique(np.stack([h[go], th[w.doc[go]]]), axis=1)
-        return {"term": term.view(np.int64), "th": th.view(np.int64)}
+        term, doc = np.unique(np.stack([h[go], w.doc[go].astype(np.uint64)]), axis=1)
+        again = twice[(th >> np.uint64(64 - _SLOTS)).astype(np.int64)][doc.astype(np.int64)]
+        once, n = np.unique(term[~again], return_counts=True)
+        text = pa.array(np.concatenate([np.zeros(len(once), np.int64), th[doc[again].astype(np.int64)].view(np.int64)]), mask=np.arange(len(once) + again.sum()) < len(once))
+        return {"term": np.concatenate([once, term[again]]).view(np.int64), "th": text, "n": np.concatenate([n, np.zeros(again.sum(), np.int64)])}
 
-    held = docs.select("th", "text").mapInArrow(kernel.over_texts(make, schema), "term long, th long").distinct()
-    return held.groupBy("term").agg(F.count("*").alias("docs")).join(terms, "term", "left_semi")
+    held = docs.select("th", "text").mapInArrow(kernel.over_texts(make, schema), "term long, th long, n long").groupBy("term", "th").agg(F.sum("n").alias("n"))
+    return held.groupBy("term").agg((F.sum("n") + F.count("th")).alias("docs")).join(terms, "term", "left_semi")
 
 
 def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -226,15 +233,16 @@ def disclosing(found: DataFrame, docs: DataFrame, least: int = LEAST_CONTEXTS, g
     if together.isEmpty():
         return None
     alone = near.groupBy("entity").agg(F.countDistinct("th").alias("own"))
-    n = float(docs.select("th").distinct().count())
-    seen = materialise(_documents(docs, together.select("term").distinct()))
+    texts = materialise(found.groupBy("th").agg(F.count("*").alias("rows")))
+    n = float(texts.count())
+    seen = materialise(_documents(docs, together.select("term").distinct(), texts.where("rows > 1")))
     joined = together.join(alone, "entity").join(seen, "term").withColumn("expected", F.col("own") * F.col("docs") / n)
     # a factorial of more than 20 doesn't fit; that of 20 makes the bound on the probability only larger
     luck = F.col("both") * F.log("expected") - F.log(F.factorial(F.least(F.col("both"), F.lit(20)).cast("int")).cast("double"))
     share = F.log(F.col("both") / F.col("expected")) / F.log(F.lit(n + 1) / F.col("own"))
     terms = joined.where(luck <= float(np.log(chance))).groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
     terms = materialise(terms.withColumn("kind", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")))
-    discard(near, together, seen)
+    discard(near, together, seen, texts)
     return terms
 
 
