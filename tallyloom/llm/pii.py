@@ -173,7 +173,8 @@ def _filter(terms: DataFrame, column: str = "term") -> np.ndarray:
 
 
 def _documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
-    """(term, docs): in how many distinct texts of docs each of the terms occurs.
+    """(term, docs): in how many distinct texts of docs each of the terms (and
+    of a few others that the filter of terms lets pass) occurs.
 
     Texts that a filter of copied texts (column th) doesn't hold occur once, so
     their terms are counted where they are; only the terms of the others meet
@@ -192,7 +193,7 @@ def _documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFram
         return {"term": np.concatenate([once, term[again]]).view(np.int64), "th": text, "n": np.concatenate([n, np.zeros(again.sum(), np.int64)])}
 
     held = docs.select("th", "text").mapInArrow(kernel.over_texts(make, schema), "term long, th long, n long").groupBy("term", "th").agg(F.sum("n").alias("n"))
-    return held.groupBy("term").agg((F.sum("n") + F.count("th")).alias("docs")).join(terms, "term", "left_semi")
+    return held.groupBy("term").agg((F.sum("n") + F.count("th")).alias("docs"))
 
 
 def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
