@@ -172,6 +172,15 @@ def _filter(terms: DataFrame, column: str = "term") -> np.ndarray:
     return out
 
 
+#: Counts of terms that a task holds before it hands them on.
+_HELD = 1 << 21
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, None, np.ndarray]:
+    term, of = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+    return term, None, np.bincount(of, np.concatenate([n for _, n in held]), len(term))
+
+
 def _documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
     """(term, docs): in how many distinct texts of docs each of the terms (and
     of a few others that the filter of terms lets pass) occurs.
@@ -182,17 +191,30 @@ def _documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFram
     maybe, twice = _filter(terms), _filter(copied, "th")
     schema = pa.schema([("term", pa.int64()), ("th", pa.int64()), ("n", pa.int64())])
 
-    def make(batch, texts):
-        w, h, good = _terms(texts)
-        go = good & maybe[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
-        th = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
-        term, doc = np.unique(np.stack([h[go], w.doc[go].astype(np.uint64)]), axis=1)
-        again = twice[(th >> np.uint64(64 - _SLOTS)).astype(np.int64)][doc.astype(np.int64)]
-        once, n = np.unique(term[~again], return_counts=True)
-        text = pa.array(np.concatenate([np.zeros(len(once), np.int64), th[doc[again].astype(np.int64)].view(np.int64)]), mask=np.arange(len(once) + again.sum()) < len(once))
-        return {"term": np.concatenate([once, term[again]]).view(np.int64), "th": text, "n": np.concatenate([n, np.zeros(again.sum(), np.int64)])}
-
-    held = docs.select("th", "text").mapInArrow(kernel.over_texts(make, schema), "term long, th long, n long").groupBy("term", "th").agg(F.sum("n").alias("n"))
+    def rows(term: np.ndarray, th: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+        text = pa.nulls(len(term), pa.int64()) if th is None else pa.array(th.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), text, pa.array(n.astype(np.int64))], schema=schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch, texts in kernel.pieces(batches, "text"):
+            w, h, good = _terms(texts)
+            go = good & maybe[(h >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+            th = batch.column("th").to_numpy(zero_copy_only=False).view(np.uint64)
+            term, doc = np.unique(np.stack([h[go], w.doc[go].astype(np.uint64)]), axis=1)
+            text = th[doc.astype(np.int64)]
+            again = twice[(text >> np.uint64(64 - _SLOTS)).astype(np.int64)]
+            if again.any():
+                yield rows(term[again], text[again], np.zeros(again.sum()))
+            held.append(np.unique(term[~again], return_counts=True))
+            size += len(held[-1][0])
+            if size >= _HELD:  # one row a term and task, or as many terms as a task may hold
+                yield rows(*_summed(held))
+                held, size = [], 0
+        if held:
+            yield rows(*_summed(held))
+
+    held = docs.select("th", "text").mapInArrow(run, "term long, th long, n long").groupBy("term", "th").agg(F.sum("n").alias("n"))
     return held.groupBy("term").agg((F.sum("n") + F.count("th")).alias("docs"))
 
 
@@ -236,14 +258,23 @@ def disclosing(found: DataFrame, docs: DataFrame, least: int = LEAST_CONTEXTS, g
     alone = near.groupBy("entity").agg(F.countDistinct("th").alias("own"))
     texts = materialise(found.groupBy("th").agg(F.count("*").alias("rows")))
     n = float(texts.count())
-    seen = materialise(_documents(docs, together.select("term").distinct(), texts.where("rows > 1")))
-    joined = together.join(alone, "entity").join(seen, "term").withColumn("expected", F.col("own") * F.col("docs") / n)
-    # a factorial of more than 20 doesn't fit; that of 20 makes the bound on the probability only larger
-    luck = F.col("both") * F.log("expected") - F.log(F.factorial(F.least(F.col("both"), F.lit(20)).cast("int")).cast("double"))
-    share = F.log(F.col("both") / F.col("expected")) / F.log(F.lit(n + 1) / F.col("own"))
-    terms = joined.where(luck <= float(np.log(chance))).groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= generalise)
+
+    def passing(counted: DataFrame) -> DataFrame:
+        """Pairs that pass if their term is in as many texts as counted says; more texts only make it less likely."""
+        joined = together.join(alone, "entity").join(counted, "term").withColumn("expected", F.col("own") * F.col("docs") / n)
+        # a factorial of more than 20 doesn't fit; that of 20 makes the bound on the probability only larger
+        luck = F.col("both") * F.log("expected") - F.log(F.factorial(F.least(F.col("both"), F.lit(20)).cast("int")).cast("double"))
+        share = F.log(F.col("both") / F.col("expected")) / F.log(F.lit(n + 1) / F.col("own"))
+        return joined.where(luck <= float(np.log(chance))).withColumn("disclosure", share).where(F.col("disclosure") >= generalise)
+
+    # the texts in which a term stands beside any entity are the least it is in: frequent words go here
+    open_ = materialise(passing(near.groupBy("term").agg(F.countDistinct("th").alias("docs"))).select("term").distinct())
+    if open_.isEmpty():
+        return None
+    seen = materialise(_documents(docs, open_, texts.where("rows > 1")))
+    terms = passing(seen).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     terms = materialise(terms.withColumn("kind", F.when(F.col("disclosure") >= remove, "removed").otherwise("generalised")))
-    discard(near, together, seen, texts)
+    discard(near, together, seen, texts, open_)
     return terms
 
 
