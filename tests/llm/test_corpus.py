@@ -276,9 +276,8 @@ def scalar_losses(model, stream, k, segment):
         for step in model.code.step[model.code.first[s] : model.code.first[s + 1]].tolist():
             node, bit = divmod(step, 2)
             x = []
-            for context, table, bits in zip(contexts, model.tables, contextmix.SLOT_BITS):
-                salt = int(contextmix._NODES[node]) >> (max(contextmix.SLOT_BITS) - bits)
-                x.append(float(table[int(context[i]) ^ salt]) / 16)
+            for context, table in zip(contexts, model.tables):
+                x.append(float(table[int(context[i]) ^ node]) / 16)
             x.append(0.25)
             z = min(12.0, max(-12.0, sum(a * b for a, b in zip(w, x))))
             p = 1 / (1 + math.exp(-z))
