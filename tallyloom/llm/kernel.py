@@ -8,6 +8,7 @@ on word boundaries.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -177,7 +178,8 @@ def xxh64(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42) -
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of about `limit` bytes of text, with the texts (null: empty)."""
+    """Slices of the batches of about `limit` bytes of text, with the texts (null: empty).
+    After the last one memory is given back."""
     for batch in batches:
         column = batch.column(text)
         size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -188,6 +190,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
             part = batch.slice(begin, end - begin)
             yield part, [t or b"" for t in column.slice(begin, end - begin).cast(pa.binary()).to_pylist()]
             begin = end
+        batch = column = part = None
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers wait for further tasks beside the stages
+    of the JVM and would hold the batches of their last one."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def over_texts(make: Callable[[pa.RecordBatch, list[bytes]], dict], schema: pa.Schema, text: str = "text") -> Callable:

@@ -167,50 +167,53 @@ def forest(f: np.ndarray, bits: int, side: np.ndarray | None = None, wide: np.nd
         top = depth - 1
         a, b = (x.ravel() for x in np.meshgrid(np.arange(tops[0]), np.arange(tops[1]), indexing="ij"))
         get = lambda k, which: (both[which][k], len(parts[0]) if which else 0)
-    stack = [(top, a, b)]
+    def fans(k: int) -> list[int]:
+        """Children of a node of level k + 1 on either side; one that is its own parent has itself."""
+        return [1 if k == top or len(get(k, s)[0][0]) == len(get(k + 1, s)[0][0]) else FANOUT for s in (0, 1)]
+
+    # pairs of nodes wait unopened: the pairs of their children are a few hundred times as many
+    stack = [(top, a, b, False)]
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     while stack:
-        k, a, b = stack.pop()
+        k, x, y, closed = stack.pop()
         (one_a, zero_a, lo_a, hi_a), off_a = get(k, 0)
         (one_b, zero_b, lo_b, hi_b), off_b = get(k, 1)
-        for at in range(0, len(a), _CHUNK):
-            x, y = a[at : at + _CHUNK], b[at : at + _CHUNK]
-            least = np.bitwise_count((one_a[x] & zero_b[y]) | (zero_a[x] & one_b[y])).astype(np.int64)
-            go = least <= bits
-            x, y, least = x[go], y[go], least[go]
-            if k == 0:
-                x, y = x + off_a, y + off_b
-                if wide is not None:
-                    go = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= total
-                    x, y = x[go], y[go]
-                sets.join(x, y)
-                continue
-            most = least + np.bitwise_count(full ^ ((one_a[x] | zero_a[x]) & (one_b[y] | zero_b[y]))) if wide is None else np.full(len(x), bits + 1)
-            for i in np.flatnonzero(most <= bits):
-                p = np.arange(lo_a[x[i]], hi_a[x[i]]) + off_a
-                q = np.arange(lo_b[y[i]], hi_b[y[i]]) + off_b
-                sets.join(np.concatenate([p, np.full(len(q), p[0])]), np.concatenate([np.full(len(p), q[0]), q]))
-            go = most > bits
-            x, y = x[go], y[go]
-            if not len(x):
-                continue
-            la, lb = sets.of[lo_a[x] + off_a], sets.of[lo_b[y] + off_b]
-            low_a, high_a = (np.array(g) for g in _spread(sets.of[off_a : off_a + hi_a[-1]], lo_a))
-            low_b, high_b = (low_a, high_a) if side is None else (np.array(g) for g in _spread(sets.of[off_b : off_b + hi_b[-1]], lo_b))
-            go = ~((low_a[x] == high_a[x]) & (low_b[y] == high_b[y]) & (la == lb))
+        fan_a, fan_b = fans(k)
+        if closed:
+            x = np.repeat(x * fan_a, fan_a * fan_b) + np.tile(np.repeat(np.arange(fan_a), fan_b), len(x))
+            y = np.repeat(y * fan_b, fan_a * fan_b) + np.tile(np.arange(fan_b), len(y) * fan_a)
+            go = (x < len(one_a)) & (y < len(one_b))
+            if side is None:
+                go &= x <= y
             x, y = x[go], y[go]
-            below_a, below_b = len(get(k - 1, 0)[0][0]), len(get(k - 1, 1)[0][0])
-            fan_a = 1 if below_a == len(one_a) else FANOUT
-            fan_b = 1 if below_b == len(one_b) else FANOUT
-            step = max(1, _CHUNK // (fan_a * fan_b))
-            for s in range(0, len(x), step):
-                u, v = x[s : s + step], y[s : s + step]
-                ca = (u[:, None, None] * fan_a + np.arange(fan_a)[None, :, None]) + np.zeros((1, 1, fan_b), np.int64)
-                cb = (v[:, None, None] * fan_b + np.arange(fan_b)[None, None, :]) + np.zeros((1, fan_a, 1), np.int64)
-                ok = (ca < below_a) & (cb < below_b)
-                if side is None:
-                    ok &= ca <= cb
-                stack.append((k - 1, ca[ok], cb[ok]))
+        least = np.bitwise_count((one_a[x] & zero_b[y]) | (zero_a[x] & one_b[y])).astype(np.int64)
+        go = least <= bits
+        x, y, least = x[go], y[go], least[go]
+        if k == 0:
+            x, y = x + off_a, y + off_b
+            if wide is not None:
+                go = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= total
+                x, y = x[go], y[go]
+            sets.join(x, y)
+            continue
+        most = least + np.bitwise_count(full ^ ((one_a[x] | zero_a[x]) & (one_b[y] | zero_b[y]))) if wide is None else np.full(len(x), bits + 1)
+        for i in np.flatnonzero(most <= bits):
+            p = np.arange(lo_a[x[i]], hi_a[x[i]]) + off_a
+            q = np.arange(lo_b[y[i]], hi_b[y[i]]) + off_b
+            sets.join(np.concatenate([p, np.full(len(q), p[0])]), np.concatenate([np.full(len(p), q[0]), q]))
+        go = most > bits
+        x, y = x[go], y[go]
+        if not len(x):
+            continue
+        la, lb = sets.of[lo_a[x] + off_a], sets.of[lo_b[y] + off_b]
+        low_a, high_a = (np.array(g) for g in _spread(sets.of[off_a : off_a + hi_a[-1]], lo_a))
+        low_b, high_b = (low_a, high_a) if side is None else (np.array(g) for g in _spread(sets.of[off_b : off_b + hi_b[-1]], lo_b))
+        go = ~((low_a[x] == high_a[x]) & (low_b[y] == high_b[y]) & (la == lb))
+        x, y = x[go], y[go]
+        fan_a, fan_b = fans(k - 1)
+        step = max(1, _CHUNK // (fan_a * fan_b))
+        for s in range(0, len(x), step):
+            stack.append((k - 1, x[s : s + step], y[s : s + step], True))
     if not sets.made:
         return place[:0], place[:0]
     return tuple(place[np.concatenate(x)] for x in zip(*sets.made, strict=True))

@@ -7,8 +7,12 @@ import json
 import math
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -452,6 +456,38 @@ def test_index_on_dense_groups():
             assert group[at[int(x)]] == group[at[int(y)]]
 
 
+def test_index_of_unlike_fingerprints_takes_little_memory():
+    f = np.random.default_rng(5).integers(0, 1 << 51, 8_000, dtype=np.uint64)
+    tracemalloc.start()
+    try:
+        assert not len(simhash.forest(f, 4)[0])
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_give_memory_back():
+    code = """
+import pyarrow as pa
+from tallyloom.llm import kernel
+held = lambda: next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith("VmRSS"))
+before = held()
+def batches():
+    for _ in range(4):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, (b := pa.record_batch({"text": ["word " * 400] * 10_000})).schema) as out:
+            out.write_batch(b)
+        del b
+        yield from pa.ipc.open_stream(pa.BufferReader(sink.getvalue()))
+for _ in kernel.pieces(batches(), "text"):
+    pass
+del _
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(done.stdout) < 60
+
+
 def test_keep_one_finds_near_copies(spark):
     rng = random.Random(21)
     rows, pairs = [], []
