@@ -6,12 +6,15 @@ import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyloom.operators import panel as P
 from tallyloom.operators import performance as A
+from tallyloom.operators import similarity
 from tallyloom.operators import steps as O
 from tallyloom.plans import graph as G
 from tallyloom.sources import tables as T
@@ -144,3 +147,18 @@ def test_stream_equals_table(spark, tmp_path):
     got = {(str(r.window_start), r.event_type): (r.n, round(r.total, 6)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(str(r.window_start), r.event_type): (r.n, round(r.total, 6)) for r in replay.windowed_summary(events, "ts", ["event_type"], {"value": "total"}).collect()}
     assert got == want
+
+
+def test_jaccard_top_gives_k_rows_a_query_and_task_whatever_the_sizes():
+    rng = np.random.default_rng(4)
+    words = [np.unique((60 * rng.random(rng.integers(0, 50)) ** 2).astype(np.int64)) for _ in range(300)]
+    words[::9] = [words[1]] * len(words[::9])
+    ids = rng.permutation(300)
+    batches = [pa.record_batch({"key": pa.array(ids[i : i + 70]), "words": pa.array([w.tolist() for w in words[i : i + 70]], pa.list_(pa.int64()))}) for i in range(0, 300, 70)]
+    asked = np.flatnonzero(ids % 20 == 0)
+    got = [row for b in similarity._alike(ids[asked], [words[i] for i in asked], 5, 0.0)(batches) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = []
+    for q in asked:
+        alike = [(-round(len(np.intersect1d(words[q], w)) / max(len(np.union1d(words[q], w)), 1), 9), int(i)) for i, w in zip(ids, words, strict=True) if i != ids[q]]
+        want += [(int(ids[q]), i, -j) for j, i in sorted(alike)[:5] if j < 0]
+    assert sorted(got) == sorted(want)
