@@ -12,10 +12,10 @@ loss, before the next decision is read.  Texts are read side by side, so that a
 step is one decision of many texts.  A text of more than SEGMENT symbols is read
 in parts that begin with the first weights again, but see the symbols before.
 
-A last predictor takes contexts of whole words: where the hash of the three
-words before says so (one place in ANCHORS), it is first decided whether the
-word is the one that followed them most often in the training corpus, with the
-odds of its count there; if so, it isn't spelled.  These contexts number as the
+A last predictor takes contexts of whole words: at every word with three words
+before it in its text, it is first decided whether the word is the one that
+followed them most often in the training corpus, with the odds of its count
+there; if so, it isn't spelled.  These contexts number as the
 corpus does; they are counted and joined by key and never meet in one place.
 
 The base score is a unigram model with exact counts.  Counts of frequent words
@@ -50,8 +50,8 @@ GATES = 4
 #: First weight of each predictor, and how far a decision moves the weights.
 FIRST_WEIGHTS = (0.25, 0.25, 0.25, 0.25, 0.25, 0.0)
 RATE = 0.02
-#: Words of a whole-word context, and one in how many of them is one.
-BEFORE, ANCHORS = 3, 16
+#: Words of a whole-word context.
+BEFORE = 3
 FREQUENT_BITS = 18
 _STOP, _END = 0x20, 0x0A
 _CHUNK = 4096
@@ -105,7 +105,7 @@ class Vocabulary:
         """Tokens with a whole-word context, and its hash."""
         ctx, first = kernel.grams(self.token, self.words.at, BEFORE)
         at = first + BEFORE
-        go = (at < self.words.at[self.words.doc[first] + 1]) & (ctx % np.uint64(ANCHORS) == 0)
+        go = at < self.words.at[self.words.doc[first] + 1]
         return at[go], ctx[go]
 
 

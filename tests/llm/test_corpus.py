@@ -320,6 +320,12 @@ def test_mixing_gives_probabilities():
         assert 0.5 < total <= 1 + 1e-4 and total >= 1 - 0.03 * len(upper)
 
 
+def test_every_word_with_words_before_has_a_context():
+    texts = [b"a b c d e f g", b"", b"x y z", b"p q r s"]
+    at, ctx = contextmix.Vocabulary(texts).anchors()
+    assert at.tolist() == [3, 4, 5, 6, 13] and len(set(ctx.tolist())) == 5
+
+
 def test_words_after_known_words_are_cheap(spark):
     """A held-out copy of a training text is told apart from other held-out texts."""
     rng = random.Random(8)
