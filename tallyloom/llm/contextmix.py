@@ -15,8 +15,12 @@ in parts that begin with the first weights again, but see the symbols before.
 A last predictor takes contexts of whole words: at every word with three words
 before it in its text, it is first decided whether the word is the one that
 followed them most often in the training corpus, with the odds of its count
-there; if so, it isn't spelled.  These contexts number as the
-corpus does; they are counted and joined by key and never meet in one place.
+there; if so, it isn't spelled: none of its decisions is made and no weight
+moves.  These contexts number as the corpus does and never meet in one place.
+Texts are dealt to buckets by a hash; a bucket sends each distinct pair of a
+context and the word after it once, sorted, as differences, to the task of the
+context's range of hashes, which answers with the loss of that decision.  What
+a few contexts of very many words hold is counted by key and sent to every task.
 
 The base score is a unigram model with exact counts.  Counts of frequent words
 (at most 2**18, as their count is at least that share of all tokens) are sent
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import join_counted, kind_of, materialise
+from .common import kind_of, materialise
 
 #: Bytes of text that are read side by side.
 PIECE = 1 << 20
@@ -52,6 +56,10 @@ FIRST_WEIGHTS = (0.25, 0.25, 0.25, 0.25, 0.25, 0.0)
 RATE = 0.02
 #: Words of a whole-word context.
 BEFORE = 3
+#: Bytes of text of a bucket, of a task that counts pairs or scores, and of one that counts outcomes.
+BUCKET, SHARE, LEARN = 1 << 21, 1 << 25, 1 << 28
+#: Words after which a whole-word context is counted by key, and those in a piece from which it is looked for.
+HOT, MANY = 1 << 20, 256
 FREQUENT_BITS = 18
 _STOP, _END = 0x20, 0x0A
 _CHUNK = 4096
@@ -102,11 +110,73 @@ class Vocabulary:
         self.hash, self.of, self.count = np.unique(self.token, return_inverse=True, return_counts=True)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens with a whole-word context, and its hash."""
-        ctx, first = kernel.grams(self.token, self.words.at, BEFORE)
-        at = first + BEFORE
-        go = at < self.words.at[self.words.doc[first] + 1]
-        return at[go], ctx[go]
+        return _anchors(self.words, self.token)
+
+
+def _anchors(words: kernel.Words, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with a whole-word context, and its hash."""
+    ctx, first = kernel.grams(token, words.at, BEFORE)
+    at = first + BEFORE
+    go = at < words.at[words.doc[first] + 1]
+    return at[go], ctx[go]
+
+
+def _member(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are among the sorted values, and where."""
+    if not len(of):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    spot = np.minimum(np.searchsorted(of, x), len(of) - 1)
+    return of[spot] == x, spot
+
+
+def _in_order(key: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key and low, and which are the first of equal ones there."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    both = np.cumsum(new) << 16 | low[order]
+    again = np.argsort(both, kind="stable")  # nearly sorted
+    both = both[again]
+    new[1:] = both[1:] != both[:-1]
+    return order[again], new
+
+
+class Pairs:
+    """The distinct pairs of a whole-word context and the word after it, but for
+    the contexts in hot: key (48 bits of the context, 16 of the word) and low (16
+    more of the word), in order; at, ctx: tokens with a context, and it; cold:
+    which of them are in pairs, and of: in which."""
+
+    def __init__(self, words: kernel.Words, token: np.ndarray, hot: np.ndarray):
+        self.at, self.ctx = _anchors(words, token)
+        self.cold = ~_member(self.ctx, hot)[0]
+        word = token[self.at[self.cold]]
+        key = self.ctx[self.cold] >> np.uint64(16) << np.uint64(16) | word >> np.uint64(48)
+        low = (word >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
+        order, new = _in_order(key, low)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.key, self.low = key[order[new]], low[order[new]]
+
+    def ranges(self, parts: int) -> np.ndarray:
+        """Where the pairs of each range of contexts begin, and the end."""
+        return np.searchsorted((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """The bytes of the arrays, those of one place in the number beside each other."""
+    return _ZSTD.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays), asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    width = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(_ZSTD.decompress(raw, n * sum(width), asbytes=True), np.uint8).reshape(-1, n)
+    cut = np.cumsum([0, *width])
+    return [np.ascontiguousarray(planes[lo:hi].T).view(k).ravel() for k, lo, hi in zip(kinds, cut, cut[1:], strict=False)]
 
 
 #: Zeros before each text, so that its contexts hold nothing of the one before.
@@ -150,18 +220,20 @@ class Stream:
         size = self.last - self.first
         return np.arange(size.sum(), dtype=np.int32) + np.repeat((self.first - (np.cumsum(size) - size)).astype(np.int32), size)
 
-    def contexts(self) -> list[np.ndarray]:
-        """For each predictor the slot, less the part of the decision, at every symbol."""
+    def contexts(self, at: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each predictor the slot, less the part of the decision, at every symbol or those at the positions."""
         n = len(self.symbol)
         raw = np.concatenate([np.zeros(_PAD, np.uint8), self.symbol])
-        eight = np.ndarray(n, "<u8", raw, strides=(1,)).copy()  # the eight symbols before each
+        eight = np.ndarray(n, "<u8", raw, strides=(1,))  # the eight symbols before each
+        eight, place = (eight.copy(), self.place) if at is None else (eight[at], self.place[at])
         out = [_slot(eight >> np.uint64(64 - 8 * k), bits) for k, bits in zip(ORDERS, SLOT_BITS, strict=False)]
-        inside = np.minimum(self.place, 8).astype(np.uint64)
+        inside = np.minimum(place, 8).astype(np.uint64)
         prefix = eight >> (np.uint64(63) - inside * np.uint64(8) + (inside > 0))
         prefix *= inside > 0
-        prefix += np.minimum(self.place, 40).astype(np.uint64) << np.uint64(58)
+        prefix += np.minimum(place, 40).astype(np.uint64) << np.uint64(58)
         out.append(_slot(kernel.mix(prefix), SLOT_BITS[-2]))
-        prefix += np.repeat(kernel.mix(self._before + np.uint64(11)), self._size)
+        before = np.repeat(kernel.mix(self._before + np.uint64(11)), self._size)
+        prefix += before if at is None else before[at]
         out.append(_slot(kernel.mix(prefix), SLOT_BITS[-1]))
         return out
 
@@ -198,16 +270,25 @@ class Model:
             done += len(at)
         return out.view(np.int64).ravel()
 
-    def losses(self, stream: Stream, segment: int = SEGMENT) -> np.ndarray:
+    def losses(self, stream: Stream, segment: int = SEGMENT, spelled: np.ndarray | None = None) -> np.ndarray:
         """Minus the log-probability of each symbol, given those before it (0 between texts).
 
+        Of symbols that aren't spelled no decision is made; parts are of those that are.
+
         The weights of a gate are moved by that gate's decisions alone, so the
         decisions of each text (or part of one) and gate are a lane of their
         own, and a step takes the next decision of every lane."""
         size = stream.last - stream.first
+        position = stream.positions()
+        if spelled is not None:
+            go = spelled[position]
+            size = np.bincount(np.repeat(np.arange(len(size)), size)[go], minlength=len(size))
+            position = position[go]
+        out = np.zeros(len(stream.symbol), np.float32)
+        if not len(position):
+            return out
         parts = -(-size // segment)
         gone = np.cumsum(size) - size
-        position = stream.positions()
         lane = (np.arange(len(position), dtype=np.int32) - np.repeat(gone.astype(np.int32), size)) // np.int32(segment)
         lane += np.repeat((np.cumsum(parts) - parts).astype(np.int32), size)
         lane = lane * np.int32(GATES) + np.minimum(stream.place[position], GATES - 1)
@@ -216,7 +297,7 @@ class Model:
         position, lane = position[order], lane[order]
         symbol = stream.symbol[position]
         n = self.code.size[symbol]
-        look = self._inputs(symbol, [c[position] for c in stream.contexts()], int(n.sum()))
+        look = self._inputs(symbol, stream.contexts(position), int(n.sum()))
         length = np.bincount(lane, n, lanes).astype(np.int64)
         start = np.cumsum(length) - length
         # the longest come first, so that those still read are the first ones
@@ -258,7 +339,6 @@ class Model:
             odds += 1
             loss[here] = np.log(odds, out=odds)
             t = stop
-        out = np.zeros(len(stream.symbol), np.float32)
         out[position] = np.add.reduceat(loss, np.cumsum(n) - n)
         return out
 
@@ -267,22 +347,117 @@ def _held(doc_id: str):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
-def _counts(batches):
-    """(kind, key, next, n): 0 tokens of a word hash, 1 symbols, 2 ends, 3 words next after a whole-word context."""
-    for _, texts in kernel.pieces(batches, "text", PIECE):
-        v = Vocabulary(texts)
-        buf, space = v.words.buf, kernel._SPACE[v.words.buf]
-        symbols = np.bincount(buf[~space], minlength=256).astype(np.int64)
-        symbols[_STOP] += len(v.token)
-        symbols[_END] += len(texts)
-        at, ctx = v.anchors()
-        pair, one, n_pair = np.unique(kernel.mix(ctx + kernel.mix(v.token[at])), return_index=True, return_counts=True)
-        ctx, after = ctx[one], v.token[at][one]
-        kind = np.repeat(np.arange(4, dtype=np.int8), [len(v.hash), 256, 1, len(pair)])
-        key = np.concatenate([v.hash.view(np.int64), np.arange(256), [0], ctx.view(np.int64)])
-        following = np.concatenate([np.zeros(len(v.hash) + 257, np.int64), after.view(np.int64)])
-        n = np.concatenate([v.count, symbols, [len(texts)], n_pair]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(following), pa.array(n)], names=["kind", "key", "next", "n"])
+def _counts(many: int):
+    def run(batches):
+        """(kind, key, n): 0 tokens of a word hash, 1 symbols, 2 ends, 3 words after a whole-word context that has many in a piece."""
+        for _, texts in kernel.pieces(batches, "text", PIECE):
+            v = Vocabulary(texts)
+            buf, space = v.words.buf, kernel._SPACE[v.words.buf]
+            symbols = np.bincount(buf[~space], minlength=256).astype(np.int64)
+            symbols[_STOP] += len(v.token)
+            symbols[_END] += len(texts)
+            ctx = np.sort(v.anchors()[1])
+            begin = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)])
+            times = np.diff(begin, append=len(ctx))
+            go = times >= many
+            kind = np.repeat(np.arange(4, dtype=np.int8), [len(v.hash), 256, 1, go.sum()])
+            key = np.concatenate([v.hash.view(np.int64), np.arange(256), [0], ctx[begin[go]].view(np.int64)])
+            n = np.concatenate([v.count, symbols, [len(texts)], times[go]]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+
+    return run
+
+
+def _after(hot: np.ndarray):
+    """(ctx, word, n): words after the contexts in hot."""
+
+    def run(batches):
+        for _, texts in kernel.pieces(batches, "text", PIECE):
+            v = Vocabulary(texts)
+            at, ctx = v.anchors()
+            go = _member(ctx, hot)[0]
+            ctx, word = ctx[go], v.token[at[go]]
+            _, one, n = np.unique(kernel.mix(ctx + kernel.mix(word)), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[one].view(np.int64)), pa.array(_signed(word[one])), pa.array(n.astype(np.int64))], names=["ctx", "word", "n"])
+
+    return run
+
+
+def _signed(word: np.ndarray) -> np.ndarray:
+    """Numbers in the same order."""
+    return (word ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _loss(hits: np.ndarray, times: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """The loss of the decision for a whole word, less than 0 if it isn't the best one, 0 if there is none."""
+    p = (hits + 0.4) / (times + 0.8)
+    return np.where(times > 0, np.where(best, -np.log(p), np.log1p(-p)), 0.0).astype(np.float32)
+
+
+def _gather(batches):
+    """(bucket, rows): the rows of each bucket in a batch, as an Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+        rest, out = batch.drop_columns(["bucket"]), []
+        for lo, hi in zip(begin, np.append(begin[1:], len(bucket)), strict=True):
+            part = rest.take(pa.array(order[lo:hi]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                writer.write_batch(part)
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(out, pa.binary())], names=["bucket", "rows"])
+    batch = rest = part = None
+    kernel.release()
+
+
+def _rows(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """The rows of a bucket, and their texts (null: empty)."""
+    rows = pa.concat_tables([pa.ipc.open_stream(raw).read_all() for raw in table.column("rows").to_pylist()])
+    return rows, [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _asked(parts: int, hot: np.ndarray):
+    """(part, bucket, n, pairs): for each range of contexts a bucket's pairs, and how often each is learned."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, texts = _rows(table)
+        w = kernel.Words(texts, lower=True)
+        pairs = Pairs(w, w.hashes(), hot)
+        learned = ~rows.column("held_out").to_numpy()[w.doc[pairs.at[pairs.cold]]]
+        n = np.bincount(pairs.of[learned], minlength=len(pairs.key)).astype(np.uint32)
+        bound = pairs.ranges(parts)
+        some = np.flatnonzero(np.diff(bound))
+        raw = [_pack(np.diff(pairs.key[lo:hi], prepend=np.uint64(0)), pairs.low[lo:hi], n[lo:hi]) for lo, hi in zip(bound[some].tolist(), bound[some + 1].tolist(), strict=True)]
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table([pa.array(some, pa.int32()), pa.array([bucket] * len(some), pa.int64()), pa.array(np.diff(bound)[some], pa.int32()), pa.array(raw, pa.binary())], names=["part", "bucket", "n", "pairs"])
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """(bucket, part, n, losses): the losses of the decisions for the pairs."""
+    many = table.column("n").to_pylist()
+    sent = [_unpack(raw, n, "<u8", "<u2", "<u4") for raw, n in zip(table.column("pairs").to_pylist(), many, strict=True)]
+    key, low = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent]), np.concatenate([x[1] for x in sent])
+    learned = np.concatenate([x[2] for x in sent]).astype(np.int64)
+    del sent
+    order, new = _in_order(key, low)
+    begin = np.flatnonzero(new)
+    n = np.add.reduceat(learned[order], begin)
+    ctx = key[order[begin]] >> np.uint64(16)
+    first = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    of, first = np.cumsum(first) - 1, np.flatnonzero(first)
+    times, hits = np.add.reduceat(n, first), np.maximum.reduceat(n, first)
+    best = np.zeros(len(first), np.int64)
+    np.maximum.at(best, of, np.where(n == hits[of], np.arange(len(n)), 0))
+    loss = np.empty(len(key), np.float32)
+    loss[order] = _loss(hits[of], times[of], best[of] == np.arange(len(n)))[np.cumsum(new) - 1]
+    raw = [_pack(x) for x in np.split(loss, np.cumsum(many)[:-1])]
+    return pa.table([table.column("bucket"), table.column("part"), table.column("n"), pa.array(raw, pa.binary())], names=["bucket", "part", "n", "losses"])
 
 
 #: Decisions after which a task hands on its counts, before they could exceed 32 bits.
@@ -350,10 +525,12 @@ def _odds(batches):
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.clip(np.round(odds * _SCALE), -127, 127).astype(np.int8).tobytes()], pa.binary())], names=["chunk", "odds"])
 
 
-def train(rows: DataFrame, symbols: np.ndarray) -> Model:
-    """The model of the texts of rows (column text)."""
+def train(rows: DataFrame, symbols: np.ndarray, size: int) -> Model:
+    """The model of the texts of rows (column text), which have size bytes at most."""
     code = Code(symbols)
-    parts = rows.select("text").mapInArrow(_outcomes(code), "chunk int, plane int, counts binary")
+    # every task hands on a table of its own, so they are no more than the cores unless that is too much text
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select("text").coalesce(cores * max(1, -(-size // (LEARN * cores)))).mapInArrow(_outcomes(code), "chunk int, plane int, counts binary")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = np.zeros(_FIRST[-1], np.int8)
     # one byte for each slot of the tables, however large the corpus
@@ -362,43 +539,68 @@ def train(rows: DataFrame, symbols: np.ndarray) -> Model:
     return Model(code, table)
 
 
-def _score(model: Model, frequent: np.ndarray, logs: np.ndarray, id_type: str):
+def _score(model: Model, frequent: np.ndarray, logs: np.ndarray, hot: np.ndarray, after: np.ndarray, id_type: str):
     rare_type = pa.struct([("word", pa.int64()), ("n", pa.int32())])
-    anchor_type = pa.struct([("ctx", pa.int64()), ("word", pa.int64()), ("nats", pa.float32())])
 
-    def run(batches):
-        part, number = TaskContext.get().partitionId() << 36, 0
-        for batch, texts in kernel.pieces(batches, "text", PIECE):
-            v = Vocabulary(texts)
-            w, n = v.words, len(texts)
-            spot = np.minimum(np.searchsorted(frequent, v.hash), max(len(frequent) - 1, 0))
-            known = frequent[spot] == v.hash if len(frequent) else np.zeros(len(v.hash), bool)
-            value = np.where(known, logs[spot] if len(logs) else 0.0, 0.0)
-            base = np.bincount(w.doc, value[v.of], n)
-            sure = np.bincount(w.doc, known[v.of], n).astype(np.int64)
-            left = np.flatnonzero(~known[v.of])
-            cell, times = np.unique(w.doc[left] * max(len(v.hash), 1) + v.of[left], return_counts=True)
-            doc, word = cell // max(len(v.hash), 1), cell % max(len(v.hash), 1)
-            rare = pa.StructArray.from_arrays([pa.array(v.hash[word].view(np.int64)), pa.array(times.astype(np.int32))], fields=list(rare_type))
-            stream = Stream(w)
-            total = np.concatenate([[0], np.cumsum(model.losses(stream), dtype=np.float64)])
-            nats = total[stream.last] - total[stream.first]
-            at, ctx = v.anchors()
-            spelled = total[stream.begin[at] + (w.end - w.start)[at] + 1] - total[stream.begin[at]]
-            anchors = pa.StructArray.from_arrays([pa.array(ctx.view(np.int64)), pa.array(v.token[at].view(np.int64)), pa.array(spelled.astype(np.float32))], fields=list(anchor_type))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(part + number + np.arange(n)), batch.column("doc_id"), batch.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(sure),
-                    pa.array(nats), kernel.lists(rare, np.bincount(doc, minlength=n), rare_type), kernel.lists(anchors, np.bincount(w.doc[at], minlength=n), anchor_type),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats", "rare", "anchors"],
-            )
-            number += n
-
-    return run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, base double, known long, nats double, rare array<struct<word:long,n:int>>, anchors array<struct<ctx:long,word:long,nats:float>>"
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, texts = _rows(table)
+        bucket = table.column("bucket")[0].as_py()
+        v = Vocabulary(texts)
+        w, n = v.words, len(texts)
+        known, spot = _member(v.hash, frequent)
+        value = np.where(known, logs[spot] if len(logs) else 0.0, 0.0)
+        base = np.bincount(w.doc, value[v.of], n)
+        sure = np.bincount(w.doc, known[v.of], n).astype(np.int64)
+        left = np.flatnonzero(~known[v.of])
+        cell, times = np.unique(w.doc[left] * max(len(v.hash), 1) + v.of[left], return_counts=True)
+        doc, word = cell // max(len(v.hash), 1), cell % max(len(v.hash), 1)
+        rare = pa.StructArray.from_arrays([pa.array(v.hash[word].view(np.int64)), pa.array(times.astype(np.int32))], fields=list(rare_type))
+        pairs = Pairs(w, v.token, hot)
+        order = np.argsort(answers.column("part").to_numpy()).tolist()
+        raw, many = answers.column("losses").to_pylist(), answers.column("n").to_pylist()
+        told = np.concatenate([np.zeros(0, np.float32), *(_unpack(raw[k], many[k], "<f4")[0] for k in order)])
+        if len(told) != len(pairs.key):
+            raise RuntimeError(f"{len(told)} answers for {len(pairs.key)} pairs: the table changed while it was read")
+        whole = np.empty(len(pairs.at), np.float32)
+        whole[pairs.cold] = told[pairs.of]
+        at, spot = pairs.at[~pairs.cold], _member(pairs.ctx[~pairs.cold], hot)[1]
+        if len(at):
+            whole[~pairs.cold] = _loss(after["hits"][spot], after["times"][spot], after["best"][spot] == _signed(v.token[at]))
+        stream = Stream(w)
+        spelled = np.ones(len(stream.symbol), bool)
+        at = pairs.at[whole > 0]
+        size = (w.end - w.start)[at] + 1
+        spelled[np.arange(size.sum()) + np.repeat(stream.begin[at] - (np.cumsum(size) - size), size)] = False
+        nats = np.bincount(w.doc[pairs.at], np.abs(whole), n)
+        # texts of about PIECE spelled symbols are read side by side
+        gone = np.concatenate([[0], np.cumsum(spelled)])
+        group = (gone[stream.last] - 1) // PIECE
+        for g in np.unique(group):
+            here = np.flatnonzero(group == g)
+            go = np.zeros(len(spelled), bool)
+            lo, hi = stream.first[here[0]], stream.last[here[-1]]
+            go[lo:hi] = spelled[lo:hi]
+            loss = model.losses(stream, spelled=go).astype(np.float64)
+            nats[here] += np.add.reduceat(np.append(loss, 0), np.stack([stream.first[here], stream.last[here]], 1).ravel())[::2]
+        return pa.table(
+            [pa.array((bucket << 36) + np.arange(n)), rows.column("doc_id"), rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(sure), pa.array(nats), kernel.lists(rare, np.bincount(doc, minlength=n), rare_type)],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats", "rare"],
+        )
+
+    return run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, base double, known long, nats double, rare array<struct<word:long,n:int>>"
+
+
+def _hot_words(learned: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """times, hits and best word of each of the contexts."""
+    out = np.zeros(len(hot), [("times", np.int64), ("hits", np.int64), ("best", np.int64)])
+    if len(hot):
+        pairs = learned.select("text").mapInArrow(_after(hot), "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+        for r in pairs.groupBy("ctx").agg(F.sum("n").alias("times"), F.max(F.struct("n", "word")).alias("top")).collect():
+            out[np.searchsorted(hot, np.array([r.ctx], np.int64).view(np.uint64))] = r.times, r.top.n, r.top.word
+    return out
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, bits_per_byte (of the bytes that are
     predicted: words, one blank after each, and the end).
@@ -407,12 +609,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     doc_id is learned from; an id may be of any type.  Null or empty text is its
     end alone.  Repeated rows count and are scored each; an empty table gives
     none.  With nothing to learn from, all counts are zero and every decision is
-    even.  Words and contexts are told apart by 64-bit hashes, contexts of the
-    mixed predictors by their slot.  Other columns are not read.
+    even.  Words are told apart by 64-bit hashes, whole-word contexts by 48 bits
+    and the words after one by 32 bits, contexts of the mixed predictors by their
+    slot.  Contexts that are followed by more than hot words are counted by key.
+    Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("held_out", _held("doc_id"))
     learned = rows.where(~F.col("held_out"))
-    counted = materialise(learned.select("text").mapInArrow(_counts, "kind byte, key long, next long, n long").groupBy("kind", "key", "next").agg(F.sum("n").alias("n")))
+    counted = materialise(learned.select("text").mapInArrow(_counts(min(MANY, hot)), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     total = counted.where("kind in (0, 2)").agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, distinct = total.n or 0, total.v
@@ -425,18 +629,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     h = often["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     frequent, logs = h[order], np.log10(often["c"].to_numpy(np.float64)[order] + 1)
-    followed = materialise(counted.where("kind = 3").groupBy(F.col("key").alias("ctx")).agg(F.sum("n").alias("times"), F.max(F.struct("n", "next")).alias("top")).select("ctx", "times", F.col("top.n").alias("hits"), F.col("top.next").alias("best")))
-    model = train(learned.select("text"), symbols)
-    found = materialise(rows.mapInArrow(*_score(model, frequent, logs, kind_of(docs, doc_id))))
+    # at most one context for every `hot` words of the corpus
+    heavy = np.sort(np.array([r.key for r in counted.where(F.col("n") > hot).where("kind = 3").collect()], np.int64).view(np.uint64))
+    after = _hot_words(learned, heavy)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model = train(learned.select("text"), symbols, size)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
+    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(-(-size // BUCKET) + 1)).alias("bucket")
+    dealt = rows.select("doc_id", "text", "held_out", bucket).mapInArrow(_gather, "bucket long, rows binary").repartition(parts, "bucket")
+    asked = dealt.groupBy("bucket").applyInArrow(_asked(2 * parts, heavy), "part int, bucket long, n int, pairs binary").repartition(parts, "part")
+    answers = asked.groupBy("part").applyInArrow(_answered, "bucket long, part int, n int, losses binary").repartition(parts, "bucket")
+    found = materialise(dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(*_score(model, frequent, logs, heavy, after, kind_of(docs, doc_id))))
     rare = found.select("row", F.inline("rare")).join(words.where(F.col("c") < least), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("also"))
-    met = join_counted(found.select("row", F.inline("anchors")), followed, "ctx", "times")
-    p = (F.col("hits") + 0.4) / (F.col("times") + 0.8)
-    saved = met.groupBy("row").agg(F.sum(F.when(F.col("word") == F.col("best"), F.col("nats") + F.log(p)).otherwise(F.log(1 - p))).alias("saved"))
-    out = found.drop("rare", "anchors").join(rare, "row", "left").join(saved, "row", "left")
+    out = found.drop("rare").join(rare, "row", "left")
     unit = float(np.log10(n + distinct + 1))
     end = float(np.log10(ends + 1))
     zero = F.lit(0)
-    nats = F.col("nats") - F.coalesce("saved", F.lit(0.0))
+    nats = F.col("nats")
     return out.select(
         "doc_id",
         "held_out",

@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -326,6 +327,67 @@ def test_every_word_with_words_before_has_a_context():
     assert at.tolist() == [3, 4, 5, 6, 13] and len(set(ctx.tolist())) == 5
 
 
+def test_whole_words_are_answered_in_few_bytes():
+    """Decisions for whole words against counting in plain Python; a pair is sent in at most ten bytes."""
+    rng = random.Random(3)
+    texts = [prose(rng, 400) + " " + " ".join(str(rng.randrange(10**6)) for _ in range(200)) for _ in range(60)] + ["", "a b c", "a a a a a a b a a a a"]
+    buckets = [texts[:30], texts[30:50], texts[50:] + texts[:4]]
+    follow, held = {}, lambda b, k: (b + k) % 5 == 2
+    for b, part in enumerate(buckets):
+        for k, t in enumerate(part):
+            w = WORD.findall(lower(t))
+            for i in range(3, len(w)):
+                follow.setdefault(tuple(w[i - 3 : i]), Counter())[w[i]] += not held(b, k)
+    none, parts, sent = np.zeros(0, np.uint64), 4, []
+    for b, part in enumerate(buckets):
+        rows = pa.RecordBatch.from_pydict({"bucket": [b] * len(part), "text": part, "held_out": [held(b, k) for k in range(len(part))]})
+        table = pa.Table.from_batches(list(contextmix._gather([rows])))
+        sent.append(contextmix._asked(parts, none)(table))
+    asked = pa.concat_tables(sent)
+    assert sum(map(len, asked.column("pairs").to_pylist())) <= 10 * sum(asked.column("n").to_pylist())
+    split = np.array(asked.column("part").to_pylist())
+    answers = pa.concat_tables([contextmix._answered(asked.filter(pa.array(split == k))) for k in range(parts)])
+    for b, part in enumerate(buckets):
+        got = sorted((r["part"], r["n"], r["losses"]) for r in answers.to_pylist() if r["bucket"] == b)
+        told = np.concatenate([contextmix._unpack(raw, n, "<f4")[0] for _, n, raw in got])
+        words = kernel.Words([t.encode() for t in part], lower=True)
+        pairs = contextmix.Pairs(words, words.hashes(), none)
+        assert len(told) == len(pairs.key)
+        ways = [(c, w[i]) for t in part for w in [WORD.findall(lower(t))] for i in range(3, len(w)) for c in [follow[tuple(w[i - 3 : i])]]]
+        for (c, word), x in zip(ways, told[pairs.of].tolist(), strict=True):
+            times, hits = sum(c.values()), max(c.values())
+            p = (hits + 0.4) / (times + 0.8)
+            if not times:
+                assert x == 0
+            elif x > 0:
+                assert c[word] == hits and abs(x + math.log(p)) < 1e-5
+            else:
+                assert (c[word] < hits or list(c.values()).count(hits) > 1) and abs(x - math.log(1 - p)) < 1e-5
+        # of the words that followed equally often one is the best
+        best = {(id(c), word) for (c, word), x in zip(ways, told[pairs.of].tolist(), strict=True) if x > 0}
+        assert best and len({c for c, _ in best}) == len(best)
+
+
+def test_hot_contexts_give_the_same_scores(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 60) + " x x x" * rng.randrange(5) + " y", "en", "s", 1) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want, got = ({r.doc_id: r.score for r in contextmix.score(df, hot=hot).collect()} for hot in (contextmix.HOT, 2))
+    assert want.keys() == got.keys() and all(abs(want[i] - got[i]) < 1e-3 for i in want)
+
+
+def test_symbols_that_are_not_spelled_are_not_decided():
+    texts = [prose(random.Random(i), 40).encode() for i in range(6)] + [b""]
+    model, stream = random_model(texts)
+    all_, none = np.ones(len(stream.symbol), bool), np.zeros(len(stream.symbol), bool)
+    assert np.array_equal(model.losses(stream), model.losses(stream, spelled=all_)) and not model.losses(stream, spelled=none).any()
+    # what isn't spelled at a text's end changes nothing before it, and isn't counted
+    some = all_.copy()
+    some[stream.first[2] + 9 : stream.last[2]] = False
+    got, want = model.losses(stream, spelled=some), model.losses(stream)
+    assert np.allclose(got[some], want[some], atol=1e-4) and not got[~some].any()
+
+
 def test_words_after_known_words_are_cheap(spark):
     """A held-out copy of a training text is told apart from other held-out texts."""
     rng = random.Random(8)
