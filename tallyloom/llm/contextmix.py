@@ -24,7 +24,7 @@ a few contexts of very many words hold is counted by key and sent to every task.
 
 The base score is a unigram model with exact counts.  Counts of frequent words
 (at most 2**18, as their count is at least that share of all tokens) are sent
-to every task; the others are joined by hash.
+to every task; the others are asked for by hash, as the pairs are.
 """
 
 from __future__ import annotations
@@ -159,9 +159,10 @@ class Pairs:
         self.of[order] = np.cumsum(new) - 1
         self.key, self.low = key[order[new]], low[order[new]]
 
-    def ranges(self, parts: int) -> np.ndarray:
-        """Where the pairs of each range of contexts begin, and the end."""
-        return np.searchsorted((self.key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+
+def _ranges(key: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of so many ranges of hashes begins in the sorted ones, and the end."""
+    return np.searchsorted((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
 _ZSTD = pa.Codec("zstd", 1)
@@ -188,7 +189,7 @@ class Stream:
     first, last: where each text begins, and one past its end; begin: each
     word's first symbol."""
 
-    def __init__(self, words: kernel.Words):
+    def __init__(self, words: kernel.Words, token: np.ndarray | None = None):
         w, n = words, len(words.count)
         size = w.end - w.start
         self.begin = np.cumsum(size + 1) - (size + 1) + w.doc * (_PAD + 1) + _PAD
@@ -205,7 +206,7 @@ class Stream:
         # the end of a text is a word of its own, and so is what is between the texts
         start = np.concatenate([self.begin, self.last - 1, self.first - _PAD])
         before = np.zeros(len(start), np.uint64)
-        token = w.hashes()
+        token = w.hashes() if token is None else token
         before[1 : len(token)] = token[:-1]
         some = w.count > 0
         before[w.at[:-1][some]] = 0
@@ -222,19 +223,25 @@ class Stream:
 
     def contexts(self, at: np.ndarray | None = None) -> list[np.ndarray]:
         """For each predictor the slot, less the part of the decision, at every symbol or those at the positions."""
-        n = len(self.symbol)
         raw = np.concatenate([np.zeros(_PAD, np.uint8), self.symbol])
-        eight = np.ndarray(n, "<u8", raw, strides=(1,))  # the eight symbols before each
-        eight, place = (eight.copy(), self.place) if at is None else (eight[at], self.place[at])
-        out = [_slot(eight >> np.uint64(64 - 8 * k), bits) for k, bits in zip(ORDERS, SLOT_BITS, strict=False)]
-        inside = np.minimum(place, 8).astype(np.uint64)
-        prefix = eight >> (np.uint64(63) - inside * np.uint64(8) + (inside > 0))
-        prefix *= inside > 0
-        prefix += np.minimum(place, 40).astype(np.uint64) << np.uint64(58)
-        out.append(_slot(kernel.mix(prefix), SLOT_BITS[-2]))
         before = np.repeat(kernel.mix(self._before + np.uint64(11)), self._size)
-        prefix += before if at is None else before[at]
-        out.append(_slot(kernel.mix(prefix), SLOT_BITS[-1]))
+        n = len(self.symbol)
+        whole, place = np.ndarray(n, "<u8", raw, strides=(1,)), self.place  # the eight symbols before each
+        if at is not None:
+            whole, place, before = whole[at], place[at], before[at]
+        out = [np.empty(len(place), np.int32) for _ in SLOT_BITS]
+        for i in range(0, len(place), _BLOCK):  # blocks stay in the cache
+            here = slice(i, i + _BLOCK)
+            eight = whole[here].copy()
+            for k, bits, to in zip(ORDERS, SLOT_BITS, out, strict=False):
+                to[here] = _slot(eight >> np.uint64(64 - 8 * k), bits)
+            inside = np.minimum(place[here], 8).astype(np.uint64)
+            prefix = eight >> (np.uint64(63) - inside * np.uint64(8) + (inside > 0))
+            prefix *= inside > 0
+            prefix += np.minimum(place[here], 40).astype(np.uint64) << np.uint64(58)
+            out[-2][here] = _slot(kernel.mix(prefix), SLOT_BITS[-2])
+            prefix += before[here]
+            out[-1][here] = _slot(kernel.mix(prefix), SLOT_BITS[-1])
         return out
 
 
@@ -420,31 +427,58 @@ def _rows(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
     return rows, [t or b"" for t in rows.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _asked(parts: int, hot: np.ndarray):
-    """(part, bucket, n, pairs): for each range of contexts a bucket's pairs, and how often each is learned."""
+def _asked(parts: int, hot: np.ndarray, frequent: np.ndarray):
+    """(part, bucket, n, sent): for each range of contexts a bucket's pairs, and how often each is
+    learned (part 0 to parts - 1), and for each range of words its words that aren't frequent (parts and more)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows, texts = _rows(table)
-        w = kernel.Words(texts, lower=True)
-        pairs = Pairs(w, w.hashes(), hot)
-        learned = ~rows.column("held_out").to_numpy()[w.doc[pairs.at[pairs.cold]]]
-        n = np.bincount(pairs.of[learned], minlength=len(pairs.key)).astype(np.uint32)
-        bound = pairs.ranges(parts)
-        some = np.flatnonzero(np.diff(bound))
-        raw = [_pack(np.diff(pairs.key[lo:hi], prepend=np.uint64(0)), pairs.low[lo:hi], n[lo:hi]) for lo, hi in zip(bound[some].tolist(), bound[some + 1].tolist(), strict=True)]
+        v = Vocabulary(texts)
+        learned = ~rows.column("held_out").to_numpy()[v.words.doc]
+        pairs = Pairs(v.words, v.token, hot)
+        n = np.bincount(pairs.of[learned[pairs.at[pairs.cold]]], minlength=len(pairs.key)).astype(np.uint32)
+        rare = ~_member(v.hash, frequent)[0]
+        word, times = v.hash[rare], np.bincount(v.of[learned], minlength=len(v.hash))[rare].astype(np.uint32)
+        part, many, raw = [], [], []
+        for first, key, more in ((0, pairs.key, (pairs.low, n)), (parts, word, (times,))):
+            bound = _ranges(key, parts).tolist()
+            for k, (lo, hi) in enumerate(zip(bound, bound[1:], strict=False)):
+                if lo < hi:
+                    part.append(first + k)
+                    many.append(hi - lo)
+                    raw.append(_pack(np.diff(key[lo:hi], prepend=np.uint64(0)), *(x[lo:hi] for x in more)))
         bucket = table.column("bucket")[0].as_py()
-        return pa.table([pa.array(some, pa.int32()), pa.array([bucket] * len(some), pa.int64()), pa.array(np.diff(bound)[some], pa.int32()), pa.array(raw, pa.binary())], names=["part", "bucket", "n", "pairs"])
+        return pa.table([pa.array(part, pa.int32()), pa.array([bucket] * len(part), pa.int64()), pa.array(many, pa.int32()), pa.array(raw, pa.binary())], names=["part", "bucket", "n", "sent"])
+
+    return run
+
+
+def _answered(parts: int):
+    """(bucket, part, n, told): the losses of the decisions for the pairs, and the counts of the words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        many, raw = table.column("n").to_pylist(), table.column("sent").to_pylist()
+        if table.column("part")[0].as_py() < parts:
+            sent = [_unpack(x, n, "<u8", "<u2", "<u4") for x, n in zip(raw, many, strict=True)]
+        else:
+            sent = [_unpack(x, n, "<u8", "<u4") for x, n in zip(raw, many, strict=True)]
+        key = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
+        learned = np.concatenate([x[-1] for x in sent]).astype(np.int64)
+        if len(sent[0]) == 3:
+            told = _decided(key, np.concatenate([x[1] for x in sent]), learned)
+        else:
+            _, of = np.unique(key, return_inverse=True)
+            total = np.zeros(of.max() + 1, np.int64)
+            np.add.at(total, of, learned)
+            told = total[of]
+        told = [_pack(x) for x in np.split(told, np.cumsum(many)[:-1])]
+        return pa.table([table.column("bucket"), table.column("part"), table.column("n"), pa.array(told, pa.binary())], names=["bucket", "part", "n", "told"])
 
     return run
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """(bucket, part, n, losses): the losses of the decisions for the pairs."""
-    many = table.column("n").to_pylist()
-    sent = [_unpack(raw, n, "<u8", "<u2", "<u4") for raw, n in zip(table.column("pairs").to_pylist(), many, strict=True)]
-    key, low = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent]), np.concatenate([x[1] for x in sent])
-    learned = np.concatenate([x[2] for x in sent]).astype(np.int64)
-    del sent
+def _decided(key: np.ndarray, low: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    """The loss of the decision for each pair that was sent."""
     order, new = _in_order(key, low)
     begin = np.flatnonzero(new)
     n = np.add.reduceat(learned[order], begin)
@@ -456,33 +490,48 @@ def _answered(table: pa.Table) -> pa.Table:
     np.maximum.at(best, of, np.where(n == hits[of], np.arange(len(n)), 0))
     loss = np.empty(len(key), np.float32)
     loss[order] = _loss(hits[of], times[of], best[of] == np.arange(len(n)))[np.cumsum(new) - 1]
-    raw = [_pack(x) for x in np.split(loss, np.cumsum(many)[:-1])]
-    return pa.table([table.column("bucket"), table.column("part"), table.column("n"), pa.array(raw, pa.binary())], names=["bucket", "part", "n", "losses"])
+    return loss
+
+
+def _told(answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The losses of a bucket's pairs and the counts of its words, in order."""
+    losses, counts = [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+    for part, n, raw in sorted(zip(*(answers.column(k).to_pylist() for k in ("part", "n", "told")), strict=True)):
+        (losses if part < parts else counts).append(_unpack(raw, n, "<f4" if part < parts else "<i8")[0])
+    return np.concatenate(losses), np.concatenate(counts)
 
 
 #: Decisions after which a task hands on its counts, before they could exceed 32 bits.
 _MOST = 1 << 30
 
 
-def _add(total: np.ndarray, code: Code, symbol: np.ndarray, contexts: list[np.ndarray]) -> int:
+def _add(total: np.ndarray, code: Code, stream: Stream) -> int:
     """Add the outcomes of the symbols' decisions to the table of counts; how many there are.
 
     Symbols that are alike in slot are counted first, and their decisions added once."""
-    for context, lo, hi in zip(contexts, _FIRST, _FIRST[1:], strict=False):
-        key = (context.astype(np.uint32) << np.uint32(8)) | symbol
+    real = stream.positions()
+    between = np.ones(len(stream.symbol), bool)
+    between[real] = False
+    steps = [code.step[lo:hi].tolist() for lo, hi in zip(code.first, code.first[1:], strict=False)]
+    most = max(SLOT_BITS)
+    symbol = stream.symbol.astype(np.uint32) << np.uint32(most)
+    for context, lo, hi in zip(stream.contexts(), _FIRST, _FIRST[1:], strict=False):
+        key = symbol | context.view(np.uint32)
+        key[between] = 0xFFFFFFFF  # greater than any other
         key.sort()
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key = key[: len(real)]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         times = np.diff(begin, append=len(key)).astype(np.int32)
         key = key[begin]
+        edge = np.searchsorted(key, np.arange(257, dtype=np.uint64) << np.uint64(most)).tolist()
+        slot = (key & np.uint32((1 << most) - 1)).astype(np.intp)
+        slot += slot
         part = total[2 * lo : 2 * hi]
-        for i in range(0, len(key), _MANY):
-            at, step, _ = code.decisions((key[i : i + _MANY] & np.uint32(255)).astype(np.uint8))
-            slot = (key[i : i + _MANY] >> np.uint32(8)).astype(np.intp)
-            slot += slot
-            slot = slot.take(at)
-            slot ^= step
-            np.add.at(part, slot, times[i : i + _MANY].take(at))
-    return int(code.size[symbol].sum())
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            here, n = slot[edge[s] : edge[s + 1]], times[edge[s] : edge[s + 1]]
+            for step in steps[s]:
+                np.add.at(part, here ^ step, n)
+    return int(code.size[stream.symbol[real]].sum())
 
 
 def _outcomes(code: Code):
@@ -502,8 +551,7 @@ def _outcomes(code: Code):
 
         for _, texts in kernel.pieces(batches, "text", PIECE):
             stream = Stream(kernel.Words(texts, lower=True))
-            real = stream.positions()
-            seen += _add(total, code, stream.symbol[real], [c[real] for c in stream.contexts()])
+            seen += _add(total, code, stream)
             if seen >= _MOST:
                 yield from emit()
                 total[:], seen = 0, 0
@@ -539,34 +587,26 @@ def train(rows: DataFrame, symbols: np.ndarray, size: int) -> Model:
     return Model(code, table)
 
 
-def _score(model: Model, frequent: np.ndarray, logs: np.ndarray, hot: np.ndarray, after: np.ndarray, id_type: str):
-    rare_type = pa.struct([("word", pa.int64()), ("n", pa.int32())])
-
+def _score(model: Model, frequent: np.ndarray, counts: np.ndarray, hot: np.ndarray, after: np.ndarray, parts: int, id_type: str):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows, texts = _rows(table)
-        bucket = table.column("bucket")[0].as_py()
         v = Vocabulary(texts)
         w, n = v.words, len(texts)
-        known, spot = _member(v.hash, frequent)
-        value = np.where(known, logs[spot] if len(logs) else 0.0, 0.0)
-        base = np.bincount(w.doc, value[v.of], n)
-        sure = np.bincount(w.doc, known[v.of], n).astype(np.int64)
-        left = np.flatnonzero(~known[v.of])
-        cell, times = np.unique(w.doc[left] * max(len(v.hash), 1) + v.of[left], return_counts=True)
-        doc, word = cell // max(len(v.hash), 1), cell % max(len(v.hash), 1)
-        rare = pa.StructArray.from_arrays([pa.array(v.hash[word].view(np.int64)), pa.array(times.astype(np.int32))], fields=list(rare_type))
         pairs = Pairs(w, v.token, hot)
-        order = np.argsort(answers.column("part").to_numpy()).tolist()
-        raw, many = answers.column("losses").to_pylist(), answers.column("n").to_pylist()
-        told = np.concatenate([np.zeros(0, np.float32), *(_unpack(raw[k], many[k], "<f4")[0] for k in order)])
-        if len(told) != len(pairs.key):
-            raise RuntimeError(f"{len(told)} answers for {len(pairs.key)} pairs: the table changed while it was read")
+        told, rare = _told(answers, parts)
+        often, spot = _member(v.hash, frequent)
+        if len(told) != len(pairs.key) or len(rare) != len(v.hash) - often.sum():
+            raise RuntimeError("the table changed while it was read")
+        c = np.empty(len(v.hash), np.int64)
+        c[often], c[~often] = counts[spot[often]], rare
+        base = np.bincount(w.doc, np.log10(c + 1.0)[v.of], n)
+        known = np.bincount(w.doc, (c > 0)[v.of], n).astype(np.int64)
         whole = np.empty(len(pairs.at), np.float32)
         whole[pairs.cold] = told[pairs.of]
         at, spot = pairs.at[~pairs.cold], _member(pairs.ctx[~pairs.cold], hot)[1]
         if len(at):
             whole[~pairs.cold] = _loss(after["hits"][spot], after["times"][spot], after["best"][spot] == _signed(v.token[at]))
-        stream = Stream(w)
+        stream = Stream(w, v.token)
         spelled = np.ones(len(stream.symbol), bool)
         at = pairs.at[whole > 0]
         size = (w.end - w.start)[at] + 1
@@ -583,11 +623,11 @@ def _score(model: Model, frequent: np.ndarray, logs: np.ndarray, hot: np.ndarray
             loss = model.losses(stream, spelled=go).astype(np.float64)
             nats[here] += np.add.reduceat(np.append(loss, 0), np.stack([stream.first[here], stream.last[here]], 1).ravel())[::2]
         return pa.table(
-            [pa.array((bucket << 36) + np.arange(n)), rows.column("doc_id"), rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(sure), pa.array(nats), kernel.lists(rare, np.bincount(doc, minlength=n), rare_type)],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats", "rare"],
-        )
+            [rows.column("doc_id"), rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(known), pa.array(nats)],
+            names=["doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats"],
+        )
 
-    return run, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, base double, known long, nats double, rare array<struct<word:long,n:int>>"
+    return run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, base double, known long, nats double"
 
 
 def _hot_words(learned: DataFrame, hot: np.ndarray) -> np.ndarray:
@@ -628,7 +668,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int
     often = words.where(F.col("c") >= least).toPandas()
     h = often["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    frequent, logs = h[order], np.log10(often["c"].to_numpy(np.float64)[order] + 1)
+    frequent, counts = h[order], often["c"].to_numpy(np.int64)[order]
     # at most one context for every `hot` words of the corpus
     heavy = np.sort(np.array([r.key for r in counted.where(F.col("n") > hot).where("kind = 3").collect()], np.int64).view(np.uint64))
     after = _hot_words(learned, heavy)
@@ -637,22 +677,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE))
     bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(-(-size // BUCKET) + 1)).alias("bucket")
     dealt = rows.select("doc_id", "text", "held_out", bucket).mapInArrow(_gather, "bucket long, rows binary").repartition(parts, "bucket")
-    asked = dealt.groupBy("bucket").applyInArrow(_asked(2 * parts, heavy), "part int, bucket long, n int, pairs binary").repartition(parts, "part")
-    answers = asked.groupBy("part").applyInArrow(_answered, "bucket long, part int, n int, losses binary").repartition(parts, "bucket")
-    found = materialise(dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(*_score(model, frequent, logs, heavy, after, kind_of(docs, doc_id))))
-    rare = found.select("row", F.inline("rare")).join(words.where(F.col("c") < least), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("n").alias("also"))
-    out = found.drop("rare").join(rare, "row", "left")
+    asked = dealt.groupBy("bucket").applyInArrow(_asked(2 * parts, heavy, frequent), "part int, bucket long, n int, sent binary").repartition(parts, "part")
+    answers = asked.groupBy("part").applyInArrow(_answered(2 * parts), "bucket long, part int, n int, told binary").repartition(parts, "bucket")
+    found = materialise(dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(*_score(model, frequent, counts, heavy, after, 2 * parts, kind_of(docs, doc_id))))
     unit = float(np.log10(n + distinct + 1))
     end = float(np.log10(ends + 1))
-    zero = F.lit(0)
     nats = F.col("nats")
-    return out.select(
+    return found.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("also", zero) + int(ends > 0)).cast("long").alias("n_known"),
+        (F.col("known") + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", zero) + end - F.col("n_tokens") * unit).alias("base_score"),
+        (F.col("base") + end - F.col("n_tokens") * unit).alias("base_score"),
         (-nats / float(np.log(10))).alias("score"),
         (nats / float(np.log(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

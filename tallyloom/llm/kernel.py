@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 19
+_BLOCK = 1 << 14
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -82,7 +83,13 @@ class Words:
         start, end = (self.start, self.end) if start is None else (start, end)
         n = len(self.buf)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n), out=total[1:])
+        powers = _powers(_BASE, n)
+        for i in range(0, n, _BLOCK):  # blocks stay in the cache
+            part = self.buf[i : i + _BLOCK].astype(np.uint64)
+            part += np.uint64(1)
+            part *= powers[i : i + _BLOCK]
+            part[:1] += total[i : i + 1]
+            np.cumsum(part, out=total[i + 1 : i + 1 + len(part)])
         return mix((total[end] - total[start]) * _powers(_INV, n + 1)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def per_doc(self, marks: np.ndarray) -> np.ndarray:

@@ -342,17 +342,18 @@ def test_whole_words_are_answered_in_few_bytes():
     for b, part in enumerate(buckets):
         rows = pa.RecordBatch.from_pydict({"bucket": [b] * len(part), "text": part, "held_out": [held(b, k) for k in range(len(part))]})
         table = pa.Table.from_batches(list(contextmix._gather([rows])))
-        sent.append(contextmix._asked(parts, none)(table))
+        sent.append(contextmix._asked(parts, none, none)(table))
     asked = pa.concat_tables(sent)
-    assert sum(map(len, asked.column("pairs").to_pylist())) <= 10 * sum(asked.column("n").to_pylist())
+    assert sum(map(len, asked.column("sent").to_pylist())) <= 10 * sum(asked.column("n").to_pylist())
     split = np.array(asked.column("part").to_pylist())
-    answers = pa.concat_tables([contextmix._answered(asked.filter(pa.array(split == k))) for k in range(parts)])
+    answers = pa.concat_tables([contextmix._answered(parts)(asked.filter(pa.array(split == k))) for k in range(2 * parts)])
+    count = Counter(x for b, part in enumerate(buckets) for k, t in enumerate(part) if not held(b, k) for x in WORD.findall(lower(t)))
     for b, part in enumerate(buckets):
-        got = sorted((r["part"], r["n"], r["losses"]) for r in answers.to_pylist() if r["bucket"] == b)
-        told = np.concatenate([contextmix._unpack(raw, n, "<f4")[0] for _, n, raw in got])
-        words = kernel.Words([t.encode() for t in part], lower=True)
-        pairs = contextmix.Pairs(words, words.hashes(), none)
+        told, counts = contextmix._told(answers.filter(pa.array([x == b for x in answers.column("bucket").to_pylist()])), parts)
+        v = contextmix.Vocabulary([t.encode() for t in part])
+        pairs = contextmix.Pairs(v.words, v.token, none)
         assert len(told) == len(pairs.key)
+        assert counts[v.of].tolist() == [count[x] for t in part for x in WORD.findall(lower(t))]
         ways = [(c, w[i]) for t in part for w in [WORD.findall(lower(t))] for i in range(3, len(w)) for c in [follow[tuple(w[i - 3 : i])]]]
         for (c, word), x in zip(ways, told[pairs.of].tolist(), strict=True):
             times, hits = sum(c.values()), max(c.values())
