@@ -60,6 +60,8 @@ BEFORE = 3
 BUCKET, SHARE, LEARN = 1 << 21, 1 << 25, 1 << 28
 #: Words after which a whole-word context is counted by key, and those in a piece from which it is looked for.
 HOT, MANY = 1 << 20, 256
+#: Words of pieces whose counts a task merges before it hands them on.
+_MERGED = 1 << 21
 FREQUENT_BITS = 18
 _STOP, _END = 0x20, 0x0A
 _CHUNK = 4096
@@ -312,9 +314,12 @@ class Model:
         start, length = start[first].astype(np.int32), length[first]
         longest = int(length[0])
         live = np.searchsorted(-length, -np.arange(longest), "left")  # lanes longer than each step
-        # log-odds stay in sixteenths, so weights are in sixteenths too, and moves in their squares
-        weight = np.repeat(np.array(self.weights, np.float32)[:, None], live[0], axis=1) / np.float32(_SCALE)
-        rate = np.float32(self.rate / _SCALE**2)
+        # log-odds stay in sixteenths, so weights are in sixteenths too, and moves in their squares;
+        # weights and their sums are halves, as a probability is half of 1 + tanh of that
+        weight = np.repeat(np.array(self.weights, np.float32)[:, None], live[0], axis=1) / np.float32(2 * _SCALE)
+        rate = np.float32(self.rate / _SCALE**2 / 4)
+        tanh, multiply, subtract, add, sums = np.tanh, np.multiply, np.subtract, np.add, np.einsum
+        last = 0
         moved = np.empty_like(weight)
         loss = np.empty(len(look), np.float32)
         t = 0
@@ -325,23 +330,24 @@ class Model:
             seen = look.take(here).view(np.int8).reshape(-1, 8).T
             x = seen[:INPUTS].astype(np.float32, order="C")
             one = seen[-1].astype(np.float32)
-            goal = one * rate
-            odds = np.empty(len(here), np.float32)
+            goal = (2 * one - 1) * rate
+            half = np.empty(len(here), np.float32)
             lo = 0
             for m in many:
                 hi = lo + m
-                w, part = weight[:, :m], x[:, lo:hi]
-                z = np.einsum("kd,kd->d", w, part, out=odds[lo:hi])
-                np.minimum(z, 12, out=z)
-                np.maximum(z, -12, out=z)
-                error = np.negative(z)
-                np.exp(error, out=error)
-                error += 1
-                np.divide(rate, error, out=error)
-                np.subtract(goal[lo:hi], error, out=error)
-                w += np.multiply(part, error, out=moved[:, :m])
+                if m != last:
+                    w, move, last = weight[:, :m], moved[:, :m], m
+                part, z = x[:, lo:hi], half[lo:hi]
+                sums("kd,kd->d", w, part, out=z)
+                np.minimum(z, 6, out=z)
+                np.maximum(z, -6, out=z)
+                error = tanh(z)
+                multiply(error, rate, out=error)
+                subtract(goal[lo:hi], error, out=error)
+                multiply(part, error, out=move)
+                add(w, move, out=w)
                 lo = hi
-            odds *= 1 - 2 * one
+            odds = half * (2 - 4 * one)
             np.exp(odds, out=odds)
             odds += 1
             loss[here] = np.log(odds, out=odds)
@@ -357,20 +363,38 @@ def _held(doc_id: str):
 def _counts(many: int):
     def run(batches):
         """(kind, key, n): 0 tokens of a word hash, 1 symbols, 2 ends, 3 words after a whole-word context that has many in a piece."""
+        held: list[tuple] = []
+        symbols, ends, size = np.zeros(256, np.int64), 0, 0
+
+        def emit():
+            hashes, of = np.unique(np.concatenate([h for h, *_ in held]), return_inverse=True)
+            count = np.zeros(len(hashes), np.int64)
+            np.add.at(count, of, np.concatenate([c for _, c, *_ in held]))
+            ctx, times = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+            kind = np.repeat(np.arange(4, dtype=np.int8), [len(hashes), 256, 1, len(ctx)])
+            key = np.concatenate([hashes.view(np.int64), np.arange(256), [0], ctx.view(np.int64)])
+            n = np.concatenate([count, symbols, [ends], times]).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+
         for _, texts in kernel.pieces(batches, "text", PIECE):
             v = Vocabulary(texts)
             buf, space = v.words.buf, kernel._SPACE[v.words.buf]
-            symbols = np.bincount(buf[~space], minlength=256).astype(np.int64)
+            symbols += np.bincount(buf[~space], minlength=256)
             symbols[_STOP] += len(v.token)
             symbols[_END] += len(texts)
+            ends += len(texts)
             ctx = np.sort(v.anchors()[1])
             begin = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)])
             times = np.diff(begin, append=len(ctx))
             go = times >= many
-            kind = np.repeat(np.arange(4, dtype=np.int8), [len(v.hash), 256, 1, go.sum()])
-            key = np.concatenate([v.hash.view(np.int64), np.arange(256), [0], ctx[begin[go]].view(np.int64)])
-            n = np.concatenate([v.count, symbols, [len(texts)], times[go]]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+            held.append((v.hash, v.count, ctx[begin[go]], times[go]))
+            size += len(v.hash)
+            if size >= _MERGED:
+                yield emit()
+                held, size, ends = [], 0, 0
+                symbols[:] = 0
+        if held:
+            yield emit()
 
     return run
 

@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 19
-_BLOCK = 1 << 14
+_BITS = 14
+_BLOCK = 1 << _BITS
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -83,14 +84,17 @@ class Words:
         start, end = (self.start, self.end) if start is None else (start, end)
         n = len(self.buf)
         total = np.zeros(n + 1, np.uint64)
-        powers = _powers(_BASE, n)
+        near, far = _powers(_BASE, _BLOCK), _powers(pow(_BASE, _BLOCK, 1 << 64), (n >> _BITS) + 1)
         for i in range(0, n, _BLOCK):  # blocks stay in the cache
             part = self.buf[i : i + _BLOCK].astype(np.uint64)
             part += np.uint64(1)
-            part *= powers[i : i + _BLOCK]
+            part *= near[: len(part)]
+            part *= far[i >> _BITS : (i >> _BITS) + 1]
             part[:1] += total[i : i + 1]
             np.cumsum(part, out=total[i + 1 : i + 1 + len(part)])
-        return mix((total[end] - total[start]) * _powers(_INV, n + 1)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        near, far = _powers(_INV, _BLOCK), _powers(pow(_INV, _BLOCK, 1 << 64), (n >> _BITS) + 1)
+        back = near[start & (_BLOCK - 1)] * far[start >> _BITS]
+        return mix((total[end] - total[start]) * back + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def per_doc(self, marks: np.ndarray) -> np.ndarray:
         """Sums of a byte-wise array for each text."""
