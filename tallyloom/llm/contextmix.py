@@ -202,8 +202,9 @@ class Stream:
         for k in range(_PAD):
             symbol[self.first - 1 - k] = 0
         symbol[self.last - 1] = _END
-        inner = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-        symbol[np.repeat(self.begin.astype(np.int32), size) + inner] = w.buf[np.repeat(w.start.astype(np.int32), size) + inner]
+        inside = symbol == _STOP
+        inside[self.begin + size] = False
+        symbol[inside] = w.buf[~kernel._SPACE[w.buf]]
         self.symbol = symbol
         # the end of a text is a word of its own, and so is what is between the texts
         start = np.concatenate([self.begin, self.last - 1, self.first - _PAD])
@@ -282,17 +283,16 @@ class Model:
     def losses(self, stream: Stream, segment: int = SEGMENT, spelled: np.ndarray | None = None) -> np.ndarray:
         """Minus the log-probability of each symbol, given those before it (0 between texts).
 
-        Of symbols that aren't spelled no decision is made; parts are of those that are.
+        Of symbols that aren't spelled (all between texts, if given) no decision is made; parts are of those that are.
 
         The weights of a gate are moved by that gate's decisions alone, so the
         decisions of each text (or part of one) and gate are a lane of their
         own, and a step takes the next decision of every lane."""
-        size = stream.last - stream.first
-        position = stream.positions()
-        if spelled is not None:
-            go = spelled[position]
-            size = np.bincount(np.repeat(np.arange(len(size)), size)[go], minlength=len(size))
-            position = position[go]
+        if spelled is None:
+            position, size = stream.positions(), stream.last - stream.first
+        else:
+            position = np.flatnonzero(spelled).astype(np.int32)
+            size = np.searchsorted(position, stream.last) - np.searchsorted(position, stream.first)
         out = np.zeros(len(stream.symbol), np.float32)
         if not len(position):
             return out
@@ -478,7 +478,7 @@ def _asked(parts: int, hot: np.ndarray, frequent: np.ndarray):
 
 
 def _answered(parts: int):
-    """(bucket, part, n, told): the losses of the decisions for the pairs, and the counts of the words."""
+    """(bucket, part, n, told): what is decided of the pairs, and the counts of the words."""
 
     def run(table: pa.Table) -> pa.Table:
         many, raw = table.column("n").to_pylist(), table.column("sent").to_pylist()
@@ -502,7 +502,8 @@ def _answered(parts: int):
 
 
 def _decided(key: np.ndarray, low: np.ndarray, learned: np.ndarray) -> np.ndarray:
-    """The loss of the decision for each pair that was sent."""
+    """For each pair that was sent one number, small for small counts: of times t and hits h of
+    its context t (t + 1) / 2 + h, twice, and one more if its word is the best one."""
     order, new = _in_order(key, low)
     begin = np.flatnonzero(new)
     n = np.add.reduceat(learned[order], begin)
@@ -512,17 +513,28 @@ def _decided(key: np.ndarray, low: np.ndarray, learned: np.ndarray) -> np.ndarra
     times, hits = np.add.reduceat(n, first), np.maximum.reduceat(n, first)
     best = np.zeros(len(first), np.int64)
     np.maximum.at(best, of, np.where(n == hits[of], np.arange(len(n)), 0))
-    loss = np.empty(len(key), np.float32)
-    loss[order] = _loss(hits[of], times[of], best[of] == np.arange(len(n)))[np.cumsum(new) - 1]
-    return loss
+    number = (times * (times + 1) + 2 * hits)[of]
+    number += best[of] == np.arange(len(n))
+    out = np.empty(len(key), np.int64)
+    out[order] = number[np.cumsum(new) - 1]
+    return out
+
+
+def _losses(number: np.ndarray) -> np.ndarray:
+    """The losses of the decisions that the numbers tell of."""
+    both = number >> 1
+    times = ((np.sqrt(8.0 * both + 1) - 1) / 2).astype(np.int64)
+    times -= times * (times + 1) // 2 > both
+    times += (times + 1) * (times + 2) // 2 <= both
+    return _loss(both - times * (times + 1) // 2, times, (number & 1).astype(bool))
 
 
 def _told(answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The losses of a bucket's pairs and the counts of its words, in order."""
-    losses, counts = [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+    numbers, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for part, n, raw in sorted(zip(*(answers.column(k).to_pylist() for k in ("part", "n", "told")), strict=True)):
-        (losses if part < parts else counts).append(_unpack(raw, n, "<f4" if part < parts else "<i8")[0])
-    return np.concatenate(losses), np.concatenate(counts)
+        (numbers if part < parts else counts).append(_unpack(raw, n, "<i8")[0])
+    return _losses(np.concatenate(numbers)), np.concatenate(counts)
 
 
 #: Decisions after which a task hands on its counts, before they could exceed 32 bits.
@@ -573,7 +585,7 @@ def _outcomes(code: Code):
                     go = np.flatnonzero(part.any(axis=1)).tolist()
                     yield pa.RecordBatch.from_arrays([pa.array([i + c for c in go], pa.int32()), pa.array([plane] * len(go), pa.int32()), pa.array([part[c].tobytes() for c in go], pa.binary())], names=["chunk", "plane", "counts"])
 
-        for _, texts in kernel.pieces(batches, "text", PIECE):
+        for _, texts in kernel.pieces(batches, "text", 2 * PIECE):  # the more, the more symbols are alike
             stream = Stream(kernel.Words(texts, lower=True))
             seen += _add(total, code, stream)
             if seen >= _MOST:
@@ -636,16 +648,19 @@ def _score(model: Model, frequent: np.ndarray, counts: np.ndarray, hot: np.ndarr
         size = (w.end - w.start)[at] + 1
         spelled[np.arange(size.sum()) + np.repeat(stream.begin[at] - (np.cumsum(size) - size), size)] = False
         nats = np.bincount(w.doc[pairs.at], np.abs(whole), n)
-        # texts of about PIECE spelled symbols are read side by side
-        gone = np.concatenate([[0], np.cumsum(spelled)])
-        group = (gone[stream.last] - 1) // PIECE
-        for g in np.unique(group):
+        for k in range(_PAD):
+            spelled[stream.first - 1 - k] = False
+        position = np.flatnonzero(spelled)
+        first, last = np.searchsorted(position, stream.first), np.searchsorted(position, stream.last)
+        # texts of about PIECE spelled symbols are read side by side; each has one, its end
+        group = (last - 1) // PIECE
+        for g in np.unique(group).tolist():
             here = np.flatnonzero(group == g)
+            lo, hi = first[here[0]], last[here[-1]]
             go = np.zeros(len(spelled), bool)
-            lo, hi = stream.first[here[0]], stream.last[here[-1]]
-            go[lo:hi] = spelled[lo:hi]
-            loss = model.losses(stream, spelled=go).astype(np.float64)
-            nats[here] += np.add.reduceat(np.append(loss, 0), np.stack([stream.first[here], stream.last[here]], 1).ravel())[::2]
+            go[position[lo:hi]] = True
+            loss = model.losses(stream, spelled=go)[position[lo:hi]]
+            nats[here] += np.add.reduceat(loss, first[here] - lo, dtype=np.float64)
         return pa.table(
             [rows.column("doc_id"), rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(known), pa.array(nats)],
             names=["doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats"],

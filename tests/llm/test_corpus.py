@@ -369,6 +369,15 @@ def test_whole_words_are_answered_in_few_bytes():
         assert best and len({c for c, _ in best}) == len(best)
 
 
+def test_counts_are_told_in_one_number():
+    rng = np.random.default_rng(1)
+    times = np.concatenate([np.arange(300), rng.integers(1, 1 << 30, 1000), [(1 << 31) - 1] * 3])
+    hits = np.concatenate([rng.integers(0, times + 1)[:-3], [0, 1, (1 << 31) - 1]])
+    best = rng.integers(0, 2, len(times))
+    got = contextmix._losses(times * (times + 1) + 2 * hits + best)
+    assert np.array_equal(got, contextmix._loss(hits, times, best.astype(bool)))
+
+
 def test_hot_contexts_give_the_same_scores(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 60) + " x x x" * rng.randrange(5) + " y", "en", "s", 1) for i in range(80)]
@@ -380,7 +389,8 @@ def test_hot_contexts_give_the_same_scores(spark):
 def test_symbols_that_are_not_spelled_are_not_decided():
     texts = [prose(random.Random(i), 40).encode() for i in range(6)] + [b""]
     model, stream = random_model(texts)
-    all_, none = np.ones(len(stream.symbol), bool), np.zeros(len(stream.symbol), bool)
+    all_, none = np.zeros((2, len(stream.symbol)), bool)
+    all_[stream.positions()] = True
     assert np.array_equal(model.losses(stream), model.losses(stream, spelled=all_)) and not model.losses(stream, spelled=none).any()
     # what isn't spelled at a text's end changes nothing before it, and isn't counted
     some = all_.copy()
