@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import kind_of, materialise
+from .common import discard, kind_of, materialise
 
 #: Bytes of text that are read side by side.
 PIECE = 1 << 20
@@ -635,7 +635,7 @@ def _score(model: Model, frequent: np.ndarray, counts: np.ndarray, hot: np.ndarr
             raise RuntimeError("the table changed while it was read")
         c = np.empty(len(v.hash), np.int64)
         c[often], c[~often] = counts[spot[often]], rare
-        base = np.bincount(w.doc, np.log10(c + 1.0)[v.of], n)
+        base = np.bincount(w.doc, np.log10(c + 1.0)[v.of], n).astype(np.float64)  # integers where there are no words
         known = np.bincount(w.doc, (c > 0)[v.of], n).astype(np.int64)
         whole = np.empty(len(pairs.at), np.float32)
         whole[pairs.cold] = told[pairs.of]
@@ -647,7 +647,7 @@ def _score(model: Model, frequent: np.ndarray, counts: np.ndarray, hot: np.ndarr
         at = pairs.at[whole > 0]
         size = (w.end - w.start)[at] + 1
         spelled[np.arange(size.sum()) + np.repeat(stream.begin[at] - (np.cumsum(size) - size), size)] = False
-        nats = np.bincount(w.doc[pairs.at], np.abs(whole), n)
+        nats = np.bincount(w.doc[pairs.at], np.abs(whole), n).astype(np.float64)
         for k in range(_PAD):
             spelled[stream.first - 1 - k] = False
         position = np.flatnonzero(spelled)
@@ -661,8 +661,11 @@ def _score(model: Model, frequent: np.ndarray, counts: np.ndarray, hot: np.ndarr
             go[position[lo:hi]] = True
             loss = model.losses(stream, spelled=go)[position[lo:hi]]
             nats[here] += np.add.reduceat(loss, first[here] - lo, dtype=np.float64)
+        ids = rows.column("doc_id")
+        if pa.types.is_timestamp(ids.type) and ids.type.tz:  # the same instants, as Spark takes them back
+            ids = ids.cast(pa.timestamp("us", "UTC"))
         return pa.table(
-            [rows.column("doc_id"), rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(known), pa.array(nats)],
+            [ids, rows.column("held_out"), pa.array(w.count + 1), pa.array(stream.last - stream.first), pa.array(base), pa.array(known), pa.array(nats)],
             names=["doc_id", "held_out", "n_tokens", "n_bytes", "base", "known", "nats"],
         )
 
@@ -710,6 +713,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int
     frequent, counts = h[order], often["c"].to_numpy(np.int64)[order]
     # at most one context for every `hot` words of the corpus
     heavy = np.sort(np.array([r.key for r in counted.where(F.col("n") > hot).where("kind = 3").collect()], np.int64).view(np.uint64))
+    discard(counted)
     after = _hot_words(learned, heavy)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     model = train(learned.select("text"), symbols, size)

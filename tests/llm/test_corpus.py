@@ -369,6 +369,23 @@ def test_whole_words_are_answered_in_few_bytes():
         assert best and len({c for c, _ in best}) == len(best)
 
 
+def test_texts_without_words_or_contexts_are_scored(spark):
+    for texts in ([None, "", " \n"], ["a b"], ["a b c d"] * 3):
+        got = contextmix.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, len(WORD.findall(t or "")) + 1) for i, t in enumerate(texts)]
+        assert all(r.score < 0 for r in got)
+
+
+def test_ids_may_be_instants_of_any_zone(spark):
+    rows = spark.createDataFrame([(i, "a b c d e") for i in range(3)], "doc_id long, text string").selectExpr("timestamp_seconds(doc_id) AS doc_id", "text")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        assert sorted(r.s for r in contextmix.score(rows).selectExpr("unix_seconds(doc_id) AS s").collect()) == [0, 1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_counts_are_told_in_one_number():
     rng = np.random.default_rng(1)
     times = np.concatenate([np.arange(300), rng.integers(1, 1 << 30, 1000), [(1 << 31) - 1] * 3])
